@@ -1,0 +1,8 @@
+"""Streaming.
+
+The warehouse this library re-creates loads its data in one bulk batch and
+has no stream, watermark, window or state logic, so there is nothing to
+build here.  New fact rows arrive as a batch through ``tillstar.sources``
+(CSV or parquet) and keys continue from the table's high-water mark
+(``tillstar.plans.keys.continue_keys``).
+"""
