@@ -43,12 +43,16 @@ def flag_count(col: str | Column) -> Column:
 
 
 def exact_avg(col: str | Column, scale: int = 2) -> Column:
-    """``ROUND(AVG(x), scale)`` without intermediate rounding; NULLs ignored."""
+    """``ROUND(AVG(x), scale)`` without intermediate rounding; NULLs ignored.
+
+    ``x`` is an integer or a decimal with at most 2 places.  The aggregate is
+    the plain ``sum(x)``, so it is shared with a ``money_sum(x)`` in the same
+    ``agg``; the quotient keeps 18 fractional digits before the rounding.
+    """
     x = _c(col)
     n = F.count(x)
-    total = F.sum(x.cast(DecimalType(20, 2) if scale <= 2 else DecimalType(20, scale)))
-    out = DecimalType(22, scale)
-    return F.when(n > 0, F.round(total / n, scale)).cast(out)
+    total = F.sum(x).cast(_OPERAND)
+    return F.when(n > 0, F.round(total / n, scale)).cast(DecimalType(22, scale))
 
 
 def avg_of_sums(total: str | Column, n: str | Column, scale: int = 2) -> Column:

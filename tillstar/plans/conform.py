@@ -6,12 +6,14 @@
     dim_customers = customer LEFT JOIN nation
     dim_time      = hourly calendar covering the order dates
 
-Plan shape: the fact joins part first and orders second, so the fact comes
-out hash-partitioned by the order key; aggregations that count distinct
-orders then need no extra exchange.  Nation, region and the calendar are
-broadcast only after a row-count check; part and orders are left to
-Catalyst/AQE (sort-merge at scale, runtime broadcast when small; AQE splits
-skewed join partitions).  Every measure is a built-in decimal expression.
+Plan shape: the fact joins part first and orders second, so at scale (two
+sort-merge joins) it comes out hash-partitioned by the order key and
+distinct-order counts need no extra exchange.  Join strategies are left
+to Catalyst/AQE: nation and region broadcast from their file-size
+statistics, part and orders sort-merge at scale (AQE splits skewed join
+partitions) and broadcast at runtime when small.  The fact's ``time_sk``
+is hour arithmetic from the calendar start (a scalar subquery) instead of
+a join with the calendar.  Every measure is a built-in decimal expression.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from tillstar.operators.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
 from tillstar.plans.calendar import CALENDAR_COLUMNS, calendar_covering
 from tillstar.sources.tables import DriverTables
 from tillstar.star import Star
@@ -72,8 +73,25 @@ def sales_measures(gross: Column, disc_rate: Column, tax_rate: Column, list_pric
     }
 
 
-def conform_fact(tables: DriverTables, calendar: DataFrame,
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+HOUR_MICROS = 3_600_000_000
+
+
+def calendar_start(orders: DataFrame) -> Column:
+    """Midnight of the first order day, as a scalar subquery (evaluated once
+    inside the query that uses it; nothing goes through Python)."""
+    return orders.select(F.to_date(F.min("o_orderdate")).cast("timestamp_ntz")).scalar()
+
+
+def hour_key(ts: Column, start: Column) -> tuple[Column, Column]:
+    """(time_sk, on_the_hour) of ``ts`` in the hourly calendar starting at
+    ``start``: ``time_sk`` = whole hours since start + 1, the same numbering
+    as ``calendar_covering``.  Equivalent to joining the calendar on the
+    timestamp, without the join: rows off the hour have no calendar row."""
+    micros = F.timestamp_diff("MICROSECOND", start, ts)
+    return (F.floor(micros / HOUR_MICROS) + 1).cast("int"), (micros % HOUR_MICROS) == 0
+
+
+def conform_fact(tables: DriverTables, start: Column) -> DataFrame:
     li = tables.lineitem.select(
         # unique per scan split and stable on recompute (assigned before any shuffle)
         (F.monotonically_increasing_id() + 1).alias("sale_sk"),
@@ -82,11 +100,11 @@ def conform_fact(tables: DriverTables, calendar: DataFrame,
     )
     part = tables.part.select("p_partkey", "p_retailprice")
     orders = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    hours = checked_broadcast(calendar.select(F.col("ts").alias("o_orderdate"), "time_sk"), broadcast_rows)
 
     lines = li.join(part, li.l_partkey == part.p_partkey)
     lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    lines = lines.join(hours, "o_orderdate")
+    time_sk, on_the_hour = hour_key(F.col("o_orderdate"), start)
+    lines = lines.where(on_the_hour).withColumn("time_sk", time_sk)
 
     returned = F.col("l_returnflag") == RETURNED_FLAG
     m = sales_measures(
@@ -131,9 +149,11 @@ def conform_products(tables: DriverTables) -> DataFrame:
     )
 
 
-def conform_stores(tables: DriverTables, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    nation = checked_broadcast(tables.nation.select("n_nationkey", "n_name", "n_regionkey"), broadcast_rows)
-    region = checked_broadcast(tables.region.select("r_regionkey", "r_name"), broadcast_rows)
+def conform_stores(tables: DriverTables) -> DataFrame:
+    # nation and region are a few KB on disk: Catalyst broadcasts them from
+    # the file-size statistics, no hint or extra job needed
+    nation = tables.nation.select("n_nationkey", "n_name", "n_regionkey")
+    region = tables.region.select("r_regionkey", "r_name")
     s = tables.supplier.select("s_suppkey", "s_name", "s_nationkey")
     s = s.join(nation, s.s_nationkey == nation.n_nationkey, "left")
     s = s.join(region, s.n_regionkey == region.r_regionkey, "left")
@@ -155,8 +175,8 @@ def conform_stores(tables: DriverTables, broadcast_rows: int = DEFAULT_BROADCAST
     )
 
 
-def conform_customers(tables: DriverTables, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    nation = checked_broadcast(tables.nation.select("n_nationkey", "n_name"), broadcast_rows)
+def conform_customers(tables: DriverTables) -> DataFrame:
+    nation = tables.nation.select("n_nationkey", "n_name")
     c = tables.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     c = c.join(nation, c.c_nationkey == nation.n_nationkey, "left")
     null_s = F.lit(None).cast("string")
@@ -179,18 +199,17 @@ def conform_customers(tables: DriverTables, broadcast_rows: int = DEFAULT_BROADC
     )
 
 
-def conform(tables: DriverTables, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Star:
-    """Lazy star over the driver tables (nothing is materialised here, apart
-    from the small row-count checks that gate broadcasts)."""
+def conform(tables: DriverTables) -> Star:
+    """Lazy star over the driver tables: nothing runs until a query does."""
     calendar = calendar_covering(tables.orders, "o_orderdate")
     return Star(
-        fact=conform_fact(tables, calendar, broadcast_rows),
-        customers=conform_customers(tables, broadcast_rows),
+        fact=conform_fact(tables, calendar_start(tables.orders)),
+        customers=conform_customers(tables),
         products=conform_products(tables),
-        stores=conform_stores(tables, broadcast_rows),
+        stores=conform_stores(tables),
         time=calendar.select(*CALENDAR_COLUMNS, F.current_timestamp().alias("created_at")),
     )
 
 
-def star_from_dir(spark, sf_dir: str, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Star:
-    return conform(DriverTables(spark, sf_dir), broadcast_rows)
+def star_from_dir(spark, sf_dir: str) -> Star:
+    return conform(DriverTables(spark, sf_dir))
