@@ -31,11 +31,38 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def pin_small(df: DataFrame) -> DataFrame:
+    """Compute a small, bounded result once and cut its lineage.
+
+    ``checkpoint(eager=True)`` writes it to the cluster's shared
+    ``spark.checkpoint.dir`` (a test session gets a temp dir), so a result
+    referenced several times in a later plan -- a top-N list used as join
+    keys and as rows -- is not recomputed per reference, and survives the
+    loss of the executors that computed it.
+    """
+    from tillstar.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key exists in ``keys`` (SQL ``EXISTS``)."""
     return df.join(keys, on, "left_semi")
 
 
+def keep_existing(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` exists in ``keys`` (inner-join semantics
+    against a dimension), for ``df`` that is an aggregate by ``key``.
+
+    Written as an inner join with the distinct dimension keys rather than a
+    semi join: Catalyst pushes a semi join below the aggregate, which at
+    scale shuffles the raw fact rows by ``key`` before any partial
+    aggregation; the inner join stays above it and joins one row per key.
+    """
+    return df.join(keys.select(key).distinct(), key)
+
+
 def anti_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key is missing from ``keys`` (SQL ``NOT EXISTS``)."""
     return df.join(keys, on, "left_anti")

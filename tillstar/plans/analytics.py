@@ -25,7 +25,9 @@ from tillstar.functions.metrics import (
     avg_of_sums, exact_avg, flag_count, int_sum, money_sum, pct, share_pct, weighted_mean,
     count_pct,
 )
-from tillstar.operators.joins import bounded_broadcast, checked_broadcast, semi_join
+from tillstar.operators.joins import (
+    bounded_broadcast, checked_broadcast, keep_existing, pin_small, semi_join,
+)
 from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 from tillstar.star import Star
 
@@ -150,7 +152,7 @@ def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         exact_avg("discount_pct").alias("avg_discount_pct"),
     )
     # inner-join semantics of the warehouse query: only products in the dimension
-    stats = semi_join(stats, star.products.select("product_sk"), "product_sk")
+    stats = keep_existing(stats, star.products, "product_sk")
     top = top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")])
     names = star.products.select("product_sk", "product_name", "category", "brand")
     out = bounded_broadcast(top).join(names, "product_sk")
@@ -205,20 +207,23 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         exact_avg("net_revenue").alias("avg_order_value"),
         flag_count("return_flag").alias("total_returns"),
     )
-    stats = semi_join(stats, star.customers.select("customer_sk"), "customer_sk")
-    top = top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")])
+    stats = keep_existing(stats, star.customers, "customer_sk")
+    # n rows, referenced three times below: computed once, lineage cut
+    top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")]))
 
-    # favourites only for the n winners: semi join the fact to n keys
+    # favourites only for the n winners: the fact restricted to n keys (a
+    # broadcast semi join), reduced once to (customer, product, channel)
     mine = semi_join(f, bounded_broadcast(top.select("customer_sk")), "customer_sk")
-    by_product = mine.groupBy("customer_sk", "product_sk").agg(F.sum("net_revenue").alias("rev"))
+    cpc = mine.groupBy("customer_sk", "product_sk", "sales_channel").agg(
+        F.sum("net_revenue").alias("rev"), F.count("*").alias("lines"))
     by_category = (
-        by_product.join(star.products.select("product_sk", "category"), "product_sk")
+        cpc.join(star.products.select("product_sk", "category"), "product_sk")
         .groupBy("customer_sk", "category").agg(F.sum("rev").alias("rev"))
     )
     fav_category = first_per_group(
         by_category, ["customer_sk"], "category", [-F.col("rev"), F.col("category")], "favourite_category"
     )
-    by_channel = mine.groupBy("customer_sk", "sales_channel").agg(F.count("*").alias("lines"))
+    by_channel = cpc.groupBy("customer_sk", "sales_channel").agg(F.sum("lines").alias("lines"))
     fav_channel = first_per_group(
         by_channel, ["customer_sk"], "sales_channel", [-F.col("lines"), F.col("sales_channel")],
         "favourite_channel",
