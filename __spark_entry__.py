@@ -87,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "calendar": _star_query(_calendar),
         "sales_fact": _star_query(_sales_fact),
         "load_report": _star_query(Q.load_report),
+        "quality_report": _star_query(Q.quality_report),
     }
 
 
