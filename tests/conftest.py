@@ -37,7 +37,7 @@ def time_sk(ts: dt.datetime) -> int:
 def frame(spark, table: TableDef, rows: list[dict]):
     """DataFrame with the table's full schema; missing columns get DEFAULT or NULL."""
     struct = table.struct()
-    defaults = {c.name: (None if c.default == "now()" else c.default) for c in table.columns}
+    defaults = {c.name: (dt.datetime.now() if c.default == "now()" else c.default) for c in table.columns}
     data = []
     for r in rows:
         rec = []
