@@ -52,7 +52,9 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
 
     spark = local_session(cores=cpus, shuffle_partitions=cpus, app="tillstar-bench",
-                          extra={"spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": "16g",
+                                 # file / partition target sized for this data, as a cluster would
+                                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"})
     out: dict[str, float] = {}
 
     # warm the JVM on the smallest data set

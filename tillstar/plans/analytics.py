@@ -26,7 +26,7 @@ from tillstar.functions.metrics import (
     count_pct,
 )
 from tillstar.operators.joins import (
-    bounded_broadcast, checked_broadcast, keep_existing, pin_small, semi_join,
+    DEFAULT_BROADCAST_ROWS, bounded_broadcast, keep_existing, pin_small, semi_join,
 )
 from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 from tillstar.star import Star
@@ -169,11 +169,18 @@ def monthly_revenue_trends(star: Star, year: int | None = None) -> DataFrame:
     return rate = returned lines / distinct orders x 100, and revenue change
     against the previous month present (the year filter applies first)."""
     t = star.time.select("time_sk", "year", "month", "month_name")
+    fact = star.fact
     if year is not None:
         t = t.where(F.col("year") == int(year))
-    # one row per hour of the covered span: bounded by the calendar, checked
-    t = checked_broadcast(t)
-    monthly = star.fact.join(t, "time_sk").groupBy("year", "month", "month_name").agg(
+    # One small job over the calendar (one row per hour of the covered span):
+    # its row count gates the broadcast, and with a year filter its time_sk
+    # bounds become a literal range on the fact -- a superset the join then
+    # narrows exactly -- that the parquet reader can use to skip row groups.
+    rows, lo, hi = t.agg(F.count(F.lit(1)), F.min("time_sk"), F.max("time_sk")).first()
+    if year is not None:
+        fact = fact.where(F.col("time_sk").between(F.lit(lo), F.lit(hi)))
+    t = F.broadcast(t) if rows <= DEFAULT_BROADCAST_ROWS else t
+    monthly = fact.join(t, "time_sk").groupBy("year", "month", "month_name").agg(
         money_sum("net_revenue").alias("total_revenue"),
         money_sum("profit").alias("total_profit"),
         money_sum("total_cost").alias("total_cost"),
