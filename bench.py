@@ -5,7 +5,8 @@
 2. ``q1`` .. ``q8``: the eight warehouse queries over the stored star
    (median of 3 runs after one warm-up run each);
 3. ``e2e_q1`` .. ``e2e_q8``: the same queries straight from the driver
-   tables (conform + query in one plan), one run each.
+   tables (conform + query in one plan), one run each;
+4. ``q23_load_report``, ``q24_quality_report`` over the stored star.
 
 Prints one JSON line; ``value`` = load_star + q1..q8.
 """
@@ -23,6 +24,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 
 from tillstar.plans import analytics as A  # noqa: E402
+from tillstar.plans import quality as Q  # noqa: E402
 from tillstar.plans.conform import star_from_dir  # noqa: E402
 from tillstar.session import local_session, scratch_path  # noqa: E402
 from tillstar.sources.parquet_store import read_star, write_star  # noqa: E402
@@ -74,6 +76,10 @@ def main() -> None:
     for key, (_, fn) in QUERIES.items():
         out[f"e2e_{key}"] = _timed(lambda: fn(star_from_dir(spark, sf_dir)).collect())
 
+    # the load and quality reports over the stored star (informational)
+    out["q23_load_report"] = _timed(lambda: Q.load_report(star).collect())
+    out["q24_quality_report"] = _timed(lambda: Q.quality_report(star).collect())
+
     value = out["load_star"] + sum(out[k] for k in QUERIES)
     print(json.dumps({
         "metric": "star_load_plus_q1_q8",

@@ -315,7 +315,8 @@ def mom_series(star: Star, year: int | None = None) -> DataFrame:
 def revenue_heatmap(star: Star, year: int | None = None) -> DataFrame:
     """Year x month-name revenue table, months in calendar order, only the
     months present (collects at most 12 month numbers to name the columns)."""
-    t = monthly_revenue_trends(star, year)
+    # one row per month: pinned so the fact is aggregated once for both uses
+    t = pin_small(monthly_revenue_trends(star, year))
     present = sorted(r[0] for r in t.select("month").distinct().collect())
     names = [MONTHS[m - 1] for m in present]
     if not names:
