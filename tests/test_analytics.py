@@ -198,3 +198,19 @@ def test_category_totals_equal_non_returned_fact_total(spark):
     kept = sum(D(7 * i) for i in range(1, 30) if i % 4 != 0)
     assert sum(r["total_revenue"] for r in cats) == kept
     assert sum(r["unique_products"] for r in cats) == 5
+
+
+def test_hot_customer_holding_a_third_of_rows(spark):
+    # one customer, one product and one order hold a third of all lines
+    hot = [sale(i, customer_sk=1, product_sk=1, order_id="hot", net=1, profit=0, channel="Web") for i in range(1, 41)]
+    rest = [sale(100 + i, customer_sk=2 + i % 3, product_sk=2 + i % 4, net=2, profit=1,
+                 channel=["Web", "Phone"][i % 2]) for i in range(80)]
+    star = make_star(spark, hot + rest)
+    top = rows(A.top_customers(star, 4))
+    by_sk = {r["customer_sk"]: r for r in top}
+    assert by_sk[1]["total_orders"] == 1 and by_sk[1]["total_quantity"] == 40
+    assert by_sk[1]["favourite_channel"] == "Web" and by_sk[1]["favourite_category"] == "Cat0"
+    (k,) = rows(A.kpi_overview(star))
+    assert k["total_orders"] == 81 and k["total_revenue"] == D("200.00")
+    cats = rows(A.category_performance(star))
+    assert sum(r["total_revenue"] for r in cats) == D("200.00")
