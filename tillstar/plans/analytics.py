@@ -12,7 +12,8 @@ Scale notes (the plans were checked with ``explain``):
 * top-N uses ``TakeOrderedAndProject`` and the names are joined only to the
   N winners (a bounded broadcast);
 * favourite category / channel are computed only for the top-N customers
-  (semi join on N keys), by hash aggregation with ``min_by``;
+  (semi join on N keys), in one grouping-sets aggregation, picked with
+  ``min_by`` (no sort of rows, no per-group lists);
 * windows without a partition run only on per-month or top-N results.
 """
 
@@ -218,22 +219,28 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     # n rows, referenced three times below: computed once, lineage cut
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")]))
 
-    # favourites only for the n winners: the fact restricted to n keys (a
-    # broadcast semi join), reduced once to (customer, product, channel)
+    # Favourites only for the n winners: the fact restricted to n keys (a
+    # broadcast semi join) and reduced to (customer, product, channel).  Both
+    # picks then come out of ONE grouping-sets aggregate and ONE groupBy that
+    # reads both measures, so Catalyst cannot split the reduction into two
+    # differently pruned scans of the fact.  `matched` keeps the warehouse's
+    # inner join with the product dimension for the category pick only
+    # (product_sk is the dimension's primary key).
     mine = semi_join(f, bounded_broadcast(top.select("customer_sk")), "customer_sk")
     cpc = mine.groupBy("customer_sk", "product_sk", "sales_channel").agg(
         F.sum("net_revenue").alias("rev"), F.count("*").alias("lines"))
-    by_category = (
-        cpc.join(star.products.select("product_sk", "category"), "product_sk")
-        .groupBy("customer_sk", "category").agg(F.sum("rev").alias("rev"))
-    )
-    fav_category = first_per_group(
-        by_category, ["customer_sk"], "category", [-F.col("rev"), F.col("category")], "favourite_category"
-    )
-    by_channel = cpc.groupBy("customer_sk", "sales_channel").agg(F.sum("lines").alias("lines"))
-    fav_channel = first_per_group(
-        by_channel, ["customer_sk"], "sales_channel", [-F.col("lines"), F.col("sales_channel")],
-        "favourite_channel",
+    cats = star.products.select("product_sk", "category", F.lit(True).alias("matched"))
+    keys = ["customer_sk", "category", "matched", "sales_channel"]
+    sets = cpc.join(cats, "product_sk", "left").groupingSets(
+        [["customer_sk", "category", "matched"], ["customer_sk", "sales_channel"]], *keys
+    ).agg(F.grouping_id(*keys).alias("gid"), F.sum("rev").alias("rev"), F.sum("lines").alias("lines"))
+    per_category = (F.col("gid") == 0b0001) & F.col("matched")   # sales_channel rolled up
+    per_channel = F.col("gid") == 0b0110                          # category, matched rolled up
+    favourites = sets.groupBy("customer_sk").agg(
+        F.min_by("category", F.when(per_category, F.struct(-F.col("rev"), F.col("category"))))
+        .alias("favourite_category"),
+        F.min_by("sales_channel", F.when(per_channel, F.struct(-F.col("lines"), F.col("sales_channel"))))
+        .alias("favourite_channel"),
     )
 
     people = star.customers.select(
@@ -241,11 +248,8 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("full_name"),
         "email", "loyalty_tier", "country", F.col("age").cast("int").alias("age"),
     )
-    out = (
-        bounded_broadcast(top).join(people, "customer_sk")
-        .join(bounded_broadcast(fav_category), "customer_sk", "left")
-        .join(bounded_broadcast(fav_channel), "customer_sk", "left")
-    )
+    # favourites has at most n rows (one per winner)
+    out = bounded_broadcast(top).join(people, "customer_sk").join(bounded_broadcast(favourites), "customer_sk", "left")
     return out.select(
         "customer_sk", "full_name", "email", "loyalty_tier", "country", "age", "total_revenue",
         "total_profit", "total_orders", "total_quantity", "avg_order_value", "total_returns",
