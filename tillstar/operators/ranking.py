@@ -28,9 +28,11 @@ def first_per_group(
     """``DISTINCT ON (keys) value ORDER BY keys, <rank>``.
 
     ``rank`` columns order rows best-first in ascending order (negate a metric
-    to prefer large values).  Implemented as a hash aggregate with
-    ``min_by(value, struct(rank))``: partial aggregation on the map side, no
-    sort and no per-group row list, so a hot key costs nothing extra.
+    to prefer large values).  Implemented as one aggregate,
+    ``min_by(value, struct(rank))``: it keeps a single best row per group
+    and is partially aggregated before the shuffle (Spark runs a struct
+    ordering as a sort-based aggregate, which spills), so no per-group row
+    list is ever built and a hot key is reduced map-side.
     """
     return df.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(*rank)).alias(alias or value))
 
