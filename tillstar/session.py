@@ -39,16 +39,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Connect sessions have no local SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh temp directory is configured."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tillstar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    """The cluster's shared ``spark.checkpoint.dir``.  Only when none is
+    configured (local tests) a fresh temp directory becomes the context's
+    checkpoint directory."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if sc is None:
+        return configured or tempfile.mkdtemp(prefix="tillstar-ckpt-")
+    current = sc.getCheckpointDir()
+    if current is None:
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tillstar-ckpt-"))
+        current = sc.getCheckpointDir()
+    return configured or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
