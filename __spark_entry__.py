@@ -53,6 +53,22 @@ def _sales_fact(star):
     return star.fact.drop("sale_sk", "created_at")
 
 
+# conformed dimensions: the columns the driver tables feed (the rest are
+# NULL / TRUE defaults with no source)
+def _dim_customers(star):
+    return star.customers.select("customer_sk", "customer_id", "first_name", "last_name", "email",
+                                 "country", "age", "loyalty_tier", "is_active")
+
+
+def _dim_products(star):
+    return star.products.select("product_sk", "product_id", "product_name", "category", "sub_category",
+                                "brand", "unit_cost", "unit_price", "is_active")
+
+
+def _dim_stores(star):
+    return star.stores.select("store_sk", "store_id", "store_name", "country", "region", "is_active")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: top-10 products by net revenue on sf0.001."""
     return report_types(A.top_selling_products(star_from_dir(spark, FLAGSHIP_SF_DIR), TOP_N))
@@ -86,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "customer_table": _star_query(A.customer_table, n=TOP_N),
         "calendar": _star_query(_calendar),
         "sales_fact": _star_query(_sales_fact),
+        "dim_customers": _star_query(_dim_customers),
+        "dim_products": _star_query(_dim_products),
+        "dim_stores": _star_query(_dim_stores),
         "load_report": _star_query(Q.load_report),
         "quality_report": _star_query(Q.quality_report),
     }

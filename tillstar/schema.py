@@ -4,7 +4,9 @@ quality report).
 
 Fixed values below mirror the warehouse DDL and must stay as they are for
 results to match: table and column names, types, lengths, CHECK domains and
-ranges, and the column order of the load files.
+ranges, and the column order of the load files.  One deliberate widening:
+surrogate keys are BIGINT (the DDL's SERIAL/INTEGER tops out at 2^31 rows,
+far below a 100 TB fact); ``time_sk`` stays INT, bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql.types import (
-    BooleanType, DataType, DateType, DecimalType, IntegerType, ShortType, StringType,
+    BooleanType, DataType, DateType, DecimalType, IntegerType, LongType, ShortType, StringType,
     StructField, StructType, TimestampType,
 )
 
@@ -63,7 +65,7 @@ NOW = "now()"  # marker default: current timestamp at load
 DIM_CUSTOMERS = TableDef(
     name="dim_customers",
     columns=(
-        Column_("customer_sk", IntegerType(), False),
+        Column_("customer_sk", LongType(), False),
         Column_("customer_id", StringType(), False),
         Column_("first_name", StringType(), False, 80),
         Column_("last_name", StringType(), False, 80),
@@ -88,7 +90,7 @@ DIM_CUSTOMERS = TableDef(
 DIM_PRODUCTS = TableDef(
     name="dim_products",
     columns=(
-        Column_("product_sk", IntegerType(), False),
+        Column_("product_sk", LongType(), False),
         Column_("product_id", StringType(), False),
         Column_("product_name", StringType(), False, 200),
         Column_("category", StringType(), False, 80),
@@ -110,7 +112,7 @@ DIM_PRODUCTS = TableDef(
 DIM_STORES = TableDef(
     name="dim_stores",
     columns=(
-        Column_("store_sk", IntegerType(), False),
+        Column_("store_sk", LongType(), False),
         Column_("store_id", StringType(), False),
         Column_("store_name", StringType(), False, 200),
         Column_("store_type", StringType(), True, 30),
@@ -161,10 +163,10 @@ DIM_TIME = TableDef(
 FACT_SALES = TableDef(
     name="fact_sales",
     columns=(
-        Column_("sale_sk", IntegerType(), False),
-        Column_("customer_sk", IntegerType(), False),
-        Column_("product_sk", IntegerType(), False),
-        Column_("store_sk", IntegerType(), False),
+        Column_("sale_sk", LongType(), False),
+        Column_("customer_sk", LongType(), False),
+        Column_("product_sk", LongType(), False),
+        Column_("store_sk", LongType(), False),
         Column_("time_sk", IntegerType(), False),
         Column_("order_id", StringType(), False),
         Column_("quantity", ShortType(), False),
