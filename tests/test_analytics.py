@@ -142,7 +142,6 @@ def test_half_way_rounding_is_away_from_zero(spark):
     ])
     (k,) = rows(A.kpi_overview(star))
     assert k["avg_order_value"] == D("0.13")
-    from pyspark.sql import functions as F
     from tillstar.functions.metrics import exact_avg
 
     (r,) = star.fact.agg(exact_avg("profit").alias("a")).collect()

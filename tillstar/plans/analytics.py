@@ -29,7 +29,7 @@ from tillstar.functions.metrics import (
 from tillstar.operators.joins import (
     DEFAULT_BROADCAST_ROWS, bounded_broadcast, keep_existing, pin_small, semi_join,
 )
-from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
+from tillstar.operators.ranking import change_pct_vs_previous, top_n
 from tillstar.star import Star
 
 # Loyalty tiers in display rank order; calendar month order.
