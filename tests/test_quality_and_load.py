@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import shutil
 import tempfile
 
 import pytest
@@ -147,3 +148,49 @@ def test_parquet_store_round_trip(spark):
     back = read_star(spark, d)
     assert back.fact.count() == 2 and back.time.count() == 24
     assert sorted(back.fact.columns) == sorted(star.fact.columns)
+
+
+def test_load_warehouse_end_to_end(spark):
+    from tillstar.plans.load import load_warehouse
+
+    star = make_star(spark, [sale(1), sale(2, customer_sk=3, product_sk=4)], hours=24 * 20)
+    src = tempfile.mkdtemp(prefix="tillstar-landing-")
+    write_star_csv(star, src)
+    base = tempfile.mkdtemp(prefix="tillstar-wh-")
+    res = load_warehouse(spark, src, base)
+    assert res.path.startswith(base)
+    counts = {r["table_name"]: r["row_count"] for r in res.load_report.collect()}
+    assert counts["fact_sales"] == 2 and counts["Total"] == 2 + 5 + 5 + 3 + 480
+    assert all(r["violations"] == 0 for r in res.quality_report.collect())
+    marks = {r["table_name"]: r["max_key"] for r in res.high_water_marks.collect()}
+    assert marks == {"fact_sales": 2, "dim_customers": 5, "dim_products": 5, "dim_stores": 3, "dim_time": 480}
+
+
+def test_failed_load_keeps_previous_version(spark):
+    from tillstar.plans.load import load_warehouse
+
+    star = make_star(spark, [sale(1)], hours=24)
+    src = tempfile.mkdtemp(prefix="tillstar-landing-")
+    write_star_csv(star, src)
+    base = tempfile.mkdtemp(prefix="tillstar-wh-")
+    good = load_warehouse(spark, src, base)
+    # a second landing copy (part files only, no checksum files) with one bad fact value:
+    # the next load must fail on parsing and leave the first version readable
+    bad = tempfile.mkdtemp(prefix="tillstar-landing-bad-")
+    for table in os.listdir(src):
+        os.makedirs(os.path.join(bad, table))
+        for p in os.listdir(os.path.join(src, table)):
+            if p.endswith(".csv"):
+                shutil.copyfile(os.path.join(src, table, p), os.path.join(bad, table, p))
+    fact_dir = os.path.join(bad, "fact_sales.csv")
+    parts = [os.path.join(fact_dir, p) for p in os.listdir(fact_dir)]
+    part = next(p for p in parts if len(open(p).read().splitlines()) > 1)
+    lines = open(part).read().splitlines()
+    cells = lines[1].split(",")
+    cells[6] = "many"  # quantity
+    lines[1] = ",".join(cells)
+    open(part, "w").write("\n".join(lines) + "\n")
+    src = bad
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_warehouse(spark, src, base)
+    assert read_star(spark, good.path).fact.count() == 1
