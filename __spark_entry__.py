@@ -85,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monthly_revenue_trends": _star_query(A.monthly_revenue_trends),
         "monthly_revenue_trends_1998": _star_query(A.monthly_revenue_trends, year=TREND_YEAR),
         "top_customers": _star_query(A.top_customers, n=TOP_N),
+        "top_selling_products_25": _star_query(A.top_selling_products, n=A.TOP_N_MAX),
+        "top_customers_25": _star_query(A.top_customers, n=A.TOP_N_MAX),
         "year_options": _star_query(A.year_options),
         "year_filter_options": _star_query(A.year_filter_options),
         "top_products_kpis": _star_query(A.top_products_kpis, n=TOP_N),

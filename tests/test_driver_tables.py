@@ -60,3 +60,24 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 10
     assert df.columns[:2] == ["product_sk", "product_name"]
+
+
+@pytest.mark.parametrize("which", ["products", "customers"])
+def test_every_key_of_the_top_n_queries(spark, duck, which):
+    """N above the key count: every product's / customer's figures, favourites included."""
+    from checks import duckdb_oracle as O
+    from tillstar.functions.metrics import report_types
+    from tillstar.plans import analytics as A
+    from tillstar.plans.conform import star_from_dir
+
+    n = 10**6
+    star = star_from_dir(spark, SF)
+    if which == "products":
+        sdf, sql = A.top_selling_products(star, n), O.with_star(f"SELECT {O.Q6_COLS} FROM top_products", O.q6_cte(n))
+    else:
+        sdf, sql = A.top_customers(star, n), O.with_star(f"SELECT {O.Q8_COLS} FROM top_customers", O.q8_cte(n))
+    sdf = report_types(sdf)
+    cur = duck.execute(sql)
+    d_rows = as_rows([c[0] for c in cur.description], cur.fetchall())
+    s_rows = as_rows(sdf.columns, [tuple(r) for r in sdf.collect()])
+    assert len(s_rows) > 100 and s_rows == d_rows
