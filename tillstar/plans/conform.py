@@ -48,15 +48,20 @@ def loyalty_tier(acctbal: Column) -> Column:
     return tier
 
 
-def sales_measures(gross: Column, disc_rate: Column, tax_rate: Column, list_price: Column,
+def cost_share(list_price: Column) -> Column:
+    """Cost as a share of revenue: list price x 0.001 (exact; one value per part)."""
+    return list_price * F.lit(COST_SHARE_PER_LIST_PRICE)
+
+
+def sales_measures(gross: Column, disc_rate: Column, tax_rate: Column, share: Column,
                    quantity: Column, returned: Column) -> dict[str, Column]:
     """Line measures, each rounded to 2 places (HALF_UP, exact decimal):
     gross, discount = gross x rate, net = gross - discount,
-    cost = gross x list price x 0.001, profit = net - cost, tax = net x rate,
+    cost = gross x cost share, profit = net - cost, tax = net x rate,
     unit price / cost = amount / quantity, return amount = net if returned."""
     discount_amount = F.round(gross * disc_rate, 2).cast(D(10, 2))
     net = (gross - discount_amount).cast(D(12, 2))
-    total_cost = F.round(gross * list_price * F.lit(COST_SHARE_PER_LIST_PRICE), 2).cast(D(12, 2))
+    total_cost = F.round(gross * share, 2).cast(D(12, 2))
     return {
         "quantity": quantity.cast("smallint"),
         "unit_price": F.when(quantity > 0, F.round(gross / quantity, 2)).cast(D(10, 2)),
@@ -98,7 +103,8 @@ def conform_fact(tables: DriverTables, start: Column) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag",
     )
-    part = tables.part.select("p_partkey", "p_retailprice")
+    # the cost share is computed on the part side, once per part instead of once per line
+    part = tables.part.select("p_partkey", cost_share(F.col("p_retailprice").cast(D(6, 2))).alias("cost_share"))
     orders = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
 
     lines = li.join(part, li.l_partkey == part.p_partkey)
@@ -111,7 +117,7 @@ def conform_fact(tables: DriverTables, start: Column) -> DataFrame:
         gross=F.col("l_extendedprice").cast(D(12, 2)),
         disc_rate=F.col("l_discount").cast(D(5, 2)),
         tax_rate=F.col("l_tax").cast(D(5, 2)),
-        list_price=F.col("p_retailprice").cast(D(6, 2)),
+        share=F.col("cost_share"),
         quantity=F.col("l_quantity").cast("int"),
         returned=returned,
     )
