@@ -49,6 +49,12 @@ def _calendar(star):
     return t.withColumn("full_date", F.date_format("full_date", "yyyy-MM-dd"))
 
 
+def _year_filter_options(star):
+    # the NULL year ("All Years") is shown as DOUBLE, like the decimals: an
+    # integer column with NULLs converts differently per engine (float / Int32)
+    return A.year_filter_options(star).withColumn("year", F.col("year").cast("double"))
+
+
 def _sales_fact(star):
     return star.fact.drop("sale_sk", "created_at")
 
@@ -88,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_selling_products_25": _star_query(A.top_selling_products, n=A.TOP_N_MAX),
         "top_customers_25": _star_query(A.top_customers, n=A.TOP_N_MAX),
         "year_options": _star_query(A.year_options),
-        "year_filter_options": _star_query(A.year_filter_options),
+        "year_filter_options": _star_query(_year_filter_options),
         "top_products_kpis": _star_query(A.top_products_kpis, n=TOP_N),
         "top_products_category_share": _star_query(A.top_products_category_share, n=TOP_N),
         "trend_kpis": _star_query(A.trend_kpis),
