@@ -55,3 +55,19 @@ def test_table_functions_on_driver_star(spark):
     same(S.query(spark, "SELECT * FROM get_top_customers(:n)", {"n": 10}), A.top_customers(s, 10))
     same(S.query(spark, "SELECT * FROM get_monthly_revenue_trends(:yr)", {"yr": 1998}),
          A.monthly_revenue_trends(s, 1998))
+
+
+def test_function_descriptions(spark, star):
+    text = " ".join(r[0] for r in spark.sql("DESCRIBE FUNCTION EXTENDED get_top_selling_products").collect())
+    assert "Top N products by net revenue" in text
+    text = " ".join(r[0] for r in spark.sql("DESCRIBE FUNCTION EXTENDED get_monthly_revenue_trends").collect())
+    assert "NULL for all" in text
+
+
+def test_persisted_star_gives_same_results(spark, star):
+    kept = star.persist()
+    try:
+        same(A.top_customers(kept, 3), A.top_customers(star, 3))
+        assert kept.fact.storageLevel.useMemory
+    finally:
+        kept.unpersist()
