@@ -1,10 +1,13 @@
 """Hour-grain calendar dimension.
 
-One row per hour with dense ``time_sk`` 1..N, calendar attributes, an
-October fiscal year (fiscal quarter stays the calendar quarter), weekend
-and holiday flags.  Everything is built with built-in functions: ``range``
-or ``sequence``/``posexplode`` for the hours, ``date_format``/``weekofyear``
-(ISO week)/``weekday`` for the attributes.
+One row per hour with calendar attributes, an October fiscal year (fiscal
+quarter stays the calendar quarter), weekend and holiday flags.
+``hourly_calendar(start, periods)`` numbers its hours 1..N, as the
+warehouse's load file does; ``calendar_covering`` (built from data) keys
+each hour by its offset from a fixed epoch, so keys are stable across loads
+and a fact computes its key without a lookup.  Everything is built-in:
+``range`` or ``sequence``/``explode`` for the hours, ``date_format``,
+``weekofyear`` (ISO week) and ``weekday`` for the attributes.
 """
 
 from __future__ import annotations
@@ -58,21 +61,36 @@ def hourly_calendar(spark: SparkSession, start: _dt.datetime | str, periods: int
     return _finish(hours)
 
 
+# Fixed value: origin of the hour keys of data-derived calendars.
+HOUR_KEY_EPOCH = "1970-01-01 00:00:00"
+HOUR_MICROS = 3_600_000_000
+
+
+def hour_key(ts: Column) -> tuple[Column, Column]:
+    """(time_sk, on_the_hour) of a TIMESTAMP_NTZ: whole hours since
+    ``HOUR_KEY_EPOCH``, and whether ``ts`` falls exactly on the hour (only
+    those have a calendar row).  Pure arithmetic, time-zone independent: a
+    fact gets its calendar key without a join, and keys never change when
+    later loads widen the calendar."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(HOUR_KEY_EPOCH).cast("timestamp_ntz"), ts)
+    return F.floor(micros / HOUR_MICROS).cast("int"), (micros % HOUR_MICROS) == 0
+
+
 def calendar_covering(df: DataFrame, ts_col: str) -> DataFrame:
     """Hourly calendar from midnight of the earliest day to 23:00 of the latest
-    day found in ``df[ts_col]``.
+    day found in ``df[ts_col]``, keyed by ``hour_key``.
 
     The range comes from one partial/final ``min``/``max`` aggregate; the rows
-    from ``posexplode(sequence(...))`` of that single row, so its size is
-    the number of hours in the span (not the size of ``df``).
+    from ``explode(sequence(...))`` of that single row, so its size is the
+    number of hours in the span (not the size of ``df``).
     """
     ts = F.col(ts_col)
     span = df.agg(
         F.to_date(F.min(ts)).cast("timestamp_ntz").alias("lo"),
         (F.to_date(F.max(ts)).cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")).alias("hi"),
     )
-    hours = span.select(F.posexplode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("pos", "ts"))
-    hours = hours.select((F.col("pos") + 1).cast("int").alias("time_sk"), "ts")
+    hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
+    hours = hours.select(hour_key(F.col("ts"))[0].alias("time_sk"), "ts")
     return _finish(hours)
 
 

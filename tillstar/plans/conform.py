@@ -12,8 +12,8 @@ distinct-order counts need no extra exchange.  Join strategies are left
 to Catalyst/AQE: nation and region broadcast from their file-size
 statistics, part and orders sort-merge at scale (AQE splits skewed join
 partitions) and broadcast at runtime when small.  The fact's ``time_sk``
-is hour arithmetic from the calendar start (a scalar subquery) instead of
-a join with the calendar.  Every measure is a built-in decimal expression.
+is hour arithmetic on the order date (``calendar.hour_key``) instead of a
+join with the calendar.  Every measure is a built-in decimal expression.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from tillstar.plans.calendar import CALENDAR_COLUMNS, calendar_covering
+from tillstar.plans.calendar import CALENDAR_COLUMNS, calendar_covering, hour_key
 from tillstar.sources.tables import DriverTables
 from tillstar.star import Star
 
@@ -78,25 +78,7 @@ def sales_measures(gross: Column, disc_rate: Column, tax_rate: Column, share: Co
     }
 
 
-HOUR_MICROS = 3_600_000_000
-
-
-def calendar_start(orders: DataFrame) -> Column:
-    """Midnight of the first order day, as a scalar subquery (evaluated once
-    inside the query that uses it; nothing goes through Python)."""
-    return orders.select(F.to_date(F.min("o_orderdate")).cast("timestamp_ntz")).scalar()
-
-
-def hour_key(ts: Column, start: Column) -> tuple[Column, Column]:
-    """(time_sk, on_the_hour) of ``ts`` in the hourly calendar starting at
-    ``start``: ``time_sk`` = whole hours since start + 1, the same numbering
-    as ``calendar_covering``.  Equivalent to joining the calendar on the
-    timestamp, without the join: rows off the hour have no calendar row."""
-    micros = F.timestamp_diff("MICROSECOND", start, ts)
-    return (F.floor(micros / HOUR_MICROS) + 1).cast("int"), (micros % HOUR_MICROS) == 0
-
-
-def conform_fact(tables: DriverTables, start: Column) -> DataFrame:
+def conform_fact(tables: DriverTables) -> DataFrame:
     li = tables.lineitem.select(
         # unique per scan split and stable on recompute (assigned before any shuffle)
         (F.monotonically_increasing_id() + 1).alias("sale_sk"),
@@ -109,7 +91,8 @@ def conform_fact(tables: DriverTables, start: Column) -> DataFrame:
 
     lines = li.join(part, li.l_partkey == part.p_partkey)
     lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    time_sk, on_the_hour = hour_key(F.col("o_orderdate"), start)
+    # the calendar key is arithmetic on the order date: no lookup join, no subquery
+    time_sk, on_the_hour = hour_key(F.col("o_orderdate"))
     lines = lines.where(on_the_hour).withColumn("time_sk", time_sk)
 
     returned = F.col("l_returnflag") == RETURNED_FLAG
@@ -209,7 +192,7 @@ def conform(tables: DriverTables) -> Star:
     """Lazy star over the driver tables: nothing runs until a query does."""
     calendar = calendar_covering(tables.orders, "o_orderdate")
     return Star(
-        fact=conform_fact(tables, calendar_start(tables.orders)),
+        fact=conform_fact(tables),
         customers=conform_customers(tables),
         products=conform_products(tables),
         stores=conform_stores(tables),
