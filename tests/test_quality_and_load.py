@@ -194,3 +194,19 @@ def test_failed_load_keeps_previous_version(spark):
     with pytest.raises(Exception, match="(?i)malformed"):
         load_warehouse(spark, src, base)
     assert read_star(spark, good.path).fact.count() == 1
+
+
+def test_calendar_covering_keys_match_hour_key(spark):
+    from pyspark.sql import functions as F
+
+    from tillstar.plans.calendar import calendar_covering, hour_key
+
+    src = spark.createDataFrame([(dt.datetime(1995, 1, 2, 5, 0),), (dt.datetime(1995, 1, 4, 0, 0),)], "t timestamp_ntz")
+    cal = calendar_covering(src, "t").collect()
+    assert len(cal) == 3 * 24  # whole days: 1995-01-02 .. 1995-01-04
+    epoch = dt.datetime(1970, 1, 1)
+    assert all(r["time_sk"] == int((r["ts"] - epoch).total_seconds() // 3600) for r in cal)
+    keyed = src.select(*[c.alias(n) for c, n in zip(hour_key(F.col("t")), ("k", "on_hour"))]).collect()
+    assert {r["k"] for r in keyed} <= {r["time_sk"] for r in cal} and all(r["on_hour"] for r in keyed)
+    off = spark.createDataFrame([(dt.datetime(1995, 1, 2, 5, 30),)], "t timestamp_ntz")
+    assert off.select(hour_key(F.col("t"))[1].alias("w")).first()["w"] is False
