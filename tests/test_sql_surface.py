@@ -59,9 +59,9 @@ def test_table_functions_on_driver_star(spark):
 
 def test_function_descriptions(spark, star):
     text = " ".join(r[0] for r in spark.sql("DESCRIBE FUNCTION EXTENDED get_top_selling_products").collect())
-    assert "Top N products by net revenue" in text
+    assert "Best-selling products by net revenue" in text
     text = " ".join(r[0] for r in spark.sql("DESCRIBE FUNCTION EXTENDED get_monthly_revenue_trends").collect())
-    assert "NULL for all" in text
+    assert "NULL keeps every year" in text
 
 
 def test_persisted_star_gives_same_results(spark, star):
