@@ -51,3 +51,11 @@ def test_pin_small_cuts_lineage(spark):
     pinned = pin_small(df)
     assert sorted(tuple(r) for r in pinned.collect()) == [(0, 34), (1, 33), (2, 33)]
     assert "Exchange" not in pinned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_by_nulls_last(spark):
+    from tillstar.operators.ranking import sorted_by
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 5)], "k int, v int")
+    assert [r["k"] for r in sorted_by(df, "v").collect()] == [1, 4, 3, 2]
+    assert [r["k"] for r in sorted_by(df, "v", ascending=False).collect()] == [3, 1, 4, 2]

@@ -45,3 +45,12 @@ def change_pct_vs_previous(value: str, order: Sequence[str]) -> Column:
     return F.when(prev.isNull() | (prev == 0), F.lit(None)).otherwise(
         pct(F.col(value) - prev, prev, zero_is_null=True)
     )
+
+
+def sorted_by(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Re-sort a (small) result frame by one column, NULLs last either way,
+    ties by the frame's first column -- how the dashboard re-orders its
+    top-N frames for each chart."""
+    c = F.col(column)
+    key = c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    return df.orderBy(key, F.col(df.columns[0]).asc_nulls_last())
