@@ -65,7 +65,7 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("which", ["products", "customers"])
 def test_every_key_of_the_top_n_queries(spark, duck, which):
     """N above the key count: every product's / customer's figures, favourites included."""
-    from checks import duckdb_oracle as O
+    from tillstar_oracle import duckdb_oracle as O
     from tillstar.functions.metrics import report_types
     from tillstar.plans import analytics as A
     from tillstar.plans.conform import star_from_dir
