@@ -113,6 +113,17 @@ def test_csv_bad_value_fails_load(spark):
     (r,) = read_table_csv(spark, p, "dim_stores").collect()
     assert r["store_name"] == 'Big "One"' and r["city"] is None and r["is_active"] is True
     assert r["open_date"] == dt.date(2020, 1, 2)
+    # quoted empty text is an empty string, unquoted empty is NULL; "" in a typed column fails
+    with open(p, "w") as fh:
+        fh.write("h\n")
+        fh.write('1,u1,S,Outlet,"",,US,North,100,2020-01-02,True,""\n')
+    (r,) = read_table_csv(spark, p, "dim_stores").collect()
+    assert r["city"] == "" and r["state"] is None and r["manager_name"] == ""
+    with open(p, "w") as fh:
+        fh.write("h\n")
+        fh.write('1,u1,S,Outlet,,,US,North,"",2020-01-02,True,\n')
+    with pytest.raises(Exception):
+        read_table_csv(spark, p, "dim_stores").collect()
 
 
 def test_calendar_iso_week_weekday_fiscal(spark):

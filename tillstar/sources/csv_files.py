@@ -3,7 +3,8 @@
 Load semantics kept from the warehouse:
 * columns are bound by position from a declared file-order schema; the
   header row is only skipped;
-* comma separated, ``""`` doubled-quote escaping, empty field = NULL;
+* comma separated, ``""`` doubled-quote escaping, empty field = NULL,
+  quoted empty field = empty string;
 * booleans ``True/False``, dates ``yyyy-MM-dd``;
 * any value that does not parse fails the load (``FAILFAST``): the error
   surfaces on the first action, so write the loaded tables in one job;
@@ -18,14 +19,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tillstar.schema import NOW, STAR_TABLES, TableDef
 from tillstar.star import Star
 
+# A quoted empty field ("") is an empty string, an unquoted one is NULL, as in
+# the warehouse's CSV load.  Spark reads both as NULL unless a quoted empty
+# value is given its own marker, which text columns then turn back into "";
+# in a typed column the marker fails to parse, so "" there fails the load.
+_QUOTED_EMPTY = "\u0000"
+
 CSV_OPTIONS = {
     "header": "true",
     "mode": "FAILFAST",
     "nullValue": "",
+    "emptyValue": _QUOTED_EMPTY,
     "quote": '"',
     "escape": '"',
     "enforceSchema": "true",
@@ -51,6 +60,11 @@ def with_defaults(df: DataFrame, table: TableDef) -> DataFrame:
 def read_table_csv(spark: SparkSession, path: str, table: TableDef | str) -> DataFrame:
     t = STAR_TABLES[table] if isinstance(table, str) else table
     raw = spark.read.options(**CSV_OPTIONS).schema(t.file_struct()).csv(path)
+    raw = raw.select(*[
+        F.when(F.col(f.name) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f.name)).alias(f.name)
+        if isinstance(f.dataType, StringType) else F.col(f.name)
+        for f in raw.schema.fields
+    ])
     return with_defaults(raw, t)
 
 
