@@ -221,3 +221,18 @@ def test_calendar_covering_keys_match_hour_key(spark):
     assert {r["k"] for r in keyed} <= {r["time_sk"] for r in cal} and all(r["on_hour"] for r in keyed)
     off = spark.createDataFrame([(dt.datetime(1995, 1, 2, 5, 30),)], "t timestamp_ntz")
     assert off.select(hour_key(F.col("t"))[1].alias("w")).first()["w"] is False
+
+
+def test_csv_numeric_rounds_and_rejects_overflow(spark):
+    d = tempfile.mkdtemp(prefix="tillstar-numcsv-")
+    p = os.path.join(d, "dim_products.csv")
+    head = ("product_sk,product_id,product_name,category,sub_category,brand,unit_cost,unit_price,"
+            "weight_kg,is_active,launch_date,supplier_country\n")
+    with open(p, "w") as fh:
+        fh.write(head + "1,p1,P,C,,B,1.235,2.234,0.5,True,,\n")
+    (r,) = read_table_csv(spark, p, "dim_products").collect()
+    assert str(r["unit_cost"]) == "1.24" and str(r["unit_price"]) == "2.23"  # NUMERIC(10,2) rounds
+    with open(p, "w") as fh:
+        fh.write(head + "1,p1,P,C,,B,123456789.5,2,0.5,True,,\n")  # 9 integer digits > NUMERIC(10,2)
+    with pytest.raises(Exception):
+        read_table_csv(spark, p, "dim_products").collect()
