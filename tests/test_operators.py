@@ -59,3 +59,19 @@ def test_sorted_by_nulls_last(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 5)], "k int, v int")
     assert [r["k"] for r in sorted_by(df, "v").collect()] == [1, 4, 3, 2]
     assert [r["k"] for r in sorted_by(df, "v", ascending=False).collect()] == [3, 1, 4, 2]
+
+
+def test_restrict_to_keys_literal_and_fallback(spark):
+    from tillstar.operators.joins import restrict_to_keys
+
+    df = spark.range(100).withColumnRenamed("id", "k")
+    keys = spark.createDataFrame([(3,), (7,), (7,)], "k long")
+    lit_path = restrict_to_keys(df, keys, "k")
+    assert sorted(r["k"] for r in lit_path.collect()) == [3, 7]
+    assert "In(" in lit_path._jdf.queryExecution().optimizedPlan().toString() or \
+        "IN (" in lit_path._jdf.queryExecution().optimizedPlan().toString().upper()
+    fallback = restrict_to_keys(df, keys, "k", max_literals=1)
+    assert sorted(r["k"] for r in fallback.collect()) == [3, 7]
+    assert "LeftSemi" in fallback._jdf.queryExecution().optimizedPlan().toString()
+    empty = restrict_to_keys(df, keys.limit(0), "k")
+    assert empty.count() == 0

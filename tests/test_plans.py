@@ -81,3 +81,8 @@ def test_no_python_in_plans(stored):
               A.region_performance(stored), A.top_customers(stored, 10), A.monthly_revenue_trends(stored)):
         p = plan(q)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
+
+
+def test_top_customer_keys_reach_the_fact_scan(stored):
+    scans = fact_scans(A.top_customers(stored, 10))
+    assert any("In(customer_sk" in s for s in scans)

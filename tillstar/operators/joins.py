@@ -46,6 +46,27 @@ def pin_small(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Largest key list turned into a literal IN filter by ``restrict_to_keys``.
+IN_LIST_MAX = 1000
+
+
+def restrict_to_keys(df: DataFrame, keys: DataFrame, key: str, max_literals: int = IN_LIST_MAX) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the small, already computed frame
+    ``keys`` (a pinned top-N list).
+
+    Up to ``max_literals`` keys become a literal ``IN`` predicate: Catalyst
+    pushes it through projections and joins down to the scan that produces
+    the key (a parquet ``PushedFilters: In(...)``), so a fact built from
+    joins is filtered before those joins instead of after them.  Larger key
+    sets fall back to a broadcast semi join.  Only the bounded key list
+    (at most ``max_literals`` values) reaches the driver.
+    """
+    values = [r[0] for r in keys.select(key).limit(max_literals + 1).collect()]
+    if len(values) <= max_literals:
+        return df.where(F.col(key).isin(values))
+    return semi_join(df, F.broadcast(keys.select(key)), key)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key exists in ``keys`` (SQL ``EXISTS``)."""
     return df.join(keys, on, "left_semi")

@@ -27,7 +27,7 @@ from tillstar.functions.metrics import (
     count_pct,
 )
 from tillstar.operators.joins import (
-    DEFAULT_BROADCAST_ROWS, bounded_broadcast, keep_existing, pin_small, semi_join,
+    DEFAULT_BROADCAST_ROWS, bounded_broadcast, keep_existing, pin_small, restrict_to_keys,
 )
 from tillstar.operators.ranking import change_pct_vs_previous, top_n
 from tillstar.star import Star
@@ -219,14 +219,15 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     # n rows, referenced three times below: computed once, lineage cut
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")]))
 
-    # Favourites only for the n winners: the fact restricted to n keys (a
-    # broadcast semi join) and reduced to (customer, product, channel).  Both
+    # Favourites only for the n winners: the fact restricted to the n keys (a
+    # literal IN filter pushed down to the scans) and reduced to (customer,
+    # product, channel).  Both
     # picks then come out of ONE grouping-sets aggregate and ONE groupBy that
     # reads both measures, so Catalyst cannot split the reduction into two
     # differently pruned scans of the fact.  `matched` keeps the warehouse's
     # inner join with the product dimension for the category pick only
     # (product_sk is the dimension's primary key).
-    mine = semi_join(f, bounded_broadcast(top.select("customer_sk")), "customer_sk")
+    mine = restrict_to_keys(f, top, "customer_sk")
     cpc = mine.groupBy("customer_sk", "product_sk", "sales_channel").agg(
         F.sum("net_revenue").alias("rev"), F.count("*").alias("lines"))
     cats = star.products.select("product_sk", "category", F.lit(True).alias("matched"))
