@@ -9,8 +9,9 @@ Scale notes (the plans were checked with ``explain``):
 * aggregates that feed a dimension join run first (group by the foreign
   key, then join the much smaller result), so the fact never shuffles for a
   dimension join it does not need;
-* top-N uses ``TakeOrderedAndProject`` and the names are joined only to the
-  N winners (a bounded broadcast);
+* top-N uses ``TakeOrderedAndProject``; the N winners are pinned and their
+  keys, as a literal IN filter, reach the dimension scans that supply the
+  names (row-group skipping instead of a full dimension scan);
 * favourite category / channel are computed only for the top-N customers
   (semi join on N keys), in one grouping-sets aggregation, picked with
   ``min_by`` (no sort of rows, no per-group lists);
@@ -154,8 +155,10 @@ def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     )
     # inner-join semantics of the warehouse query: only products in the dimension
     stats = keep_existing(stats, star.products, "product_sk")
-    top = top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")])
-    names = star.products.select("product_sk", "product_name", "category", "brand")
+    # n rows, pinned: their keys filter the name lookup at the product scan
+    top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")]))
+    names = restrict_to_keys(star.products, top, "product_sk").select(
+        "product_sk", "product_name", "category", "brand")
     out = bounded_broadcast(top).join(names, "product_sk")
     return out.select(
         "product_sk", "product_name", "category", "brand", "total_quantity", "total_revenue",
@@ -244,7 +247,7 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         .alias("favourite_channel"),
     )
 
-    people = star.customers.select(
+    people = restrict_to_keys(star.customers, top, "customer_sk").select(
         "customer_sk",
         F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("full_name"),
         "email", "loyalty_tier", "country", F.col("age").cast("int").alias("age"),
