@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 @dataclass
@@ -24,7 +24,7 @@ class Star:
             "dim_time": self.time,
         }
 
-    def register_views(self, spark: SparkSession | None = None) -> None:
+    def register_views(self) -> None:
         """Expose the five tables as temp views for ``spark.sql``."""
         for name, df in self.tables().items():
             df.createOrReplaceTempView(name)
