@@ -13,6 +13,8 @@ shown as DOUBLE (``report_types``); the DuckDB twins live in
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -75,6 +77,21 @@ def _dim_stores(star):
     return star.stores.select("store_sk", "store_id", "store_name", "country", "region", "is_active")
 
 
+def _text_queries() -> tuple[dict, dict]:
+    """Queries and oracle SQL of the ``llm`` subpackage and the corpus pipeline; none
+    if these are not there."""
+    queries, sql = {}, {}
+    if importlib.util.find_spec("tillstar.llm") is not None:
+        module = importlib.import_module("tillstar.llm.queries")
+        queries, sql = dict(module.QUERIES), dict(module.ORACLE_SQL)
+        if importlib.util.find_spec("corpus_pipeline") is not None:
+            pipeline = importlib.import_module("corpus_pipeline")
+            queries["pipeline"] = pipeline.run
+            if pipeline.ORACLE_SQL:
+                sql["pipeline"] = pipeline.ORACLE_SQL
+    return queries, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: top-10 products by net revenue on sf0.001."""
     return report_types(A.top_selling_products(star_from_dir(spark, FLAGSHIP_SF_DIR), TOP_N))
@@ -115,9 +132,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_stores": _star_query(_dim_stores),
         "load_report": _star_query(Q.load_report),
         "quality_report": _star_query(Q.quality_report),
+        **_text_queries()[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of ``queries()`` over the pre-registered driver views."""
-    return duckdb_oracle.all_sql()
+    return {**duckdb_oracle.all_sql(), **_text_queries()[1]}
