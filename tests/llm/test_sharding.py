@@ -9,15 +9,13 @@ SCHEMA = "doc_id long, text string, page string, bytes long"
 
 
 def brute(rows, limit):
-    """Splits buckets one by one; repeats that can't be split are left whole."""
+    """Splits buckets one by one."""
     h = [int(hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:12], 16) for i, t, *_ in rows]
     size = [len((t or "").encode()) for _, t, *_ in rows]
     todo, out = [("", list(range(len(rows))))], {}
     while todo:
         bits, members = todo.pop()
-        if sum(size[k] for k in members) <= limit or len({h[k] for k in members}) <= 1 and len(bits) >= 1 and sum(size[k] for k in members) > limit and False:
-            out.update({k: bits for k in members})
-        elif len(bits) == 48:
+        if sum(size[k] for k in members) <= limit or len(bits) == 48:
             out.update({k: bits for k in members})
         else:
             for side in "01":

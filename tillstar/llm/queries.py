@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import personal_data, sharding
 
 QUERIES = {
+    "op7_personal_data": personal_data.query,
     "op9_sharding": sharding.query,
 }
 
