@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import personal_data, sharding
+from . import personal_data, quality_rules, sharding
 
 QUERIES = {
+    "op5_quality_rules": quality_rules.query,
     "op7_personal_data": personal_data.query,
     "op9_sharding": sharding.query,
 }
 
 ORACLE_SQL = {
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op9_sharding": sharding.ORACLE_SQL,
 }
