@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, sharding
+from . import personal_data, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op4_token_counts": token_counts.query,
     "op5_quality_rules": quality_rules.query,
     "op7_personal_data": personal_data.query,
     "op9_sharding": sharding.query,
