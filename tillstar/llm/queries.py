@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, sharding, token_counts
+from . import personal_data, quality_rules, secrets, sharding, token_counts
 
 QUERIES = {
+    "op8_secrets": secrets.query,
     "op4_token_counts": token_counts.query,
     "op5_quality_rules": quality_rules.query,
     "op7_personal_data": personal_data.query,
