@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, secrets, sharding, token_counts
+from . import personal_data, quality_rules, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op8_secrets": secrets.query,
     "op4_token_counts": token_counts.query,
     "op5_quality_rules": quality_rules.query,
