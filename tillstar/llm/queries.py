@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, secrets, sharding, token_counts, toxicity
+from . import packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op10_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op8_secrets": secrets.query,
     "op4_token_counts": token_counts.query,
