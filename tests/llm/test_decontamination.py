@@ -1,0 +1,93 @@
+import os
+import random
+
+import numpy as np
+import pytest
+
+from tillstar.llm import decontamination as D
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_lcs_as_table():
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ([rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randrange(0, 30))] for _ in range(2))
+        assert D.lcs_length(a, b) == lcs(a, b)
+
+
+def corpus(seed=3, n=400):
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 7))) for _ in range(1500)]
+    text = lambda k: " ".join(rnd.choice(vocabulary[: 40 if rnd.random() < 0.4 else 1500]) for _ in range(k))
+    items = [(k, f"{text(rnd.randrange(12, 50))}. {text(5)}") for k in range(30)]
+    docs = [text(rnd.randrange(5, 300)) for _ in range(n)]
+    planted = {}
+    for k, (i, t) in enumerate(items):
+        w = t.split()
+        if k % 3 == 1:  # a paraphrase: every fifth word of the question changed
+            w = [x if j % 5 or j >= len(w) - 5 else f"changed{j}" for j, x in enumerate(w)]
+        if k % 3 == 2:  # case and punctuation changed
+            w = [x.upper() + "," for x in w]
+        d = k * (n // 31)
+        host = docs[d].split()
+        at = rnd.randrange(len(host) + 1)
+        docs[d] = " ".join(host[:at] + w + host[at:])
+        planted[d] = i
+    return docs, items, planted
+
+
+def test_planted_copies_and_paraphrases_are_found_and_nothing_else(spark):
+    docs, items, planted = corpus()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, contamination string")
+    bench = spark.createDataFrame(items + [(None, None), (98, ""), (99, "two words")], "item_id long, text string")
+    got = {r.doc_id: [c.item_id for c in r.contamination] for r in D.find_contamination(df, bench).collect()}
+    assert len(got) == len(docs)
+    assert {d: i for d, i in got.items() if i} == {d: [i] for d, i in planted.items()}
+
+
+def test_odd_rows(spark):
+    rows = [(None, "x"), (1, None), (2, ""), (3, "a b " * 40000), (3, "a b " * 40000), (4, "only one short text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "only one short text here"), (8, "x")], "item_id long, text string")
+    got = D.find_contamination(df, bench).collect()
+    assert sorted((r.doc_id or 0, [c.item_id for c in r.contamination]) for r in got) == [(0, [8]), (1, []), (2, []), (3, []), (3, []), (4, [7])]
+    assert D.find_contamination(df.limit(0), bench).count() == 0
+    assert all(r.contamination == [] for r in D.find_contamination(df, bench.limit(0)).collect())
+
+
+def test_decomposition_as_numpy(spark):
+    """The leading right singular directions of the tf-idf passages are in the latent space."""
+    docs, items, _ = corpus(n=60)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    q = D.make_queries(df, [D.make_item(*x) for x in items])
+    idf = np.array([q.idf[w] for w in sorted(q.features)])
+    f, position, _, _ = D._tokens([t.encode() for t in docs], q.features)
+    a = np.zeros((position[-1] // D.PASSAGE + 1, len(q.features)))
+    np.add.at(a, (position // D.PASSAGE, f), 1)
+    _, _, v = np.linalg.svd(a * idf, full_matrices=False)
+    basis = np.linalg.qr(q.space / idf[:, None])[0]
+    assert np.linalg.norm(basis.T @ v[0]) > 0.95 and np.linalg.norm(basis.T @ v[1]) > 0.5
+    words = sorted({w for i in q.items for w in i.words})
+    assert D.document_frequencies(df, words).tolist() == [sum(w in D.words_of(t.encode()) for t in docs) for w in words]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver test data not present")
+def test_query_as_direct_comparison(spark):
+    """Documents that hold an item word for word, found by joining words with blanks."""
+    sf = "/root/testdata/sf0.01"
+    items = {r.item_id: b" " + b" ".join(D.words_of(r.text.encode())) + b" " for r in D.table(spark, sf, "benchmark").collect()}
+    want = {}
+    for r in D.table(spark, sf, "documents").collect():
+        t = b" " + b" ".join(D.words_of(r.text.encode())) + b" "
+        want[r.doc_id] = {str(i) for i, x in items.items() if x in t}
+    for r in D.query(spark, sf).collect():
+        assert want[r.doc_id] <= set(r["items"].split(","))
+        assert r.contaminated == bool(want[r.doc_id])

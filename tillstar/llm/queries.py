@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
+from . import decontamination, packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op10_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op8_secrets": secrets.query,
