@@ -212,21 +212,22 @@ class Queries:
         found: list[dict[int, float]] = [{} for _ in texts]
         tried: set[tuple[int, int, int]] = set()
         block = position // BLOCK
-        begins_block = np.flatnonzero(np.diff(block, prepend=-1))
-        for blocks, (owners, vectors, least) in self.by_blocks.items():
-            # windows begin with a block that holds a feature
-            heads = begins_block[np.searchsorted(block, block[begins_block] + blocks) - begins_block >= least]
-            for at in range(0, len(heads), CHUNK // blocks):
-                head = heads[at:at + CHUNK // blocks]
+        heads = np.flatnonzero(np.diff(block, prepend=-1))  # windows begin with a block that holds a feature
+        longest = max(self.by_blocks, default=1)
+        for at in range(0, len(heads), CHUNK):
+            head = heads[at:at + CHUNK]
+            low, high = head[0], np.searchsorted(block, block[head[-1]] + longest)
+            line = np.zeros((high - low + 1, self.space.shape[1]))
+            np.cumsum(self.space[f[low:high]], axis=0, out=line[1:])
+            for blocks, (owners, vectors, least) in self.by_blocks.items():
                 end = np.searchsorted(block, block[head] + blocks)
-                low, high = head[0], end[-1]
-                line = np.zeros((high - low + 1, self.space.shape[1]))
-                np.cumsum(self.space[f[low:high]], axis=0, out=line[1:])
-                window = (line[end - low] - line[head - low]).astype(np.float32)
+                full = end - head >= least
+                start = head[full]
+                window = (line[end[full] - low] - line[start - low]).astype(np.float32)
                 norms = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
                 hits = np.argwhere(window @ vectors >= MIN_COSINE * norms[:, None])
                 for h, q in hits.tolist():
-                    first = int(block[head[h]]) * BLOCK
+                    first = int(block[start[h]]) * BLOCK
                     d = int(np.searchsorted(begins, first, side="right")) - 1
                     i, offset = owners[q]
                     self._verify(i, words[d], first - int(begins[d]) - offset, blocks, d, found, tried)
