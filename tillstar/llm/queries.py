@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op3_language_model": language_model.query,
     "op6_jaccard_join": jaccard_join.query,
     "op1_decontamination": decontamination.query,
     "op10_packing": packing.query,
