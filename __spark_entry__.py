@@ -27,7 +27,16 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from tillstar_oracle import duckdb_oracle  # noqa: E402
+from tillstar.functions import formatting as T  # noqa: E402
+from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
+from tillstar.plans import keys as K  # noqa: E402
+from tillstar.plans.calendar import with_holidays  # noqa: E402
+from tillstar.plans.load import key_high_water_marks  # noqa: E402
+from tillstar.schema import STAR_TABLES  # noqa: E402
+from tillstar.session import scratch_path  # noqa: E402
+from tillstar.sources.csv_files import read_table_csv, write_table_csv  # noqa: E402
+from tillstar.star import Star  # noqa: E402
 from tillstar.plans import analytics as A  # noqa: E402
 from tillstar.plans import quality as Q  # noqa: E402
 from tillstar.plans.conform import star_from_dir  # noqa: E402
@@ -77,6 +86,114 @@ def _dim_stores(star):
     return star.stores.select("store_sk", "store_id", "store_name", "country", "region", "is_active")
 
 
+# A star with broken constraints, for the quality report: (column, rows, value).
+DAMAGE = {
+    "fact": [
+        ("sale_sk", "order_id % 47 = 0", "-1L"), ("customer_sk", "order_id % 11 = 0", "NULL"),
+        ("customer_sk", "order_id % 13 = 0", "customer_sk + 1000000000"), ("product_sk", "order_id % 17 = 0", "product_sk + 1000000000"),
+        ("store_sk", "order_id % 19 = 0", "store_sk + 1000000000"), ("time_sk", "order_id % 23 = 0", "-1"),
+        ("quantity", "order_id % 7 = 0", "0"), ("discount_pct", "order_id % 29 = 0", "200"),
+        ("payment_method", "order_id % 31 = 0", "repeat('x', 31)"), ("return_flag", "order_id % 37 = 0", "NULL"),
+        ("profit", "order_id % 41 = 0", "NULL"), ("net_revenue", "order_id % 43 = 0", "cast(99999999999 as decimal(16,2))")],
+    "customers": [
+        ("customer_sk", "customer_sk % 97 = 0", "1L"), ("customer_id", "customer_sk % 5 = 0", "'0'"), ("email", "customer_sk % 7 = 0", "'same'"),
+        ("first_name", "customer_sk % 11 = 0", "NULL"), ("last_name", "customer_sk % 13 = 0", "repeat('x', 81)"),
+        ("age", "customer_sk % 17 = 0", "10"), ("loyalty_tier", "customer_sk % 19 = 0", "'Tin'"), ("gender", "customer_sk % 23 = 0", "'X'")],
+    "products": [
+        ("product_sk", "product_sk % 97 = 0", "1L"), ("product_id", "product_sk % 17 = 0", "'0'"),
+        ("product_name", "product_sk % 5 = 0", "repeat('x', 201)"), ("unit_cost", "product_sk % 7 = 0", "-1"),
+        ("unit_price", "product_sk % 11 = 0", "NULL"), ("category", "product_sk % 13 = 0", "NULL"),
+        ("weight_kg", "product_sk % 19 = 0", "cast(99999999 as decimal(12,2))")],
+    "stores": [
+        ("store_sk", "store_sk % 29 = 0", "1L"), ("store_id", "store_sk % 11 = 0", "'0'"), ("store_type", "store_sk % 3 = 0", "'Kiosk'"),
+        ("sq_footage", "store_sk % 5 = 0", "0"), ("region", "store_sk % 7 = 0", "repeat('x', 21)"),
+        ("manager_name", "store_sk % 13 = 0", "repeat('x', 121)")],
+    "time": [
+        ("time_sk", "time_sk % 1033 = 0", "-7"), ("month", "time_sk % 1009 = 0", "13"), ("hour", "time_sk % 1013 = 0", "24"),
+        ("week", "time_sk % 1019 = 0", "0"), ("month_name", "time_sk % 1021 = 0", "'Abcdefghijklm'"), ("year", "time_sk % 1031 = 0", "NULL")],
+}
+
+
+def _damaged(star: Star) -> Star:
+    def broken(df: DataFrame, changes) -> DataFrame:
+        case: dict[str, str] = {}
+        for column, rows, value in changes:
+            case[column] = case.get(column, "") + f" WHEN {rows} THEN {value}"
+        return df.withColumns({c: F.expr(f"CASE{w} ELSE {c} END") for c, w in case.items()})
+
+    return Star(**{name: broken(getattr(star, name), changes) for name, changes in DAMAGE.items()})
+
+
+def _sql_query(text: str, **params) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the SQL surface: the star's views and table functions, bound parameters."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        S.install(star_from_dir(spark, sf_dir))
+        return report_types(S.query(spark, text, params))
+
+    return run
+
+
+def _csv_round_trip(star: Star) -> DataFrame:
+    """Products with blanks, line breaks, quotes, empty and NULL text through the CSV sink and source."""
+    name, key = F.col("product_name"), F.col("product_sk")
+    odd = star.products.withColumn("product_name", F.when(key % 5 == 0, F.concat(F.lit("  "), name, F.lit("  "))).when(
+        key % 5 == 1, F.concat(name, F.lit('\n"quoted", line'))).otherwise(name))
+    odd = odd.withColumn("sub_category", F.when(key % 3 == 0, F.lit("")).when(key % 3 == 1, F.lit(None)).otherwise(F.col("sub_category")))
+    path = scratch_path(odd.sparkSession, "products-csv")
+    write_table_csv(odd, path, "dim_products")
+    back = read_table_csv(odd.sparkSession, path, STAR_TABLES["dim_products"], multi_line=True)
+    return back.select("product_sk", "product_id", "product_name", "category", "sub_category", "brand", "unit_cost", "unit_price", "is_active")
+
+
+def _holiday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = star_from_dir(spark, sf_dir)
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 500 = 0").select(F.to_date("o_orderdate").alias("holiday_date"))
+    return with_holidays(star.time, days).select("time_sk", "is_holiday")
+
+
+def _key_summary(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("k").alias("n"), F.min("k").alias("lowest"), F.max("k").alias("highest"),
+                  F.count_distinct("k").alias("distinct_keys"))
+
+
+def _dense_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _key_summary(K.dense_keys(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name"), "k"))
+
+
+def _continued_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    return _key_summary(K.continue_keys(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name"), known, "k"))
+
+
+def _high_water_marks(star: Star) -> DataFrame:
+    # the driver tables have no key for sales (sale_sk is unique, not numbered)
+    return key_high_water_marks(star).where("table_name <> 'fact_sales'")
+
+
+def _formatted_products(star: Star) -> DataFrame:
+    return A.top_selling_products(star, A.TOP_N_MAX).select(
+        "product_sk", T.money("total_revenue").alias("total_revenue"), T.percent("profit_margin").alias("profit_margin"),
+        T.thousands("total_quantity").alias("total_quantity"), T.signed_percent("profit_margin").alias("signed_margin"))
+
+
+def _formatted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    seconds = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    rows = orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
+    return rows.select("o_orderkey", T.epoch_date_text(seconds).alias("day"), T.composed_name("c_name", "c_mktsegment").alias("who"))
+
+
+def _restricted_deletes(star: Star) -> DataFrame:
+    """A third of the products is to go; those with returned sales have to stay."""
+    plan = star.products.where("product_sk % 3 = 0").select("product_sk")
+    blocked, free = Q.restricted_deletes(star.fact.where("return_flag"), plan, "product_sk")
+    return blocked.withColumn("blocked", F.lit(True)).unionByName(free.withColumn("blocked", F.lit(False)))
+
+
+def _validated_top_products(star: Star) -> DataFrame:
+    return A.top_selling_products(star, A.validate_top_n(A.TOP_N_MIN))
+
+
 def _text_queries() -> tuple[dict, dict]:
     """Queries and oracle SQL of the ``llm`` subpackage and the corpus pipeline; none
     if these are not there."""
@@ -132,6 +249,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_stores": _star_query(_dim_stores),
         "load_report": _star_query(Q.load_report),
         "quality_report": _star_query(Q.quality_report),
+        "quality_report_damaged": _star_query(lambda star: Q.quality_report(_damaged(star))),
+        "top_selling_products_2000": _star_query(A.top_selling_products, n=2000),
+        "top_customers_2000": _star_query(A.top_customers, n=2000),
+        "sql_top_selling_products": _sql_query("SELECT * FROM get_top_selling_products(:n)", n=TOP_N),
+        "sql_monthly_revenue_trends": _sql_query("SELECT * FROM get_monthly_revenue_trends(:year)", year=TREND_YEAR),
+        "sql_top_customers": _sql_query("SELECT * FROM get_top_customers(:n)", n=TOP_N),
+        "sql_category_performance": _sql_query("SELECT * FROM vw_category_performance"),
+        "sql_channel_performance": _sql_query("SELECT * FROM vw_channel_performance"),
+        "sql_region_performance": _sql_query("SELECT * FROM vw_region_performance"),
+        "csv_round_trip": _star_query(_csv_round_trip),
+        "holiday_calendar": _holiday_calendar,
+        "dense_keys": _dense_keys,
+        "continued_keys": _continued_keys,
+        "key_high_water_marks": _star_query(_high_water_marks),
+        "formatted_products": _star_query(_formatted_products),
+        "formatted_dates": _formatted_dates,
+        "restricted_deletes": _star_query(_restricted_deletes),
+        "validated_top_products": _star_query(_validated_top_products),
         **_text_queries()[0],
     }
 

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tillstar.operators.joins import checked_broadcast, keep_existing, pin_small, row_count_at_most
+from tillstar.operators.joins import keep_existing, pin_small
 from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 
 
@@ -30,16 +30,6 @@ def test_change_vs_previous_row(spark):
     assert [r["chg"] for r in out] == [None, Decimal("-100.00"), None, Decimal("50.00")]
 
 
-def test_checked_broadcast_only_below_bound(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert row_count_at_most(small, 10) and not row_count_at_most(big, 10)
-    hinted = checked_broadcast(small, 10).join(spark.range(100), "id")
-    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-    plain = checked_broadcast(big, 10)
-    assert "ResolvedHint" not in plain._jdf.queryExecution().analyzed().toString()
-
-
 def test_keep_existing_is_inner_semantics_without_duplicates(spark):
     stats = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k int, s int")
     dim = spark.createDataFrame([(1,), (1,), (3,)], "k int")  # duplicate key in the dimension
@@ -61,17 +51,47 @@ def test_sorted_by_nulls_last(spark):
     assert [r["k"] for r in sorted_by(df, "v", ascending=False).collect()] == [3, 1, 4, 2]
 
 
-def test_restrict_to_keys_literal_and_fallback(spark):
-    from tillstar.operators.joins import restrict_to_keys
-
-    df = spark.range(100).withColumnRenamed("id", "k")
-    keys = spark.createDataFrame([(3,), (7,), (7,)], "k long")
-    lit_path = restrict_to_keys(df, keys, "k")
-    assert sorted(r["k"] for r in lit_path.collect()) == [3, 7]
-    assert "In(" in lit_path._jdf.queryExecution().optimizedPlan().toString() or \
-        "IN (" in lit_path._jdf.queryExecution().optimizedPlan().toString().upper()
-    fallback = restrict_to_keys(df, keys, "k", max_literals=1)
-    assert sorted(r["k"] for r in fallback.collect()) == [3, 7]
-    assert "LeftSemi" in fallback._jdf.queryExecution().optimizedPlan().toString()
-    empty = restrict_to_keys(df, keys.limit(0), "k")
-    assert empty.count() == 0
+def test_pinned_rows_keep_their_size_for_the_planner(spark):
+    """Few pinned rows are broadcast and many are not, without hints."""
+    def plan(n):
+        big = spark.range(0, 100_000).selectExpr("id AS k", "repeat('x', 100) AS pad")
+        top = pin_small(top_n(big, n, [F.col("k")]))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+        try:
+            joined = spark.range(0, 1_000_000).selectExpr("id AS k").join(top, "k")
+            return joined._jdf.queryExecution().sparkPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    assert "BroadcastHashJoin" in plan(10)
+    assert "BroadcastHashJoin" not in plan(50_000)
+
+
+def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
+    import pytest
+
+    from tillstar import session
+
+    class Context:
+        def __init__(self, current):
+            self.current = current
+
+        def getCheckpointDir(self):
+            return self.current
+
+        def setCheckpointDir(self, path):
+            self.current = path
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = Conf({k.replace("_", "."): v for k, v in conf.items()}), Context(None)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(Session(spark_master=master))
+        assert session.ensure_checkpoint_dir(Session(spark_master=master, spark_checkpoint_dir="hdfs:///x")) == "hdfs:///x"
+    assert session.ensure_checkpoint_dir(Session(spark_master="local[2]")).startswith("/")

@@ -48,6 +48,17 @@ def test_table_functions_match_dataframe_functions(spark, star):
     assert S.status(spark).first()[0] == "Functions and views created successfully"
 
 
+def test_table_functions_are_ordered(spark, star):
+    """As consumed: in the order of the result, nothing sorted here."""
+    for n in (1, 3, 2000):
+        got = [r["product_sk"] for r in S.query(spark, "SELECT * FROM get_top_selling_products(:n)", {"n": n}).collect()]
+        assert got == [r["product_sk"] for r in A.top_selling_products(star, n).collect()]
+        got = [r["customer_sk"] for r in S.query(spark, "SELECT * FROM get_top_customers(:n)", {"n": n}).collect()]
+        assert got == [r["customer_sk"] for r in A.top_customers(star, n).collect()]
+    months = [(r["year"], r["month"]) for r in S.query(spark, "SELECT * FROM get_monthly_revenue_trends()").collect()]
+    assert months == sorted(months) and len(months) > 5
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver data not present")
 def test_table_functions_on_driver_star(spark):
     s = star_from_dir(spark, "/root/testdata/sf0.001")

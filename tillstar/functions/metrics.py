@@ -96,15 +96,17 @@ def share_pct(col: str | Column) -> Column:
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
     """``ROUND(SUM(value * weight) / SUM(weight), 2)``; NULL when weights sum to 0.
 
-    The product of two money sums needs up to 38 digits at warehouse scale, so
-    Spark keeps 6 fractional digits in this quotient (not 12 as elsewhere):
-    a half-cent tie can only be mis-rounded if the exact value lies within
-    5e-7 below it.
+    The rounding is done on whole numbers, so no quotient is cut before it: with
+    value x weight sums in units of 0.0001 and weights in 0.01, the result in cents is
+    (2 n + d) div 2 d for n, d > 0, away from zero.
     """
     v, w = _c(value).cast(_OPERAND), _c(weight).cast(_OPERAND)
-    num = F.sum(v * w)
-    den = F.sum(w)
-    return F.round(F.when(den != 0, num / den), 2).cast(MONEY)
+    whole = DecimalType(38, 0)
+    n = (F.sum(v * w) * 10000).cast(whole)   # 1/10000
+    d = (F.sum(w) * 100).cast(whole)         # cents
+    sign = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
+    cents = F.floor((F.abs(n) - F.abs(n) % F.abs(d)) / F.abs(d)) + F.when(2 * (F.abs(n) % F.abs(d)) >= F.abs(d), 1).otherwise(0)
+    return F.when(d != 0, (cents * sign).cast(DecimalType(24, 0)) / 100).cast(MONEY)
 
 
 def report_types(df: DataFrame) -> DataFrame:

@@ -1,44 +1,20 @@
-"""Join helpers: broadcast only behind a size check, FK-style semi/anti joins."""
+"""Join helpers: FK-style semi/anti joins, dimension checks above aggregates, pinned results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest row count we ever broadcast on purpose.  Above it the join is left
-# to Catalyst/AQE (sort-merge, or a runtime broadcast if the shuffle turns out
-# small).
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows.
-
-    Runs ``limit(max_rows + 1).count()``: it stops reading as soon as the bound
-    is exceeded, so it is cheap even when ``df`` is large.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its row count is proven <= ``max_rows``, else ``df``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a frame whose size is bounded by construction (a ``limit(n)``
-    result, a one-row aggregate).  The bound is the caller's contract."""
-    return F.broadcast(df)
 
 
 def pin_small(df: DataFrame) -> DataFrame:
     """Compute a small, bounded result once and cut its lineage.
 
     ``checkpoint(eager=True)`` writes it to the cluster's shared
-    ``spark.checkpoint.dir`` (a test session gets a temp dir), so a result
+    ``spark.checkpoint.dir`` (a local test session gets a temp dir), so a result
     referenced several times in a later plan -- a top-N list used as join
     keys and as rows -- is not recomputed per reference, and survives the
-    loss of the executors that computed it.
+    loss of the executors that computed it.  The planner keeps the size estimate of
+    the computed plan (N rows for a top-N), so joins with it need no hint: few rows
+    are broadcast, many are sort-merged.
     """
     from tillstar.session import ensure_checkpoint_dir
 
@@ -46,27 +22,6 @@ def pin_small(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Largest key list turned into a literal IN filter by ``restrict_to_keys``.
-IN_LIST_MAX = 1000
-
-
-def restrict_to_keys(df: DataFrame, keys: DataFrame, key: str, max_literals: int = IN_LIST_MAX) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the small, already computed frame
-    ``keys`` (a pinned top-N list).
-
-    Up to ``max_literals`` keys become a literal ``IN`` predicate: Catalyst
-    pushes it through projections and joins down to the scan that produces
-    the key (a parquet ``PushedFilters: In(...)``), so a fact built from
-    joins is filtered before those joins instead of after them.  Larger key
-    sets fall back to a broadcast semi join.  Only the bounded key list
-    (at most ``max_literals`` values) reaches the driver.
-    """
-    values = [r[0] for r in keys.select(key).limit(max_literals + 1).collect()]
-    if len(values) <= max_literals:
-        return df.where(F.col(key).isin(values))
-    return semi_join(df, F.broadcast(keys.select(key)), key)
-
-
 def semi_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key exists in ``keys`` (SQL ``EXISTS``)."""
     return df.join(keys, on, "left_semi")

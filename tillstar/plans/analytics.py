@@ -2,16 +2,17 @@
 
 Q1-Q8 are the warehouse's queries (KPI row, three views, tier breakdown,
 three table functions); Q9-Q22 are the roll-ups the dashboard computes from
-their results.  Every function takes a ``Star`` and returns a lazy
-DataFrame; nothing is collected except the <= 12 month names a pivot needs.
+their results.  Every function takes a ``Star`` and returns a DataFrame.  Three run a job
+when called: the top-N functions pin their N rows, the heat map pins one row per
+month and collects the months present (12 at most), and the trends of one year
+read that year's key range from a stored calendar (two numbers).
 
 Scale notes (the plans were checked with ``explain``):
 * aggregates that feed a dimension join run first (group by the foreign
   key, then join the much smaller result), so the fact never shuffles for a
   dimension join it does not need;
-* top-N uses ``TakeOrderedAndProject``; the N winners are pinned and their
-  keys, as a literal IN filter, reach the dimension scans that supply the
-  names (row-group skipping instead of a full dimension scan);
+* top-N uses ``TakeOrderedAndProject``; the N winners are pinned and joined without
+  a hint, whatever N: the planner knows their size;
 * favourite category / channel are computed only for the top-N customers
   (semi join on N keys), in one grouping-sets aggregation, picked with
   ``min_by`` (no sort of rows, no per-group lists);
@@ -27,10 +28,9 @@ from tillstar.functions.metrics import (
     avg_of_sums, exact_avg, flag_count, int_sum, money_sum, pct, share_pct, weighted_mean,
     count_pct,
 )
-from tillstar.operators.joins import (
-    DEFAULT_BROADCAST_ROWS, bounded_broadcast, keep_existing, pin_small, restrict_to_keys,
-)
+from tillstar.operators.joins import keep_existing, pin_small, semi_join
 from tillstar.operators.ranking import change_pct_vs_previous, top_n
+from tillstar.plans.calendar import hour_keys_of_year
 from tillstar.star import Star
 
 # Loyalty tiers in display rank order; calendar month order.
@@ -111,15 +111,23 @@ def channel_performance(star: Star) -> DataFrame:
 
 # --------------------------------------------------------------------------- Q4
 def region_performance(star: Star) -> DataFrame:
+    """Per (region, country).  Sums come from one row per store; orders from the distinct
+    (region, country, order) keys.  Two distinct counts in one aggregate would expand every
+    fact row three times."""
     f = star.fact.select("store_sk", "order_id", "net_revenue", "profit")
     s = star.stores.select("store_sk", "region", "country")
-    out = f.join(s, "store_sk").groupBy("region", "country").agg(
+    per_store = f.groupBy("store_sk").agg(
+        F.sum("net_revenue").alias("rev"), F.sum("profit").alias("prof"), F.count("net_revenue").alias("n"))
+    sums = per_store.join(s, "store_sk").groupBy("region", "country").agg(
         F.count_distinct("store_sk").alias("store_count"),
-        money_sum("net_revenue").alias("total_revenue"),
-        money_sum("profit").alias("total_profit"),
-        F.count_distinct("order_id").alias("total_orders"),
-        exact_avg("net_revenue").alias("avg_order_value"),
+        money_sum("rev").alias("total_revenue"),
+        money_sum("prof").alias("total_profit"),
+        avg_of_sums(F.sum("rev"), F.sum("n")).alias("avg_order_value"),
     )
+    orders = f.select("store_sk", "order_id").join(s, "store_sk").groupBy("region", "country", "order_id").agg(F.lit(1).alias("one"))
+    orders = orders.groupBy(F.col("region").alias("r"), F.col("country").alias("c")).agg(F.count("order_id").alias("total_orders"))
+    out = sums.join(orders, F.col("region").eqNullSafe(F.col("r")) & F.col("country").eqNullSafe(F.col("c"))).select(
+        "region", "country", "store_count", "total_revenue", "total_profit", "total_orders", "avg_order_value")
     return out.orderBy(_desc("total_revenue"), _asc("region"), _asc("country"))
 
 
@@ -155,11 +163,8 @@ def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     )
     # inner-join semantics of the warehouse query: only products in the dimension
     stats = keep_existing(stats, star.products, "product_sk")
-    # n rows, pinned: their keys filter the name lookup at the product scan
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")]))
-    names = restrict_to_keys(star.products, top, "product_sk").select(
-        "product_sk", "product_name", "category", "brand")
-    out = bounded_broadcast(top).join(names, "product_sk")
+    out = star.products.select("product_sk", "product_name", "category", "brand").join(top, "product_sk")
     return out.select(
         "product_sk", "product_name", "category", "brand", "total_quantity", "total_revenue",
         "total_cost", "total_profit", "profit_margin", "avg_unit_price", "total_orders",
@@ -176,15 +181,14 @@ def monthly_revenue_trends(star: Star, year: int | None = None) -> DataFrame:
     fact = star.fact
     if year is not None:
         t = t.where(F.col("year") == int(year))
-    # One small job over the calendar (one row per hour of the covered span):
-    # its row count gates the broadcast, and with a year filter its time_sk
-    # bounds become a literal range on the fact -- a superset the join then
-    # narrows exactly -- that the parquet reader can use to skip row groups.
-    rows, lo, hi = t.agg(F.count(F.lit(1)), F.min("time_sk"), F.max("time_sk")).first()
-    if year is not None:
+        # The year's time_sk bounds as a literal range on the fact: a superset that the join
+        # narrows exactly, by which the parquet reader can skip row groups.  Hour keys
+        # follow from the year; other keys are read from the (stored) calendar.
+        lo, hi = hour_keys_of_year(int(year)) if star.hour_epoch_keys else t.agg(F.min("time_sk"), F.max("time_sk")).first()
         fact = fact.where(F.col("time_sk").between(F.lit(lo), F.lit(hi)))
-    t = F.broadcast(t) if rows <= DEFAULT_BROADCAST_ROWS else t
-    monthly = fact.join(t, "time_sk").groupBy("year", "month", "month_name").agg(
+    # the calendar has one row per hour of the covered span, however many sales there are:
+    # under 100,000 for ten years
+    monthly = fact.join(F.broadcast(t), "time_sk").groupBy("year", "month", "month_name").agg(
         money_sum("net_revenue").alias("total_revenue"),
         money_sum("profit").alias("total_profit"),
         money_sum("total_cost").alias("total_cost"),
@@ -222,15 +226,13 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     # n rows, referenced three times below: computed once, lineage cut
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")]))
 
-    # Favourites only for the n winners: the fact restricted to the n keys (a
-    # literal IN filter pushed down to the scans) and reduced to (customer,
-    # product, channel).  Both
-    # picks then come out of ONE grouping-sets aggregate and ONE groupBy that
+    # Favourites only for the n winners: the fact restricted to the n keys and reduced to
+    # (customer, product, channel).  Both picks then come out of ONE grouping-sets aggregate and ONE groupBy that
     # reads both measures, so Catalyst cannot split the reduction into two
     # differently pruned scans of the fact.  `matched` keeps the warehouse's
     # inner join with the product dimension for the category pick only
     # (product_sk is the dimension's primary key).
-    mine = restrict_to_keys(f, top, "customer_sk")
+    mine = semi_join(f, top.select("customer_sk"), "customer_sk")
     cpc = mine.groupBy("customer_sk", "product_sk", "sales_channel").agg(
         F.sum("net_revenue").alias("rev"), F.count("*").alias("lines"))
     cats = star.products.select("product_sk", "category", F.lit(True).alias("matched"))
@@ -247,13 +249,12 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         .alias("favourite_channel"),
     )
 
-    people = restrict_to_keys(star.customers, top, "customer_sk").select(
+    people = star.customers.select(
         "customer_sk",
         F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("full_name"),
         "email", "loyalty_tier", "country", F.col("age").cast("int").alias("age"),
     )
-    # favourites has at most n rows (one per winner)
-    out = bounded_broadcast(top).join(people, "customer_sk").join(bounded_broadcast(favourites), "customer_sk", "left")
+    out = people.join(top, "customer_sk").join(favourites, "customer_sk", "left")
     return out.select(
         "customer_sk", "full_name", "email", "loyalty_tier", "country", "age", "total_revenue",
         "total_profit", "total_orders", "total_quantity", "avg_order_value", "total_returns",

@@ -62,18 +62,23 @@ def hourly_calendar(spark: SparkSession, start: _dt.datetime | str, periods: int
 
 
 # Fixed value: origin of the hour keys of data-derived calendars.
-HOUR_KEY_EPOCH = "1970-01-01 00:00:00"
-HOUR_MICROS = 3_600_000_000
+HOUR_KEY_EPOCH = "1970-01-01"
 
 
-def hour_key(ts: Column) -> tuple[Column, Column]:
-    """(time_sk, on_the_hour) of a TIMESTAMP_NTZ: whole hours since
-    ``HOUR_KEY_EPOCH``, and whether ``ts`` falls exactly on the hour (only
-    those have a calendar row).  Pure arithmetic, time-zone independent: a
-    fact gets its calendar key without a join, and keys never change when
-    later loads widen the calendar."""
-    micros = F.timestamp_diff("MICROSECOND", F.lit(HOUR_KEY_EPOCH).cast("timestamp_ntz"), ts)
-    return F.floor(micros / HOUR_MICROS).cast("int"), (micros % HOUR_MICROS) == 0
+def hour_key(ts: Column) -> Column:
+    """``time_sk`` of a TIMESTAMP_NTZ: hours from ``HOUR_KEY_EPOCH`` to the hour that
+    holds ``ts``.  Built from the date and the hour as written, so the session time
+    zone plays no part: a fact gets its calendar key without a join, and keys
+    never change when later loads widen the calendar."""
+    days = F.datediff(F.to_date(ts), F.lit(HOUR_KEY_EPOCH).cast("date"))
+    return (days * 24 + F.hour(ts)).cast("int")
+
+
+def hour_keys_of_year(year: int) -> tuple[int, int]:
+    """First and last ``hour_key`` of a year."""
+    epoch = _dt.date.fromisoformat(HOUR_KEY_EPOCH)
+    first = (_dt.date(year, 1, 1) - epoch).days * 24
+    return first, (_dt.date(year, 12, 31) - epoch).days * 24 + 23
 
 
 def calendar_covering(df: DataFrame, ts_col: str) -> DataFrame:
@@ -90,7 +95,7 @@ def calendar_covering(df: DataFrame, ts_col: str) -> DataFrame:
         (F.to_date(F.max(ts)).cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")).alias("hi"),
     )
     hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    hours = hours.select(hour_key(F.col("ts"))[0].alias("time_sk"), "ts")
+    hours = hours.select(hour_key(F.col("ts")).alias("time_sk"), "ts")
     return _finish(hours)
 
 

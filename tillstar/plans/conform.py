@@ -1,11 +1,15 @@
 """Conform the driver's TPC-H-shaped tables to the retail star.
 
-    fact_sales    = lineitem JOIN part (partkey) JOIN orders (orderkey) JOIN dim_time (order date)
+    fact_sales    = lineitem LEFT JOIN part (partkey) LEFT JOIN orders (orderkey)
     dim_products  = part
     dim_stores    = supplier LEFT JOIN nation LEFT JOIN region
     dim_customers = customer LEFT JOIN nation
     dim_time      = hourly calendar covering the order dates
 
+Every line becomes one fact row.  A line without its part has NULL cost and profit, one
+without its order has NULL customer and time: the quality report counts them, and the
+analytics' own dimension joins decide about them.
+
 Plan shape: the fact joins part first and orders second, so at scale (two
 sort-merge joins) it comes out hash-partitioned by the order key and
 distinct-order counts need no extra exchange.  Join strategies are left
@@ -78,6 +82,13 @@ def sales_measures(gross: Column, disc_rate: Column, tax_rate: Column, share: Co
     }
 
 
+def whole_number(col: str) -> Column:
+    """The column as INT; a value with a fraction fails the load instead of being cut."""
+    c = F.col(col)
+    return F.when(c != F.floor(c), F.raise_error(F.concat(F.lit(f"{col} is not a whole number: "), c.cast("string"))).cast("int")
+                  ).otherwise(c.cast("int"))
+
+
 def conform_fact(tables: DriverTables) -> DataFrame:
     li = tables.lineitem.select(
         # unique per scan split and stable on recompute (assigned before any shuffle)
@@ -89,11 +100,10 @@ def conform_fact(tables: DriverTables) -> DataFrame:
     part = tables.part.select("p_partkey", cost_share(F.col("p_retailprice").cast(D(6, 2))).alias("cost_share"))
     orders = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
 
-    lines = li.join(part, li.l_partkey == part.p_partkey)
-    lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    lines = li.join(part, li.l_partkey == part.p_partkey, "left")
+    lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
     # the calendar key is arithmetic on the order date: no lookup join, no subquery
-    time_sk, on_the_hour = hour_key(F.col("o_orderdate"))
-    lines = lines.where(on_the_hour).withColumn("time_sk", time_sk)
+    lines = lines.withColumn("time_sk", hour_key(F.col("o_orderdate")))
 
     returned = F.col("l_returnflag") == RETURNED_FLAG
     m = sales_measures(
@@ -101,7 +111,7 @@ def conform_fact(tables: DriverTables) -> DataFrame:
         disc_rate=F.col("l_discount").cast(D(5, 2)),
         tax_rate=F.col("l_tax").cast(D(5, 2)),
         share=F.col("cost_share"),
-        quantity=F.col("l_quantity").cast("int"),
+        quantity=whole_number("l_quantity"),
         returned=returned,
     )
     return lines.select(
@@ -197,6 +207,7 @@ def conform(tables: DriverTables) -> Star:
         products=conform_products(tables),
         stores=conform_stores(tables),
         time=calendar.select(*CALENDAR_COLUMNS, F.current_timestamp().alias("created_at")),
+        hour_epoch_keys=True,
     )
 
 

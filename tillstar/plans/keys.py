@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillstar.operators.joins import bounded_broadcast
 from tillstar.session import ensure_checkpoint_dir
 
 
@@ -26,9 +25,9 @@ def dense_keys(df: DataFrame, col: str, start: int = 1, stable_input: bool = Fal
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a bounded broadcast
+    # one row per partition of the input, whatever its rows
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = tagged.join(bounded_broadcast(offsets), "_pid")
+    out = tagged.join(F.broadcast(offsets), "_pid")
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return out.withColumn(col, F.col("_off") + pos + F.lit(start)).drop("_pid", "_mid", "_off")
 

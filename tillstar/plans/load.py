@@ -5,9 +5,10 @@
 1. read the five CSV files with their declared types (FAILFAST: a value
    that does not parse fails the load);
 2. write them as parquet to a new versioned directory under ``base`` -- a
-   failed load leaves every earlier version untouched, and readers switch
-   to ``result.path`` only after it succeeded;
-3. report row counts, the constraint checks, and each table's key
+   failed load leaves every earlier version untouched;
+3. make the new version the current one (``current_path`` finds it), unless
+   ``refuse_violations`` is set and a constraint check counts any violation;
+4. report row counts, the constraint checks, and each table's key
    high-water mark (where new keys continue), all computed on Spark from
    the stored tables.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tillstar.plans.quality import load_report, quality_report
 from tillstar.schema import STAR_TABLES
 from tillstar.sources.csv_files import read_star_csv
-from tillstar.sources.parquet_store import read_star, versioned_path, write_star
+from tillstar.sources.parquet_store import read_star, set_current, versioned_path, write_star
 from tillstar.star import Star
 
 
@@ -49,8 +50,22 @@ def key_high_water_marks(star: Star) -> DataFrame:
     return out
 
 
-def load_warehouse(spark: SparkSession, csv_dir: str, base: str) -> LoadResult:
+class ConstraintViolation(ValueError):
+    """The load broke declared constraints; ``.report`` has the rules and counts."""
+
+    def __init__(self, report: DataFrame):
+        self.report = report.where("violations > 0")
+        rows = self.report.orderBy("rule", "table_name", "column_name").collect()  # at most one row per rule
+        super().__init__(", ".join(f"{r['rule']} {r['table_name']}.{r['column_name']}: {r['violations']}" for r in rows))
+
+
+def load_warehouse(spark: SparkSession, csv_dir: str, base: str, refuse_violations: bool = False,
+                   multi_line: bool = False) -> LoadResult:
     root = versioned_path(base)
-    write_star(read_star_csv(spark, csv_dir), root)
+    write_star(read_star_csv(spark, csv_dir, multi_line), root)
     stored = read_star(spark, root)
-    return LoadResult(root, stored, load_report(stored), quality_report(stored), key_high_water_marks(stored))
+    report = quality_report(stored)
+    if refuse_violations and not report.where("violations > 0").isEmpty():
+        raise ConstraintViolation(report)
+    set_current(spark, base, root)
+    return LoadResult(root, stored, load_report(stored), report, key_high_water_marks(stored))

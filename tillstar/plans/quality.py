@@ -5,11 +5,11 @@ range), FOREIGN KEY, VARCHAR(n) and NUMERIC(p,s) while loading.  Here each
 becomes a counting rule and ``quality_report`` returns one row per rule:
 ``rule, table_name, column_name, violations``.
 
-Cost per table: one aggregate pass holds every NOT NULL / domain / range /
-length / precision counter plus the key-uniqueness counts.  Foreign keys
-are checked on the fact reduced to distinct key values first (partial
-aggregation, so a hot key costs nothing), then anti-joined to the
-dimension keys.  ``violating_rows`` returns the offending rows of one rule.
+Cost per table: one aggregate with every NOT NULL / domain / range / length /
+precision counter (no distinct, so one row per task is shuffled); one scan of a single
+column for each unique key; and one for each foreign key, reduced to a row count per
+key value (a hot key costs nothing) before it meets the dimension's keys.
+``violating_rows`` returns the offending rows of one rule.
 Like SQL CHECK constraints, a NULL value never violates a domain, range,
 length or precision rule.
 """
@@ -89,55 +89,35 @@ def violation_condition(r: Rule) -> Column:
     raise ValueError(f"rule {r.rule} has no row predicate")
 
 
-def _counter(r: Rule, i: int) -> Column:
-    if r.rule in ("B2_primary_key", "B2_unique"):
-        c = F.col(r.column)
-        return (F.count(c) - F.count_distinct(c)).alias(f"r{i}")
-    return F.count_if(violation_condition(r)).alias(f"r{i}")
-
-
-def _table_report(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One aggregate pass over ``df`` for all non-FK rules, unpivoted to rows."""
-    present = set(df.columns)
-    rules = [r for r in rules if r.column in present]
-    if not rules:
-        return None
-    one_row = df.agg(*[_counter(r, i) for i, r in enumerate(rules)])
-    stacked = one_row.select(F.explode(F.array(*[
-        F.struct(F.lit(r.rule).alias("rule"), F.lit(r.table).alias("table_name"),
-                 F.lit(r.column).alias("column_name"), F.col(f"r{i}").cast("bigint").alias("violations"))
-        for i, r in enumerate(rules)
-    ])).alias("v"))
-    return stacked.select("v.*")
-
-
-def foreign_key_violations(fact: DataFrame, fk: str, dim: DataFrame, key: str) -> DataFrame:
-    """Fact rows whose ``fk`` has no match in ``dim.key`` (NULL keys excluded,
-    they are NOT NULL violations), counted after reducing the fact to one
-    row per key value."""
-    per_key = fact.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count("*").alias("n"))
-    missing = anti_join(per_key, dim.select(F.col(key).alias(fk)), fk)
-    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
-
-
-def _foreign_key_report(df: DataFrame, fk_rules: list[Rule], tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """All foreign keys of one table from a single pass: per-key row counts
-    for every key column at once (GROUPING SETS, one partial aggregation),
-    each then anti-joined to its dimension's keys."""
-    keys = [r.column for r in fk_rules]
-    per_key = df.groupingSets([[k] for k in keys], *keys).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"))
-    out = []
-    for i, r in enumerate(fk_rules):
-        # grouping_id has bit (len-1-j) set for every key j not in the set
-        gid = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
-        counts = per_key.where((F.col("_gid") == gid) & F.col(r.column).isNotNull()).select(r.column, "n")
-        ref_table, ref_col = r.params
-        missing = anti_join(counts, tables[ref_table].select(F.col(ref_col).alias(r.column)), r.column)
-        out.append(missing.agg(
-            F.lit(r.rule).alias("rule"), F.lit(r.table).alias("table_name"), F.lit(r.column).alias("column_name"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations")))
-    return out
+UNIQUE = ("B2_primary_key", "B2_unique")
+
+
+def _row(r: Rule, violations: Column) -> list[Column]:
+    return [F.lit(r.rule).alias("rule"), F.lit(r.table).alias("table_name"), F.lit(r.column).alias("column_name"),
+            violations.cast("bigint").alias("violations")]
+
+
+def _counted(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Row rules: one aggregate over ``df``, unpivoted to a row per rule."""
+    one_row = df.agg(*[F.count_if(violation_condition(r)).alias(f"r{i}") for i, r in enumerate(rules)])
+    return one_row.select(F.explode(F.array(*[F.struct(*_row(r, F.col(f"r{i}"))) for i, r in enumerate(rules)])).alias("v")).select("v.*")
+
+
+def _repeated(df: DataFrame, r: Rule) -> DataFrame:
+    """A unique key: rows beyond the first of each value."""
+    per_key = df.where(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(*_row(r, F.col("n")))
+
+
+def _unmatched(df: DataFrame, r: Rule, tables: dict[str, DataFrame]) -> DataFrame:
+    """A foreign key: rows whose value the dimension lacks (NULL keys are NOT NULL violations).
+    A left join with the distinct dimension keys stays above the aggregate; an anti join
+    would be moved below it, onto the raw rows."""
+    per_key = df.where(F.col(r.column).isNotNull()).groupBy(F.col(r.column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    table, column = r.params
+    there = tables[table].select(F.col(column).alias("there")).where("there is not null").distinct()
+    found = per_key.join(there, F.col("k") == F.col("there"), "left")
+    return found.agg(F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("n")).select(*_row(r, F.col("n")))
 
 
 def quality_report(star: Star, rules: list[Rule] | None = None) -> DataFrame:
@@ -146,13 +126,12 @@ def quality_report(star: Star, rules: list[Rule] | None = None) -> DataFrame:
     tables = star.tables()
     parts: list[DataFrame] = []
     for name, df in tables.items():
-        own = [r for r in rules if r.table == name and r.rule != "B5_foreign_key"]
-        rep = _table_report(df, own)
-        if rep is not None:
-            parts.append(rep)
-        fks = [r for r in rules if r.table == name and r.rule == "B5_foreign_key"]
-        if fks:
-            parts.extend(_foreign_key_report(df, fks, tables))
+        own = [r for r in rules if r.table == name and r.column in df.columns]
+        counted = [r for r in own if r.rule not in UNIQUE and r.rule != "B5_foreign_key"]
+        if counted:
+            parts.append(_counted(df, counted))
+        parts += [_repeated(df, r) for r in own if r.rule in UNIQUE]
+        parts += [_unmatched(df, r, tables) for r in own if r.rule == "B5_foreign_key"]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -174,8 +153,9 @@ def violating_rows(star: Star, rule: Rule) -> DataFrame:
 
 def restricted_deletes(fact: DataFrame, to_delete: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``ON DELETE RESTRICT``: split dimension rows planned for deletion into
-    (blocked: still referenced by the fact, deletable)."""
-    refs = fact.select(key)
+    (blocked: still referenced by the fact, deletable).  The fact's key column is first
+    reduced to the distinct keys among those to delete."""
+    refs = semi_join(fact.select(key), to_delete.select(key).distinct(), key).distinct()
     return semi_join(to_delete, refs, key), anti_join(to_delete, refs, key)
 
 

@@ -17,6 +17,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot order is split in the conform join also below an aggregate that could have
+    # used the join's partitioning
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # REBALANCE (the stored fact's layout) splits a hot key over several files
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -52,18 +55,22 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``.  Only when none is
-    configured (local tests) a fresh temp directory becomes the context's
-    checkpoint directory."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or the context's
+    checkpoint directory.  Where neither is set, a local session (tests) gets a fresh
+    temp directory; on any other master that folder would exist on the driver alone, so
+    this is an error there."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
-    if sc is None:
-        return configured or tempfile.mkdtemp(prefix="tillstar-ckpt-")
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tillstar-ckpt-"))
+    current = sc.getCheckpointDir() if sc is not None else None
+    if configured is None and current is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tillstar-ckpt-")
+    if sc is not None and current is None:
+        sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
-    return configured or current
+    return spark.conf.get("spark.checkpoint.dir", None) or current or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

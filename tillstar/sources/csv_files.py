@@ -5,6 +5,8 @@ Load semantics kept from the warehouse:
   header row is only skipped;
 * comma separated, ``""`` doubled-quote escaping, empty field = NULL,
   quoted empty field = empty string;
+* a quoted field may hold line breaks if ``multi_line`` is set (a file is then one
+  task's work, as Spark can't split it: write many files);
 * booleans ``True/False``, dates ``yyyy-MM-dd``;
 * any value that does not parse fails the load (``FAILFAST``): the error
   surfaces on the first action, so write the loaded tables in one job;
@@ -57,9 +59,9 @@ def with_defaults(df: DataFrame, table: TableDef) -> DataFrame:
     return df.select(*cols)
 
 
-def read_table_csv(spark: SparkSession, path: str, table: TableDef | str) -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, table: TableDef | str, multi_line: bool = False) -> DataFrame:
     t = STAR_TABLES[table] if isinstance(table, str) else table
-    raw = spark.read.options(**CSV_OPTIONS).schema(t.file_struct()).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).schema(t.file_struct()).csv(path)
     raw = raw.select(*[
         F.when(F.col(f.name) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, StringType) else F.col(f.name)
@@ -68,10 +70,10 @@ def read_table_csv(spark: SparkSession, path: str, table: TableDef | str) -> Dat
     return with_defaults(raw, t)
 
 
-def read_star_csv(spark: SparkSession, directory: str) -> Star:
+def read_star_csv(spark: SparkSession, directory: str, multi_line: bool = False) -> Star:
     """``<dir>/dim_customers.csv`` ... ``<dir>/fact_sales.csv`` as a typed star."""
     def rd(name):
-        return read_table_csv(spark, os.path.join(directory, f"{name}.csv"), name)
+        return read_table_csv(spark, os.path.join(directory, f"{name}.csv"), name, multi_line)
 
     return Star(fact=rd("fact_sales"), customers=rd("dim_customers"), products=rd("dim_products"),
                 stores=rd("dim_stores"), time=rd("dim_time"))
@@ -84,6 +86,7 @@ def write_table_csv(df: DataFrame, path: str, table: TableDef | str | None = Non
         order = [f.name for f in t.file_struct().fields]
         df = df.select(*[c for c in order if c in df.columns])
     (df.write.mode("overwrite").option("header", "true").option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
        .option("nullValue", "").option("dateFormat", "yyyy-MM-dd").csv(path))
 
 

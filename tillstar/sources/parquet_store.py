@@ -2,8 +2,8 @@
 
 ``write_star`` replaces each table (``mode("overwrite")``).  For a refresh
 that readers never see half-done, write every load to a new directory
-(``versioned_path``) and point readers at it once all five tables are
-written; the old version stays readable until then.
+(``versioned_path``) and point readers at it (``set_current``) once all five
+tables are written; ``read_current`` finds it, and the old version stays readable.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tillstar.star import Star
 
@@ -24,6 +25,21 @@ def versioned_path(base: str) -> str:
     return os.path.join(base, f"v{int(time.time())}-{uuid.uuid4().hex[:8]}")
 
 
+def set_current(spark: SparkSession, base: str, root: str) -> None:
+    """Make the version in ``root`` the current one of ``base``: one more row in the table of
+    versions there (an append, so readers see the old or the new one)."""
+    (spark.sql("SELECT unix_micros(current_timestamp()) AS since, :root AS path", args={"root": root}).coalesce(1)
+     .write.mode("append").parquet(os.path.join(base, "versions")))
+
+
+def current_path(spark: SparkSession, base: str) -> str:
+    return spark.read.parquet(os.path.join(base, "versions")).orderBy(F.col("since").desc(), F.col("path").desc()).first()["path"]
+
+
+def read_current(spark: SparkSession, base: str) -> Star:
+    return read_star(spark, current_path(spark, base))
+
+
 # Fact columns that get parquet bloom filters: point / IN lookups on them (the
 # top-customer key filter) skip row groups that min/max statistics cannot,
 # since these keys are spread over every file.

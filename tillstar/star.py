@@ -14,6 +14,7 @@ class Star:
     products: DataFrame    # dim_products
     stores: DataFrame      # dim_stores
     time: DataFrame        # dim_time
+    hour_epoch_keys: bool = False   # time_sk is calendar.hour_key (known without reading dim_time)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -34,7 +35,8 @@ class Star:
         (the dashboard's result reuse).  Returns a new Star of persisted frames."""
         from pyspark import StorageLevel
 
-        return Star(**{k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in self._fields().items()})
+        return Star(**{k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in self._fields().items()},
+                    hour_epoch_keys=self.hour_epoch_keys)
 
     def unpersist(self) -> None:
         for df in self._fields().values():
