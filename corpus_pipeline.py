@@ -23,14 +23,18 @@ from tillstar.llm import toxicity as X
 from tillstar.llm.common import stored, table
 
 
-def _beside(docs: DataFrame) -> DataFrame:
-    """The text beside the whole row, so that no other column's name can clash."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns under numbers, and the text as ``text``, so that no other column's name can clash."""
+    return docs.select(*[F.col(c).alias("text" if c == "text" else f"column_{k}") for k, c in enumerate(docs.columns)])
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text" if c == "text" else f"column_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = X.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return X.score(_beside(docs), model, keep=["row"]).where("predicted = 0").select("row.*")
+    return _named(X.score(_numbered(docs), model).where("predicted = 0"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = D.find_contamination(_beside(docs), table(spark, sf_dir, "benchmark"), keep=["row"])
-    return found.where(F.size("contamination") == 0).select("row.*")
+    found = D.find_contamination(_numbered(docs), table(spark, sf_dir, "benchmark"))
+    return _named(found.where(F.size("contamination") == 0), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tillstar.session import scratch_path
 
+# Rows of an Arrow batch at most: JVM and Python hold a few batches of whole texts each.
+BATCH_ROWS = 1000
 # Bytes of text that one step of an Arrow operator holds as Python objects.
 STEP_BYTES = 4 << 20
 
@@ -36,6 +38,14 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch to ``BATCH_ROWS``, for bounded memory:
+    the default is meant for rows of a few numbers, not for documents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, fn: Callable, schema: str, text_col: str = "text") -> DataFrame:
     """``mapInArrow`` in steps of at most about ``STEP_BYTES`` of text.
 
@@ -55,6 +65,7 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, text_col: str = "text"
         if hasattr(step, "end"):
             yield from step.end()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

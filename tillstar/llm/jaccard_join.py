@@ -40,7 +40,7 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-9
 # Classes and bytes of text in a block of a component, about.
 BLOCK_CLASSES, BLOCK_BYTES = 256, 2 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 _RANDOM = np.random.default_rng(7)
 _A = (_RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _B = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]

@@ -25,7 +25,7 @@ from .common import id_and_text, map_texts, record_batch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 # Distinct words whose counts a Python worker keeps, and bytes up to which it does.
-CACHE_WORDS, CACHE_BYTES = 1 << 18, 64
+CACHE_WORDS, CACHE_BYTES = 1 << 16, 64
 
 
 def byte_pieces(path: str) -> list[bytes]:

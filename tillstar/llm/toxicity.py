@@ -42,7 +42,7 @@ MIN_PREFIX, MAX_PREFIX = 4, 12
 # Term lengths from which one and two errors are tolerated.
 ONE_ERROR, TWO_ERRORS = 5, 10
 WINDOW = 6
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 # Words that report speech or address someone; fixed values.
 REPORTING = set("said says quote quoted quotes wrote called calls word term phrase dit mot sagte wort dijo palabra".split())
 ADDRESS = set("you your you're du dich euch tu vous eres usted".split())
