@@ -214,7 +214,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return report_types(A.top_selling_products(star_from_dir(spark, FLAGSHIP_SF_DIR), TOP_N))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "kpi_overview": _star_query(A.kpi_overview),
         "category_performance": _star_query(A.category_performance),
@@ -267,10 +267,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "formatted_dates": _formatted_dates,
         "restricted_deletes": _star_query(_restricted_deletes),
         "validated_top_products": _star_query(_validated_top_products),
-        **_text_queries()[0],
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**warehouse_queries(), **_text_queries()[0]}
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of ``queries()`` over the pre-registered driver views."""
     return {**duckdb_oracle.all_sql(), **_text_queries()[1]}

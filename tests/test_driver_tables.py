@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tillstar_oracle.duckdb_oracle import all_sql
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -39,7 +40,7 @@ def as_rows(cols, records):
     return sorted((tuple(norm(r[i]) for i in order) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_matches_duckdb(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
     s_rows = as_rows(sdf.columns, [tuple(r) for r in sdf.collect()])
@@ -52,7 +53,8 @@ def test_query_matches_duckdb(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.warehouse_queries()) == set(all_sql())
+    assert set(E.warehouse_queries()) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
