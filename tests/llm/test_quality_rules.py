@@ -41,5 +41,10 @@ def test_the_order_of_rules_does_not_change_the_verdict(spark):
     assert [k for _, k in sorted(a)] == [True] * 20 + [False] * 15
 
 
+def test_filters_on_the_verdict_are_planned(spark):
+    df = spark.createDataFrame([(1, "a b c " * 30), (2, " ".join(f"word{i}" for i in range(60)))], "doc_id long, text string")
+    assert [r.doc_id for r in apply_rules(df).where("kept and not base_failed and n_repeat_words = 0").collect()] == [2]
+
+
 def test_empty_table(spark):
     assert apply_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0

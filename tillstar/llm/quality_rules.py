@@ -35,7 +35,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: SQL over ``text``, ``words`` and ``n_words``."""
+    """``rejects``: SQL over ``text``, ``words`` and the statistics."""
 
     name: str
     rejects: str
@@ -43,11 +43,11 @@ class Rule:
 
 _LINES = r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
 RULES = (
-    Rule("symbols", f"10 * (length(text) - length(translate(text, '{SYMBOLS}', ''))) > n_words"),
+    Rule("symbols", "10 * n_symbols > n_words"),
     Rule("shouting", r"2 * length(regexp_replace(text, '\\P{Lu}+', '')) > length(regexp_replace(text, '\\P{L}+', ''))"),
-    Rule("exclamation", "5 * (length(text) - length(translate(text, '!', ''))) > n_words"),
-    Rule("repeated_lines", f"size({_LINES}) - size(array_distinct({_LINES})) > greatest(2, 0.3 * size({_LINES}))"),
-    Rule("word_length", "length(array_join(words, '')) not between 2 * n_words and 20 * n_words"),
+    Rule("exclamation", "5 * (length(text) - length(replace(text, '!', ''))) > n_words"),
+    Rule("repeated_lines", f"n_dup_lines > 2 and n_dup_lines > 0.3 * size({_LINES})"),
+    Rule("word_length", "word_chars not between 2 * n_words and 20 * n_words"),
     Rule("few_distinct_words", "10 * size(array_distinct(words)) < n_words"),
 )
 
@@ -59,26 +59,32 @@ def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("n_words", F.size("words").cast("long"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is computed once.  Columns would not do:
+    a filter on the result is pushed below them and repeats each for every use of it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# Words in windows found twice: hashes of the windows; sorted, if any repeats; the places of
+# those with an equal neighbour; and what these places cover.
+_REPEATED = _let("w", "words", _let(
+    "h", "if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))", _let(
+        "s", "if(size(array_distinct(h)) = size(h), array(), array_sort(transform(h, (x, i) -> struct(x as h, i as i))))", _let(
+            "p", "array_sort(filter(transform(s, (x, k) -> if((k > 0 and s[k - 1].h = x.h) or "
+                 "(k < size(s) - 1 and s[k + 1].h = x.h), x.i, -1)), i -> i >= 0))",
+            "aggregate(transform(p, (i, k) -> if(k < size(p) - 1, least(3, p[k + 1] - i), 3)), 0L, (a, x) -> a + x)"))))
+
+
 def with_statistics(rows: DataFrame) -> DataFrame:
     """Adds the base statistics and ``base_failed`` to the result of ``with_words``."""
-    rows = rows.withColumn("word_chars", F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long"))
-    rows = rows.withColumn("n_symbols", (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long"))
+    rows = rows.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    rows = rows.withColumn("n_symbols", (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long"))
     rows = rows.withColumn("__lines", F.expr(_LINES))
     rows = rows.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    rows = rows.withColumn("__windows", F.expr(
-        "if(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"))
-    # texts without a repeated window need no sort
-    rows = rows.withColumn("__sorted", F.expr(
-        "if(size(array_distinct(__windows)) = size(__windows), array(), "
-        "array_sort(transform(__windows, (h, i) -> struct(h, i))))"))
-    rows = rows.withColumn("__at", F.expr(
-        "array_sort(filter(transform(__sorted, (x, k) -> if((k > 0 and __sorted[k - 1].h = x.h) or "
-        "(k < size(__sorted) - 1 and __sorted[k + 1].h = x.h), x.i, -1)), i -> i >= 0))"))
-    rows = rows.withColumn("n_repeat_words", F.expr(
-        "aggregate(transform(__at, (i, k) -> if(k < size(__at) - 1, least(3, __at[k + 1] - i), 3)), 0L, (a, x) -> a + x)"))
+    rows = rows.withColumn("n_repeat_words", F.expr(_REPEATED))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                            | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return rows.drop("__lines", "__windows", "__sorted", "__at")
+    return rows.drop("__lines")
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS,
@@ -86,7 +92,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     """The rules by estimated rejections per second, most first.  The sample is the
     ``sample_rows`` texts of least hash, the same ones in every run."""
     sample = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64(text_col), text_col).limit(sample_rows)
-    sample = stored(with_words(sample).where(F.col("n_words") >= MIN_WORDS), "rule-sample")
+    sample = stored(with_statistics(with_words(sample)).where("not base_failed"), "rule-sample")
     rates = sample.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in rules]).first()
     n = max(1, rates["__n"])
 
