@@ -9,6 +9,7 @@ carried untouched, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,9 +39,14 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def small_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
     """Lowers the session's limit of rows in an Arrow batch to ``BATCH_ROWS``, for bounded memory:
-    the default is meant for rows of a few numbers, not for documents."""
+    the default is meant for rows of a few numbers, not for documents.  Python workers get
+    this package's folder in their path, for a package that is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -65,7 +71,7 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, text_col: str = "text"
         if hasattr(step, "end"):
             yield from step.end()
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -97,6 +103,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows, those whose hash of ``columns`` is least: a sample that is the same in
+    every run (repeats of the last hash aside).  Only hashes are sorted, no texts."""
+    h = F.xxhash64(*columns)
+    last = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(h <= F.lit(last)).limit(n)
+
+
 def rank_in_key(rows: DataFrame, key: str, order: str, part: str, out: str) -> DataFrame:
     """Adds ``out``: 0-based rank of a row within its ``key``, without gathering a hot key
     in one task.  ``part`` (a stored column, such as the partition that made the row)

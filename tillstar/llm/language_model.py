@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, record_batch, stored, table
+from .common import fold, least_by_hash, map_texts, record_batch, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, WIDTH, HIDDEN = 128, 16, 32
@@ -49,7 +49,7 @@ SPELL_IDS, DISCOUNT = 4096, 0.75
 CONTEXT, OVERLAP = 64, 16
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 2000, 4096, 6
 COPY_SHARE, COPY_WORDS = 0.02, 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 # Windows scored at once.
 BATCH = 48
 END, STOP, RARE = b"", -1, -2
@@ -187,22 +187,66 @@ class Model:
         self.n_ids = sum(self.ids.values())
         self.n_other = sum(self.first_other.values())
 
-    def word(self, ids: list[int], count: int) -> tuple[int, int, float]:
-        """First and last class of a word and log10 P(word | class)."""
-        if not ids:
-            return END_CLASS, END_CLASS, 0.0
-        k = self.class_of.get(ids[0], OTHER)
-        p = 1.0 if k != OTHER else (self.first_other.get(ids[0], 0) + 0.1) / (self.n_other + 5026.0)
+    def transition(self, before: int, i: int) -> float:
+        """log10 P(next id or STOP | id before)."""
+        least = (self.ids.get(i, 0) + 0.1) / (self.n_ids + 5026.0)
+        b = before if before in self.own else RARE
+        return math.log10((self.pairs.get((b, i), 0) + 5.0 * least) / (self.before.get(b, 0) + 5.0))
+
+    def first(self, i: int) -> float:
+        """log10 P(first id | its class)."""
+        return 0.0 if i in self.class_of else math.log10((self.first_other.get(i, 0) + 0.1) / (self.n_other + 5026.0))
+
+
+class _Transitions(dict):
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, pair: tuple[int, int]) -> float:
+        p = self[pair] = self.model.transition(*pair)
+        return p
+
+
+def entries(model: Model, words: list[bytes], counts: np.ndarray, encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of vocabulary entries: first class, last class, log10 P(word | class)."""
+    step, class_of, model_first = _Transitions(model), model.class_of, model.first
+    first, last = np.full(len(words), END_CLASS), np.full(len(words), END_CLASS)
+    spelled = np.zeros(len(words))
+    for n, w in enumerate(words):
+        if not w:
+            continue
+        ids = subwords(w, encoder)
         before = ids[0]
-        for i in [*ids[1:], STOP]:
-            least = (self.ids.get(i, 0) + 0.1) / (self.n_ids + 5026.0)
-            b = before if before in self.own else RARE
-            p *= (self.pairs.get((b, i), 0) + 5.0 * least) / (self.before.get(b, 0) + 5.0)
+        p = model_first(before)
+        for i in ids[1:]:
+            p += step[before, i]
             before = i
-        seen = self.class_count[k]
-        known = max(count - DISCOUNT, 0.0) / seen if seen else 0.0
-        share = DISCOUNT * self.class_words[k] / seen if seen else 1.0
-        return k, self.class_of.get(ids[-1], OTHER), math.log10(known + share * max(p, 1e-300))
+        first[n], last[n], spelled[n] = class_of.get(ids[0], OTHER), class_of.get(before, OTHER), p + step[before, STOP]
+    seen = model.class_count[first]
+    known = np.maximum(counts - DISCOUNT, 0.0) / np.maximum(seen, 1.0)
+    share = np.where(seen > 0, DISCOUNT * model.class_words[first] / np.maximum(seen, 1.0), 1.0)
+    inner = np.log10(known + share * 10.0 ** np.maximum(spelled, -300) + 1e-300)
+    return first, last, np.where(first == END_CLASS, 0.0, inner)
+
+
+_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+
+
+def class_scores(net, first, last, own, target) -> np.ndarray:
+    """Natural log probabilities of the targets' classes at the positions ``own`` of windows of
+    inputs: ``forward`` without what only training needs."""
+    t = first.shape[1]
+    x = net["first"][first] + net["last"][last] + net["place"][:t]
+    s = (x @ (net["q"] * np.float32(WIDTH**-0.5))) @ (x @ net["k"]).transpose(0, 2, 1)
+    np.exp(s, out=s)
+    s *= _SEEN[:t, :t]
+    c = (s @ (x @ net["v"])) / s.sum(axis=-1, keepdims=True)
+    h = (x + c @ net["o"])[own]
+    g = h + np.maximum(h @ net["w1"] + net["b1"], 0) @ net["w2"]
+    z = g @ net["out"]
+    z += net["bias"]
+    z -= z[np.arange(len(z)), target][:, None]  # relative to the target: its probability is 1 / sum
+    return -np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=-1))
 
 
 def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -228,18 +272,19 @@ def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last:
         place = at[b:b + BATCH, None] + np.arange(min(CONTEXT, int((end - at)[b:b + BATCH].max())))
         fits = place < end[b:b + BATCH, None]
         inside = np.where(fits, place, 0)
-        z, _ = forward(model.net, f[inside], l[inside])
         own = fits & ((np.arange(place.shape[1]) >= OVERLAP) | (nth[b:b + BATCH, None] == 0))
-        logp[inside[own]] = z[own, first[words[inside[own]]]]
+        scored = inside[own]
+        logp[scored] = class_scores(model.net, f[inside], l[inside], own, first[words[scored]])
     logp = logp / math.log(10) + inner[words]
     offset = np.arange(len(words)) - np.repeat(begins[:-1], lengths)
     copies = np.zeros(len(words))
     for lag in range(1, COPY_WORDS + 1):
         copies[lag:] += (words[lag:] == words[:-lag]) & (offset[lag:] >= lag)
     copies /= np.maximum(1, np.minimum(offset, COPY_WORDS))
-    share = np.where(offset > 0, COPY_SHARE, 0.0)
-    mixed = np.where(copies > 0, np.log10((1 - share) * 10.0**logp + share * copies + 1e-300), logp + np.log10(1 - share))
-    return np.add.reduceat(mixed, begins[:-1])
+    logp += np.where(offset > 0, math.log10(1 - COPY_SHARE), 0.0)
+    near = np.flatnonzero(copies)
+    logp[near] = np.log10(10.0 ** logp[near] + COPY_SHARE * copies[near])
+    return np.add.reduceat(logp, begins[:-1])
 
 
 # --- Spark -------------------------------------------------------------------
@@ -286,8 +331,8 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 def _sample_windows(docs: DataFrame, id_col: str, text_col: str) -> list[list[bytes]]:
     """At most TRAIN_WINDOWS runs of CONTEXT + 1 tokens; a run that begins a text begins with no token."""
-    picked = (docs.where(fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-              .orderBy(F.xxhash64("id"), "id", "text").limit(TRAIN_DOCS))
+    picked = least_by_hash(docs.where(fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
+                           TRAIN_DOCS, "id")
 
     def task():
         def step(batch, texts):
@@ -373,9 +418,7 @@ def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
         vocabulary = words.column("word").to_pylist()
         number = {w: k for k, w in enumerate(vocabulary)}
         count = words.column("count").to_numpy()
-        entries = [model.word(subwords(w, encoder), c) for w, c in zip(vocabulary, count.tolist())]
-        first, last = (np.array([e[k] for e in entries], dtype=np.int64) for k in (0, 1))
-        inner = np.array([e[2] for e in entries])
+        first, last, inner = entries(model, vocabulary, count, encoder)
         base = np.log10((count + 1) / (model.n_tokens + model.n_distinct + 1))
         out: list[list] = [[], [], [], []]
         some, size = [], 0

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored, table
+from .common import id_and_text, least_by_hash, stored, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -91,7 +91,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
                text_col: str = "text") -> list[Rule]:
     """The rules by estimated rejections per second, most first.  The sample is the
     ``sample_rows`` texts of least hash, the same ones in every run."""
-    sample = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64(text_col), text_col).limit(sample_rows)
+    sample = least_by_hash(docs.select(F.col(text_col).alias("text")), sample_rows, "text")
     sample = stored(with_statistics(with_words(sample)).where("not base_failed"), "rule-sample")
     rates = sample.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in rules]).first()
     n = max(1, rates["__n"])
