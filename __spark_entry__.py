@@ -30,6 +30,7 @@ from tillstar_oracle import duckdb_oracle  # noqa: E402
 from tillstar.functions import formatting as T  # noqa: E402
 from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
+from tillstar.operators.ranking import sorted_by  # noqa: E402
 from tillstar.plans import keys as K  # noqa: E402
 from tillstar.plans.calendar import with_holidays  # noqa: E402
 from tillstar.plans.load import key_high_water_marks  # noqa: E402
@@ -266,6 +267,8 @@ def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "formatted_products": _star_query(_formatted_products),
         "formatted_dates": _formatted_dates,
         "restricted_deletes": _star_query(_restricted_deletes),
+        "favourite_channels": _star_query(A.favourite_channels),
+        "periods_by_revenue": _star_query(lambda star: sorted_by(A.monthly_series(star), "total_revenue", ascending=False)),
         "validated_top_products": _star_query(_validated_top_products),
     }
 

@@ -29,7 +29,7 @@ from tillstar.functions.metrics import (
     count_pct,
 )
 from tillstar.operators.joins import keep_existing, pin_small, semi_join
-from tillstar.operators.ranking import change_pct_vs_previous, top_n
+from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 from tillstar.plans.calendar import hour_keys_of_year
 from tillstar.star import Star
 
@@ -262,6 +262,12 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     ).orderBy(_desc("total_revenue"), _asc("customer_sk"))
 
 
+def favourite_channels(star: Star) -> DataFrame:
+    """Every customer's channel with most lines; ties -> name ascending."""
+    lines = star.fact.groupBy("customer_sk", "sales_channel").agg(F.count(F.lit(1)).alias("lines"))
+    return first_per_group(lines, ["customer_sk"], "sales_channel", [-F.col("lines"), F.col("sales_channel")], "favourite_channel")
+
+
 # --------------------------------------------------------------------------- Q9
 def year_options(star: Star) -> DataFrame:
     """Distinct calendar years, ascending."""
