@@ -52,6 +52,17 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers live on, and
+    several of them share an executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(docs: DataFrame, fn: Callable, schema: str, text_col: str = "text") -> DataFrame:
     """``mapInArrow`` in steps of at most about ``STEP_BYTES`` of text.
 
@@ -70,6 +81,8 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, text_col: str = "text"
                     yield from out
         if hasattr(step, "end"):
             yield from step.end()
+        del step
+        release()
 
     prepare(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, least_by_hash, map_texts, record_batch, stored, table
+from .common import fold, least_by_hash, map_texts, record_batch, release, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, WIDTH, HIDDEN = 128, 16, 32
@@ -318,7 +318,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 else:
                     for w in tokens(text):
                         mine.setdefault(w, 0)
-                if len(mine) > 300_000:  # a block may send a word twice
+                if len(mine) > 150_000:  # a block may send a word twice
                     yield flush(block)
 
         step.end = lambda: (flush(b) for b in list(counts))
@@ -441,6 +441,8 @@ def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
                 some, size = [], 0
         if some:
             flush()
+        del number, vocabulary, some
+        release()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array([not t for t in texts.column("trains").to_pylist()]),
                          "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
                          "train_tokens": pa.array([model.n_tokens] * len(column), pa.int64()),
