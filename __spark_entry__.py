@@ -199,7 +199,8 @@ def _text_queries() -> tuple[dict, dict]:
     """Queries and oracle SQL of the ``llm`` subpackage and the corpus pipeline; none
     if these are not there."""
     queries, sql = {}, {}
-    if importlib.util.find_spec("tillstar.llm") is not None:
+    # (an empty folder counts as a package, so its module is looked for as well)
+    if importlib.util.find_spec("tillstar.llm") is not None and importlib.util.find_spec("tillstar.llm.queries") is not None:
         module = importlib.import_module("tillstar.llm.queries")
         queries, sql = dict(module.QUERIES), dict(module.ORACLE_SQL)
         if importlib.util.find_spec("corpus_pipeline") is not None:
