@@ -59,6 +59,9 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame([(7, "only one short text here"), (8, "x")], "item_id long, text string")
     got = D.find_contamination(df, bench).collect()
     assert sorted((r.doc_id or 0, [c.item_id for c in r.contamination]) for r in got) == [(0, [8]), (1, []), (2, []), (3, []), (3, []), (4, [7])]
+    nameless = spark.createDataFrame([(None, "only one short text here"), (7, "only one short text here")], "item_id long, text string")
+    found = {r.doc_id: [c.item_id for c in r.contamination] for r in D.find_contamination(df, nameless).collect()}
+    assert found[4] == [None, 7] and found[3] == []
     assert D.find_contamination(df.limit(0), bench).count() == 0
     assert all(r.contamination == [] for r in D.find_contamination(df, bench.limit(0)).collect())
 

@@ -18,8 +18,8 @@ words in order are a copy; from ``LIKELY`` on, a paraphrase if also ``ANSWER`` o
 of the item's last sentence (its answer) and of the item's idf weight are there.
 Items of under ``SHORT`` words must be there whole.
 
-NULL and empty texts match nothing; NULL and empty items are ignored; an empty corpus
-gives an empty result.
+NULL and empty texts match nothing; NULL and empty items are ignored, an item without an id is
+reported with a NULL id; an empty corpus gives an empty result.
 """
 
 from __future__ import annotations
@@ -288,7 +288,7 @@ def _search(docs: DataFrame, queries: Queries, schema: T.StructType, text_col: s
         def step(batch, texts):
             hits = queries.search(texts)
             old = batch.column("contamination").to_pylist()
-            new = [o + [{"item_id": block[i].item_id, "similarity": s} for i, s in sorted(h.items(), key=lambda x: block[x[0]].item_id)]
+            new = [o + [{"item_id": block[i].item_id, "similarity": s} for i, s in sorted(h.items(), key=lambda x: (block[x[0]].item_id is not None, block[x[0]].item_id or 0))]
                    for o, h in zip(old, hits)]
             yield record_batch(names, *[batch.column(n) for n in names[:-1]], pa.array(new, batch.column("contamination").type))
 
