@@ -60,6 +60,16 @@ def test_guessable_values_are_no_credentials():
     assert S.spans_of("pwd: letmein123", WORDS) == [] and S.spans_of("the secret handshake is known", WORDS) == []
 
 
+def test_a_name_after_a_name_does_not_hide_the_value():
+    for text, value in (("Authorization: Bearer x9$Lq2!vTz8#pQ", "x9$Lq2!vTz8#pQ"), ("auth password: G7#kQ!z9xV$2", "G7#kQ!z9xV$2"),
+                        ("pass passphrase: G7#kQ!z9xV$2, then", "G7#kQ!z9xV$2"), ("auth client_secret => 'x9$Lq2!vTz8#pQ'", "x9$Lq2!vTz8#pQ"),
+                        ("token secret token bearer private-key: x9$Lq2!vTz8#pQ", "x9$Lq2!vTz8#pQ")):
+        at = text.index(value)
+        assert S.spans_of(text, WORDS) == [(at, at + len(value), "credential")], text
+        assert S._masked(text, S.spans_of(text, WORDS)) == text.replace(value, "[secret]")
+    assert S.spans_of("the auth passphrase: letmein123 and " + "secret " * 3000, WORDS) == []
+
+
 def test_masked_texts_keep_the_rest(spark):
     df = spark.createDataFrame([(1, "é password=abcdefgh12 z", 3), (2, None, 4), (3, "clean", 5)], "doc_id long, text string, secrets int")
     out = S.mask_secrets(df)

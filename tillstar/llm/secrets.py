@@ -5,7 +5,7 @@ separator and a value of 8 characters or more), ``access`` (cloud access keys) a
 ``hex`` (32 or more lower-case hex digits).
 
 The method looks at values in credential contexts (a wider set of names and
-separators) and estimates the guesses an attacker needs: dynamic programming finds the
+separators; a rejected value may be the name of the next one) and estimates the guesses an attacker needs: dynamic programming finds the
 cheapest cut of the value into dictionary words (letter case and look-alike digits
 undone), dates, repeats, keyboard walks and sequences, and brute-force spans.  A
 value over ``MIN_LOG10_GUESSES`` that no ``assign`` span covers is a ``credential`` span.
@@ -40,9 +40,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 HEX_BYTES = re.compile(rb"(?<![0-9a-f])[0-9a-f]{32}")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|api[_-]?key|"""
-                     r"""access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?)["']?"""
+_NAME = (r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|api[_-]?key|"
+         r"access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?)")
+CONTEXT = re.compile(rf"""(?<![A-Za-z0-9]){_NAME}["']?"""
                      r"""(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20is\x20|\x20)["']?([^\s"']{6,})""", _FLAGS)
+# A proposed value that is only the next credential name.
+NAME_ALONE = re.compile(rf"{_NAME}[:=>]*", _FLAGS)
 # Every context and assign name contains one of these.
 NAMES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"bearer", b"key", b"auth")
 
@@ -149,15 +152,18 @@ def spans_of(text: str, words: dict[str, int], threshold: float = MIN_LOG10_GUES
     assigned = list(out)
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
+    at = 0
+    while m := CONTEXT.search(text, at):
+        at = m.start(1)  # a rejected value may itself be the name before the real one
         start, value = m.start(1), m[1].rstrip(".,;:!?)]}>")
         end = start + len(value)
         # a plain word after a blank is prose, not a value
         plain = text[m.end(0) - len(m[1]) - 1] == " " and value.isalpha() and not re.search("[:=]", m[0][: m.start(1) - m.start()])
-        if len(value) < 6 or plain or any(s < end and start < e for s, e, _ in assigned):
+        if len(value) < 6 or plain or NAME_ALONE.fullmatch(value) or any(s < end and start < e for s, e, _ in assigned):
             continue
         if log10_guesses(value, words, threshold) >= threshold:
             out.append((start, end, "credential"))
+            at = m.end()
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
