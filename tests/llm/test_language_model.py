@@ -42,6 +42,27 @@ def test_odd_rows(spark, monkeypatch):
     assert L.score(df.limit(0), *vocabulary()).count() == 0
 
 
+def test_input_split_differently_between_the_passes(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k % 7}" for k in range(100))) for i in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id").write.parquet(path)
+    key, fit = "spark.sql.files.maxPartitionBytes", L.fit
+    before = spark.conf.get(key)
+
+    def fit_and_lose_executors(*a, **k):
+        model = fit(*a, **k)
+        spark.conf.set(key, "700b")
+        return model
+
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    monkeypatch.setattr(L, "fit", fit_and_lose_executors)
+    try:
+        got = L.score(spark.read.parquet(path), *vocabulary()).collect()
+    finally:
+        spark.conf.set(key, before)
+    compare(rows, got)
+
+
 def test_gradients_as_differences():
     rnd = np.random.default_rng(1)
     net = {k: v.astype(np.float64) for k, v in L.new_network(9, np.ones(9)).items()}

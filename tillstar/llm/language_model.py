@@ -21,9 +21,9 @@ batches of windows.
 The network learns from at most ``TRAIN_WINDOWS`` windows of at most ``TRAIN_DOCS`` training
 documents; counts cover the corpus.  Words and their counts never meet in one place:
 each block of documents sends its distinct words to be counted and gets their counts back.
-A block is a piece of an input partition (``BLOCK_BYTES`` of input), so ``docs`` must give the
-same partitions each time it is read, as a stored table does; a word without its
-count is an error.
+A block is a piece of an input partition (``BLOCK_BYTES`` of input).  Rows are stored once with
+their block and every later pass reads that table, so ``docs`` may be split differently each
+time it is read; a word without its count is an error.
 
 NULL text counts as empty: the end mark alone.
 """
@@ -408,7 +408,7 @@ def fit(docs: DataFrame, counts: DataFrame, ranks: bytes, pattern: str, id_col:
 
 def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score of each row."""
-    rows = _blocks(docs, id_col, text_col)
+    rows = stored(_blocks(docs, id_col, text_col), "word-blocks")
     counts = stored(_word_counts(rows), "word-counts")
     model = fit(docs, counts, ranks, pattern, id_col, text_col)
     doc_type = rows.schema["doc_id"].dataType.simpleString()
