@@ -63,6 +63,53 @@ def test_input_split_differently_between_the_passes(spark, monkeypatch, tmp_path
     compare(rows, got)
 
 
+def test_every_training_document_has_a_say(spark, monkeypatch):
+    """One common word of its own in each document of three partitions: classes and network know them all."""
+    monkeypatch.setattr(L, "EPOCHS", 2)
+    rows = [(i, " ".join(["the", f"q{i}"] * 40)) for i in range(2300)]
+    blocks = L._blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    trains = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    classes = L._class_rows(blocks, {}, *vocabulary()).collect()
+    assert len(classes) == len(trains) > 1900 and sum(len(r.classes) for r in classes) == 2 * sum(len(L.tokens(t.encode())) for t in trains)
+    blocks = L.stored(blocks, "test-blocks")
+    counts = L.stored(L._word_counts(blocks), "test-counts")
+    model = L.fit(blocks, counts, *vocabulary())
+    tally = Counter()
+    for t in trains:
+        for w in L.tokens(t.encode()):
+            ids = L.subwords(w, L._encoder(*vocabulary()))
+            tally.update([ids[0], ids[-1]] if ids else [])
+    assert list(model.class_of) == sorted(tally, key=lambda i: (-tally[i], i))[:L.CLASSES - 2]
+    assert model.class_count.sum() == sum(len(L.tokens(t.encode())) for t in trains)
+
+
+def test_windows_hold_each_token_once_after_the_one_before():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 65, 200):
+        c = rnd.integers(0, L.CLASSES, (2, n)).astype(np.uint8)
+        before, target, weight = L.windows_of(c, L.CLASSES)
+        assert weight.sum() == n and (target.reshape(-1)[:n] == c[0]).all()
+        flat = before.reshape(2, -1)
+        assert (flat[:, 0] == L.CLASSES).all() and (flat[:, 1:n] == c[:, :-1]).all()
+
+
+def test_the_mean_of_the_tasks_counts_every_token(spark, monkeypatch):
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    rnd = np.random.default_rng(4)
+    texts = [rnd.integers(0, L.CLASSES, (2, k)).astype(np.uint8) for k in (5, 700, 64, 3000)]
+    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "classes binary").repartition(3)
+    parts = [[np.frombuffer(bytes(r.classes), np.uint8).reshape(2, -1) for r in p] for p in rows.rdd.glom().collect()]
+    want, total = {}, 0
+    for part in filter(None, parts):
+        one = L.Learner(L.new_network(L.CLASSES, np.ones(L.CLASSES)), 0)
+        one.learn(*(np.concatenate(x, axis=-2) for x in zip(*(L.windows_of(c, L.CLASSES) for c in part))))
+        total += one.tokens
+        want = {n: want.get(n, 0) + w.astype(float) * one.tokens for n, w in one.net.items()}
+    assert total == sum(t.shape[1] for t in texts)
+    got = L.train_network(rows, np.ones(L.CLASSES))
+    assert all(np.allclose(got[n], want[n] / total, atol=1e-5) for n in want)
+
+
 def test_gradients_as_differences():
     rnd = np.random.default_rng(1)
     net = {k: v.astype(np.float64) for k, v in L.new_network(9, np.ones(9)).items()}

@@ -5,7 +5,7 @@ U+0009..U+000D) and one end mark.  The model factors a word's probability:
 
     P(word | before) = P(class | before) * (max(count(word) - D, 0) + D * distinct(class) * P(spelling)) / count(class)
 
-The class is the word's first subword id (the most frequent ids of the training windows
+The class is the word's first subword id (the most frequent ids of all training tokens
 have classes of their own, the others share one, the end mark has one).  P(class |
 before) comes from a one-layer causal self-attention network in numpy over the first and
 last subword ids of the words before.  ``count`` are counts of all training tokens of the
@@ -18,8 +18,10 @@ Texts are scored in windows of ``CONTEXT`` tokens that overlap by ``OVERLAP``: e
 scored once, with at least ``OVERLAP`` tokens (or all) before it, by masked attention over
 batches of windows.
 
-The network learns from at most ``TRAIN_WINDOWS`` windows of at most ``TRAIN_DOCS`` training
-documents; counts cover the corpus.  Words and their counts never meet in one place:
+The network learns from every window of every training document, in ``EPOCHS`` passes.  In each
+pass a task starts from the network of the pass before and learns from its partition's
+windows; the tasks' parameters, weighted by their tokens, are summed on Spark and their
+mean is the next network.  Classes, transitions and counts cover the corpus.  Words and their counts never meet in one place:
 each block of documents sends its distinct words to be counted and gets their counts back.
 A block is a piece of an input partition (``BLOCK_BYTES`` of input).  Rows are stored once with
 their block and every later pass reads that table, so ``docs`` may be split differently each
@@ -40,18 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, least_by_hash, map_texts, record_batch, release, stored, table
+from .common import fold, map_texts, record_batch, release, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, WIDTH, HIDDEN = 128, 16, 32
 # Subword ids that have transitions of their own, and the discount of word counts.
 SPELL_IDS, DISCOUNT = 4096, 0.75
 CONTEXT, OVERLAP = 64, 16
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 2000, 4096, 6
+EPOCHS = 6
 COPY_SHARE, COPY_WORDS = 0.02, 8
 BLOCK_BYTES = 16 << 20
-# Windows scored at once.
-BATCH = 48
+# Words whose classes a training task keeps.
+CACHE_WORDS = 1 << 16
+# Tokens that a training task shuffles at once (more only if one text has more).
+STEP_TOKENS = 1 << 19
+# Windows of a training step, and windows scored at once.
+TRAIN_BATCH, BATCH = 32, 48
 END, STOP, RARE = b"", -1, -2
 OTHER, END_CLASS = 0, 1
 _WORKER: dict = {}
@@ -135,32 +141,47 @@ def backward(net, first, last, target, weight, z, kept):
     out["place"] = np.zeros_like(net["place"])
     out["place"][: first.shape[1]] = dx.sum(0)
     for name, ids in (("first", first), ("last", last)):
-        out[name] = np.zeros_like(net[name])
-        np.add.at(out[name], ids.reshape(-1), flat(dx))
+        at = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+        out[name] = np.bincount(at, dx.reshape(-1), net[name].size).reshape(net[name].shape).astype(dx.dtype)
     return out
 
 
-def train_network(first, last, target, weight, classes: int) -> dict[str, np.ndarray]:
-    """Adam over shuffled batches of windows (windows x CONTEXT arrays; weight 0: no token)."""
-    net = new_network(classes, np.bincount(target[weight > 0], minlength=classes).astype(float) if target.size else np.ones(classes))
-    if not target.size:
-        return net
-    m = {n: np.zeros_like(w) for n, w in net.items()}
-    v = {n: np.zeros_like(w) for n, w in net.items()}
-    rnd, step = np.random.default_rng(5), 0
-    total = EPOCHS * -(-len(target) // 32)
-    for _ in range(EPOCHS):
-        order = rnd.permutation(len(target))
-        for at in range(0, len(order), 32):
-            b = order[at:at + 32]
-            z, kept = forward(net, first[b], last[b])
-            step += 1
-            rate = 0.01 * min(1.0, step / 50) * (1 - 0.9 * step / total)
-            for n, grad in backward(net, first[b], last[b], target[b], weight[b], z, kept).items():
-                m[n] += 0.1 * (grad - m[n])
-                v[n] += 0.01 * (grad * grad - v[n])
-                net[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return net
+def windows_of(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands before each token, the tokens and their weights (0: no token), of a text
+    given as the first and last classes of its tokens (2 x tokens); windows x CONTEXT arrays."""
+    n = classes.shape[1]
+    size = -(-n // CONTEXT) * CONTEXT
+    before, target, weight = np.zeros((2, size), np.uint8), np.zeros(size, np.uint8), np.zeros(size, np.float32)
+    before[:, 0], before[:, 1:n] = start, classes[:, :-1]
+    target[:n], weight[:n] = classes[0], 1
+    return before.reshape(2, -1, CONTEXT), target.reshape(-1, CONTEXT), weight.reshape(-1, CONTEXT)
+
+
+class Learner:
+    """Adam over shuffled batches of windows, for one task of one pass."""
+
+    def __init__(self, net: dict[str, np.ndarray], nth: int):
+        self.net = {n: w.copy() for n, w in net.items()}
+        self.m = {n: np.zeros_like(w) for n, w in net.items()}
+        self.v = {n: np.zeros_like(w) for n, w in net.items()}
+        self.rnd, self.step, self.tokens = np.random.default_rng(5 + nth), 0, 0
+        # later passes begin with a learned network: fewer careful steps, smaller ones
+        self.careful, self.rate = (10 if nth else 50), 0.01 * (1 - 0.9 * nth / EPOCHS)
+
+    def learn(self, before, target, weight) -> None:
+        order = self.rnd.permutation(len(target))
+        self.tokens += int(weight.sum(dtype=np.float64))
+        for at in range(0, len(order), TRAIN_BATCH):
+            b = order[at:at + TRAIN_BATCH]
+            t = max(1, int(weight[b].sum(1).max()))  # tokens come first in a window
+            first, last, goal = before[0, b, :t].astype(np.int64), before[1, b, :t].astype(np.int64), target[b, :t].astype(np.int64)
+            z, kept = forward(self.net, first, last)
+            self.step += 1
+            rate = self.rate * min(1.0, self.step / self.careful)
+            for n, grad in backward(self.net, first, last, goal, weight[b, :t], z, kept).items():
+                self.m[n] += 0.1 * (grad - self.m[n])
+                self.v[n] += 0.01 * (grad * grad - self.v[n])
+                self.net[n] -= (rate * (self.m[n] / (1 - 0.9**self.step)) / (np.sqrt(self.v[n] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
 
 
 # --- the model ---------------------------------------------------------------
@@ -329,58 +350,99 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return words.select("block", "word", F.sum("n").over(everywhere).alias("count"), (F.min("block").over(everywhere) == F.col("block")).alias("one"))
 
 
-def _sample_windows(docs: DataFrame, id_col: str, text_col: str) -> list[list[bytes]]:
-    """At most TRAIN_WINDOWS runs of CONTEXT + 1 tokens; a run that begins a text begins with no token."""
-    picked = least_by_hash(docs.where(fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                           TRAIN_DOCS, "id")
+def _spelled(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """ids (subword ids of a word), count."""
+
+    def task(batches):
+        enc = _encoder(ranks, pattern)
+        for b in batches:
+            ids = [subwords(w, enc) for w in b.column("word").to_pylist()]
+            yield record_batch(["ids", "count"], pa.array(ids, pa.list_(pa.int32())), b.column("count"))
+
+    return words.select("word", "count").mapInArrow(task, "ids array<int>, count long")
+
+
+def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern: str) -> DataFrame:
+    """classes of each training document: a byte of the first class of each token, then one of the last."""
 
     def task():
+        enc = _encoder(ranks, pattern)
+        known: dict[bytes, tuple[int, int]] = {}
+
+        def classes(word):
+            if (c := known.get(word)) is None:
+                ids = subwords(word, enc)
+                c = (class_of.get(ids[0], OTHER), class_of.get(ids[-1], OTHER)) if ids else (END_CLASS, END_CLASS)
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
+                known[word] = c
+            return c
+
         def step(batch, texts):
-            runs = []
+            out = []
             for t in texts:
-                words = tokens(t)
-                runs += [(s, words[max(0, s - 1):s + CONTEXT]) for s in range(0, len(words), CONTEXT)]
-            yield record_batch(["start", "words"], pa.array([s for s, _ in runs], pa.int64()), pa.array([w for _, w in runs], pa.list_(pa.binary())))
+                first, last = zip(*map(classes, tokens(t)))
+                out.append(bytes(first) + bytes(last))
+            yield record_batch(["classes"], pa.array(out, pa.binary()))
 
         return step
 
-    runs = map_texts(picked, task, "start long, words array<binary>").orderBy(F.xxhash64("start", "words"), "start", "words").limit(TRAIN_WINDOWS)
-    return [([None] if r["start"] == 0 else []) + [bytes(w) for w in r["words"]] for r in runs.collect()]
-
-
-def fit(docs: DataFrame, counts: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Classes and network from the sample, everything else from the word counts of the corpus."""
-    encoder = _encoder(ranks, pattern)
-    runs = _sample_windows(docs, id_col, text_col)
-    ids = {w: subwords(w, encoder) for run in runs for w in run if w is not None}
-    tally = Counter(i for run in runs for w in run if w for i in (ids[w][0], ids[w][-1]))
-    top = sorted(tally, key=lambda i: (-tally[i], i))[:CLASSES - 2]
-    inside = Counter(i for s in ids.values() for i in s)
-    own = set(sorted(inside, key=lambda i: (-inside[i], i))[:SPELL_IDS])
-    class_of = {i: k + 2 for k, i in enumerate(top)}
-    firsts = {w: class_of.get(s[0], OTHER) if s else END_CLASS for w, s in ids.items()}
-    lasts = {w: class_of.get(s[-1], OTHER) if s else END_CLASS for w, s in ids.items()}
-    shape = (len(runs), CONTEXT)
-    first, last = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-    target, weight = np.zeros(shape, np.int64), np.zeros(shape, np.float32)
-    for r, run in enumerate(runs):
-        for t in range(len(run) - 1):
-            first[r, t] = CLASSES if run[t] is None else firsts[run[t]]
-            last[r, t] = CLASSES if run[t] is None else lasts[run[t]]
-            target[r, t], weight[r, t] = firsts[run[t + 1]], 1
-    net = train_network(first, last, target, weight, CLASSES)
+    return map_texts(rows.where("trains").select("text"), task, "classes binary")
+
 
+def train_network(rows: DataFrame, frequency: np.ndarray) -> dict[str, np.ndarray]:
+    """The network after ``EPOCHS`` passes over all windows of ``_class_rows``; ``frequency`` are the tokens by class."""
+    net = new_network(CLASSES, frequency)
+
+    for nth in range(EPOCHS):
+        def task(batches, net=net, nth=nth):
+            learner = Learner(net, nth)
+            for b in batches:
+                some, size = [], 0
+                for c in b.column("classes"):
+                    some.append(windows_of(np.frombuffer(c.as_py(), np.uint8).reshape(2, -1), CLASSES))
+                    size += some[-1][1].size
+                    if size > STEP_TOKENS:
+                        learner.learn(*(np.concatenate(x, axis=-2) for x in zip(*some)))
+                        some, size = [], 0
+                if some:
+                    learner.learn(*(np.concatenate(x, axis=-2) for x in zip(*some)))
+            if learner.tokens:
+                flat = np.concatenate([learner.net[n].reshape(-1) for n in net]).astype(np.float64)
+                yield record_batch(["at", "n", "value"], pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), learner.tokens)),
+                                   pa.array(flat * learner.tokens))
+
+        # as many rows as the network has parameters, whatever the corpus
+        sums = rows.mapInArrow(task, "at long, n long, value double").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("w")).collect()
+        if not sums:
+            break
+        flat = np.empty(len(sums))
+        for r in sums:
+            flat[r["at"]] = r["w"]
+        ends = np.cumsum([w.size for w in net.values()])
+        net = {n: p.reshape(net[n].shape).astype(np.float32) for n, p in zip(net, np.split(flat, ends[:-1]))}
+    return net
+
+
+def fit(rows: DataFrame, counts: DataFrame, ranks: bytes, pattern: str) -> Model:
+    """Everything from the word counts of the corpus, and the network from all training rows of ``_blocks``."""
     words = counts.where("one and count > 0")
     n, distinct = (x or 0 for x in words.agg(F.sum("count"), F.count(F.lit(1))).first())
+    spelled = stored(_spelled(words, ranks, pattern), "word-ids")
+    # rows of both are bounded by the vocabulary file
+    ends = F.explode(F.array(F.col("ids")[0], F.element_at("ids", -1))).alias("i")
+    tally = spelled.where(F.size("ids") > 0).select(ends, "count").groupBy("i").agg(F.sum("count").alias("n")).collect()
+    inside = spelled.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+    most = lambda found, n: [r["i"] for r in sorted(found, key=lambda r: (-r["n"], r["i"]))[:n]]
+    class_of = {i: k + 2 for k, i in enumerate(most(tally, CLASSES - 2))}
+    own = set(most(inside, SPELL_IDS))
 
     def task(batches):
         # kinds: 0 tokens and 3 words of a class, 1 first ids of the shared class, 2 transitions within words,
         # each distinct word once: new words are like rare ones
         found: Counter = Counter()
-        enc = _encoder(ranks, pattern)
         for b in batches:
-            for word, count in zip(b.column("word").to_pylist(), b.column("count").to_pylist()):
-                s = subwords(word, enc)
+            for s, count in zip(b.column("ids").to_pylist(), b.column("count").to_pylist()):
                 k = class_of.get(s[0], OTHER) if s else END_CLASS
                 found[0, k, 0] += count
                 found[3, k, 0] += 1
@@ -397,20 +459,21 @@ def fit(docs: DataFrame, counts: DataFrame, ranks: bytes, pattern: str, id_col:
             yield record_batch(["kind", "a", "b", "n"], *(pa.array(c, pa.int64()) for c in keys), pa.array(list(found.values()), pa.int64()))
 
     # rows are bounded by the vocabulary file: SPELL_IDS x its ids, whatever the corpus
-    rows = words.select("word", "count").mapInArrow(task, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    sums = spelled.mapInArrow(task, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     class_count, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in rows:
+    for r in sums:
         if r["kind"] in (0, 3):
             (class_words if r["kind"] else class_count)[r["a"]] = r["n"]
-    return Model(net, class_of, own, class_count, class_words, {r["b"]: r["n"] for r in rows if r["kind"] == 1},
-                 {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == 2}, n, distinct)
+    net = train_network(stored(_class_rows(rows, class_of, ranks, pattern), "word-classes"), class_count)
+    return Model(net, class_of, own, class_count, class_words, {r["b"]: r["n"] for r in sums if r["kind"] == 1},
+                 {(r["a"], r["b"]): r["n"] for r in sums if r["kind"] == 2}, n, distinct)
 
 
 def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score of each row."""
     rows = stored(_blocks(docs, id_col, text_col), "word-blocks")
     counts = stored(_word_counts(rows), "word-counts")
-    model = fit(docs, counts, ranks, pattern, id_col, text_col)
+    model = fit(rows, counts, ranks, pattern)
     doc_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
