@@ -67,6 +67,32 @@ def test_misspelled_and_quoted_terms(spark):
     assert X.score(odd.limit(0), model).count() == 0
 
 
+def test_chance_as_the_binomial_tail_at_any_size():
+    from fractions import Fraction
+    from math import comb
+
+    for t, c, rate in ((3, 0, 0.5), (9, 3, 0.11), (400, 1, 0.5), (401, 0, 0.5), (260, 240, 0.5), (700, 20, 0.6), (450, 300, 0.6), (50, 400, 0.11), (1200, 800, 0.6)):
+        p, n = Fraction(rate), t + c
+        want = float(sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(t, n + 1)))
+        assert abs(X._chance(t, c, rate) - want) <= 1e-8 * want + 1e-300, (t, c, rate)
+    assert X._chance(3, 2, 1.0) == 1.0 and X._chance(16000, 0, 0.5) == 0.0
+
+
+def test_common_and_short_terms_of_balanced_labels(spark):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(2400):
+        w = [f"w{rnd.randrange(300)}" for _ in range(20)]
+        if toxic := i % 2:
+            w[rnd.randrange(20)] = rnd.choice(["blorgish", "zug"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    model = X.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted(model.terms) == ["blorgish", "zug"]
+    odd = spark.createDataFrame([(1, "w1 zug w2"), (2, "w1 zugs w2"), (3, "w1 zu w2"), (4, "w1 blorgish")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in X.score(odd, model).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_no_labels_and_held_out_rows_do_not_matter(spark):
     docs, labels = corpus(spark)
     model = X.train(docs, labels.limit(0))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -245,9 +245,9 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
                 seen = set()
                 for w in {f for raw in set(_words(text)) for f in forms(raw)}:
-                    if len(w) >= MIN_PREFIX:
-                        seen.update(w[:n] for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1))
-                        seen.add(w[:64] + " ")
+                    # words shorter than a beginning count whole
+                    seen.update(w[:n] for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1))
+                    seen.add(w[:64] + " ")
                 counts.update((s, toxic) for s in seen)
                 if len(counts) > 400_000:
                     yield flush()
@@ -259,9 +259,16 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 
 def _chance(t: int, c: int, rate: float) -> float:
-    """Probability of at least ``t`` toxic texts among ``t + c`` by chance."""
+    """Probability of at least ``t`` toxic texts among ``t + c`` by chance, summed in logarithms."""
     n = t + c
-    return sum(comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(t, n + 1)) if n <= 400 else (0.0 if t > 2 * rate * n else 1.0)
+    if t <= 0 or rate >= 1:
+        return 1.0
+    if rate <= 0:
+        return 0.0
+    whole, yes, no = lgamma(n + 1), log(rate), log1p(-rate)
+    logs = [whole - lgamma(k + 1) - lgamma(n - k + 1) + k * yes + (n - k) * no for k in range(t, n + 1)]
+    top = max(logs)
+    return min(1.0, exp(top) * sum(exp(x - top) for x in logs))
 
 
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[str]:
