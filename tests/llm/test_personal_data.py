@@ -56,6 +56,15 @@ def test_checksums_and_context_of_added_kinds(spark):
     assert (rows[0].personal_data[0].start, rows[0].personal_data[0].end) == (5, 32)
 
 
+def test_iban_before_capitals_and_digits(spark):
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = {f"IBAN {gb} BIC WESTGB2L": [gb], f"{de} EUR 500": [de], f"{de} {gb} 7": [de, gb], f"{de}.": [de], f"{de}5": [], "DE88370400440532013000 EUR 500": [],
+             f"NO9386011117947 KID 12345 {de}": ["NO9386011117947", de]}
+    rows = find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert [r.text[s.start:s.end] for s in r.personal_data if s.kind == "iban"] == texts[r.text], r.text
+
+
 def test_redact_keeps_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "é a@b.cc, 1.2.3.4!", "k", 5)], "doc_id long, text string, kind string, start int")
     assert redact(df).collect()[0].text == "é [email], [ip]!"

@@ -43,13 +43,22 @@ class Kind:
     least: float = 0.0  # an added kind's span below this score is dropped
 
 
+# Characters of an IBAN after its country and check digits, by country (the registry's lengths less 4).
+IBAN_REST = {11: "NO", 12: "BE", 14: "DK FI FO GL NL SD FK", 15: "MK SI", 16: "AT BA EE KZ LT LU XK MN", 17: "CH CR HR LI LV",
+             18: "BG BH DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
+             21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC SM MR", 24: "AL AZ BY CY DO GT HU LB PL SV NI", 25: "BR EG PS QA UA",
+             26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU"}
+_REST = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for n, names in IBAN_REST.items())
+_LISTED = "|".join(" ".join(IBAN_REST.values()).split())
+
 _MAIL = "[A-Za-z0-9._%+-]"
 KINDS = (
     Kind("email", rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, "mail|contact|write"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][0-9 -]{11}", 0.7, "card|visa|credit|pay|cvv|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|tel|call|mobile|fax|cell"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", "[A-Z]{2}[0-9]{2}", 0.8,
+    # a listed country's IBAN has its fixed length; others go on as far as they can
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:(?:{_REST})(?![A-Za-z0-9])|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)", "[A-Z]{2}[0-9]{2}", 0.8,
          "iban|account|bank|transfer", False, 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.3, "ssn|social|security", False, 0.5),
     Kind("tel", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "[0-9]{3}", 0.3,
