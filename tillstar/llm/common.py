@@ -137,3 +137,21 @@ def rank_in_key(rows: DataFrame, key: str, order: str, part: str, out: str) -> D
     return (local.join(parts, (F.col(key) == F.col("__k")) & (F.col(part) == F.col("__p")))
             .withColumn(out, F.col("__before") + F.col("__local"))
             .drop("__k", "__p", "__before", "__local"))
+
+
+# Keys that `join_spread` calls hot, at most.
+HOT_KEYS = 10_000
+
+
+def join_spread(rows: DataFrame, info: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``info``, which has one row for each of their keys and in ``n``
+    the number of rows with it (``n`` itself is left out).  Keys with over one in
+    ``HOT_KEYS`` of all rows, which are fewer than ``HOT_KEYS``, are broadcast, so that the rows of a
+    hot key don't meet in one task; the others are joined by shuffle."""
+    info = stored(info, "keys")
+    total = info.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(info.where(F.col(n) * HOT_KEYS > total).drop(n).withColumn("__hot", F.lit(True)))
+    marked = rows.join(hot, key, "left")
+    columns = [c for c in info.columns if c not in (key, n)]
+    cold = marked.where(F.col("__hot").isNull()).drop("__hot", *columns).join(info.where(F.col(n) * HOT_KEYS <= total).drop(n), key)
+    return marked.where("__hot").drop("__hot").unionByName(cold)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_model, packing, personal_data, quality_rules, secrets, sharding, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, packing, personal_data, quality_rules, secrets, sharding, simhash_links, token_counts, toxicity
 
 QUERIES = {
     "op3_language_model": language_model.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op7_personal_data": personal_data.query,
     "op9_sharding": sharding.query,
+    "op11_simhash": simhash_links.query,
 }
 
 ORACLE_SQL = {
