@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_model, packing, personal_data, quality_rules, secrets, sharding, simhash_links, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, packing, periodic_runs, personal_data, quality_rules, secrets, sharding, simhash_links, token_counts, toxicity
 
 QUERIES = {
     "op3_language_model": language_model.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_personal_data": personal_data.query,
     "op9_sharding": sharding.query,
     "op11_simhash": simhash_links.query,
+    "op12_periodic_runs": periodic_runs.query,
 }
 
 ORACLE_SQL = {
