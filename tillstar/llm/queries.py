@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_model, packing, periodic_runs, personal_data, quality_rules, secrets, sharding, simhash_links, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, merkle_manifest, packing, periodic_runs, personal_data, quality_rules, secrets, sharding, simhash_links, token_counts, toxicity
 
 QUERIES = {
     "op3_language_model": language_model.query,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_sharding": sharding.query,
     "op11_simhash": simhash_links.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_merkle_manifest": merkle_manifest.query,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op9_sharding": sharding.ORACLE_SQL,
+    "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
