@@ -19,7 +19,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
@@ -32,8 +32,9 @@ from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
 from tillstar.operators.ranking import sorted_by  # noqa: E402
 from tillstar.plans import keys as K  # noqa: E402
-from tillstar.plans.calendar import with_holidays  # noqa: E402
+from tillstar.plans.calendar import hour_keys_of_year, with_holidays  # noqa: E402
 from tillstar.plans.load import key_high_water_marks  # noqa: E402
+from tillstar.plans.rollups import RollupStore  # noqa: E402
 from tillstar.schema import STAR_TABLES  # noqa: E402
 from tillstar.session import scratch_path  # noqa: E402
 from tillstar.sources.csv_files import read_table_csv, write_table_csv  # noqa: E402
@@ -191,6 +192,39 @@ def _restricted_deletes(star: Star) -> DataFrame:
     return blocked.withColumn("blocked", F.lit(True)).unionByName(free.withColumn("blocked", F.lit(False)))
 
 
+_ROLLUPS: dict = {}
+ROLLUP_LOADS = ("history", "recent", "late")
+
+
+def _load_of() -> Column:
+    """Three loads of the fact: lines kept of the years before 1996, the lines from then on, and the
+    returned lines of the earlier orders, which come late."""
+    early = F.coalesce(F.col("time_sk") < hour_keys_of_year(1996)[0], F.lit(False))
+    late = early & F.coalesce(F.col("return_flag"), F.lit(False))
+    return F.when(late, F.lit("late")).when(early, F.lit("history")).otherwise(F.lit("recent"))
+
+
+def _rollups(spark: SparkSession, sf_dir: str, star: Star) -> RollupStore:
+    """The roll-ups after the three loads; made once for a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _ROLLUPS and len(_ROLLUPS[key].loads()) == len(ROLLUP_LOADS):
+        return _ROLLUPS[key]
+    store = RollupStore(spark, scratch_path(spark, "rollups"))
+    for name in ROLLUP_LOADS:
+        store.add(name, star.fact.where(_load_of() == name), star.time)
+    _ROLLUPS[key] = store
+    return store
+
+
+def _rollup_query(view: Callable[[RollupStore, Star], DataFrame], as_of: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = star_from_dir(spark, sf_dir)
+        store = _rollups(spark, sf_dir, star)
+        return report_types(view(RollupStore(spark, store.base, as_of), star))
+
+    return run
+
+
 def _validated_top_products(star: Star) -> DataFrame:
     return A.top_selling_products(star, A.validate_top_n(A.TOP_N_MIN))
 
@@ -271,6 +305,15 @@ def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "favourite_channels": _star_query(A.favourite_channels),
         "periods_by_revenue": _star_query(lambda star: sorted_by(A.monthly_series(star), "total_revenue", ascending=False)),
         "validated_top_products": _star_query(_validated_top_products),
+        "rollup_kpi_overview": _rollup_query(lambda r, star: r.kpi_overview()),
+        "rollup_category_performance": _rollup_query(lambda r, star: r.category_performance(star)),
+        "rollup_channel_performance": _rollup_query(lambda r, star: r.channel_performance()),
+        "rollup_region_performance": _rollup_query(lambda r, star: r.region_performance(star)),
+        "rollup_top_selling_products": _rollup_query(lambda r, star: r.top_selling_products(star, TOP_N)),
+        "rollup_monthly_revenue_trends": _rollup_query(lambda r, star: r.monthly_revenue_trends()),
+        "rollup_top_customers": _rollup_query(lambda r, star: r.top_customers(star, TOP_N)),
+        "rollup_first_load": _rollup_query(lambda r, star: r.channel_performance(), as_of="history"),
+        "rollup_two_loads": _rollup_query(lambda r, star: r.monthly_revenue_trends(), as_of="recent"),
     }
 
 

@@ -21,11 +21,13 @@ Scale notes (the plans were checked with ``explain``):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstar.functions.metrics import (
-    avg_of_sums, exact_avg, flag_count, int_sum, money_sum, pct, share_pct, weighted_mean,
+    MONEY, avg_of_sums, exact_avg, flag_count, int_sum, money_sum, pct, share_pct, weighted_mean,
     count_pct,
 )
 from tillstar.operators.joins import keep_existing, pin_small, semi_join
@@ -84,6 +86,11 @@ def category_performance(star: Star) -> DataFrame:
         F.sum("discount_pct").alias("disc_sum"),
         F.count("discount_pct").alias("disc_n"),
     )
+    return categories_of_products(per_product, star)
+
+
+def categories_of_products(per_product: DataFrame, star: Star) -> DataFrame:
+    """Q2 from one row per product: ``product_sk, qty, rev, prof, disc_sum, disc_n``."""
     cats = per_product.join(star.products.select("product_sk", "category"), "product_sk")
     out = cats.groupBy("category").agg(
         F.count_distinct("product_sk").alias("unique_products"),
@@ -118,16 +125,23 @@ def region_performance(star: Star) -> DataFrame:
     s = star.stores.select("store_sk", "region", "country")
     per_store = f.groupBy("store_sk").agg(
         F.sum("net_revenue").alias("rev"), F.sum("profit").alias("prof"), F.count("net_revenue").alias("n"))
+    orders = f.select("store_sk", "order_id").join(s, "store_sk").groupBy("region", "country", "order_id").agg(F.lit(1).alias("one"))
+    return regions_of_stores(per_store, orders.groupBy("region", "country").agg(F.count("order_id").alias("total_orders")), star)
+
+
+def regions_of_stores(per_store: DataFrame, orders: DataFrame, star: Star) -> DataFrame:
+    """Q4 from one row per store (``store_sk, rev, prof, n``) and one per region and country with orders
+    (``region, country, total_orders``)."""
+    s = star.stores.select("store_sk", "region", "country")
     sums = per_store.join(s, "store_sk").groupBy("region", "country").agg(
         F.count_distinct("store_sk").alias("store_count"),
         money_sum("rev").alias("total_revenue"),
         money_sum("prof").alias("total_profit"),
         avg_of_sums(F.sum("rev"), F.sum("n")).alias("avg_order_value"),
     )
-    orders = f.select("store_sk", "order_id").join(s, "store_sk").groupBy("region", "country", "order_id").agg(F.lit(1).alias("one"))
-    orders = orders.groupBy(F.col("region").alias("r"), F.col("country").alias("c")).agg(F.count("order_id").alias("total_orders"))
-    out = sums.join(orders, F.col("region").eqNullSafe(F.col("r")) & F.col("country").eqNullSafe(F.col("c"))).select(
-        "region", "country", "store_count", "total_revenue", "total_profit", "total_orders", "avg_order_value")
+    orders = orders.select(F.col("region").alias("r"), F.col("country").alias("c"), "total_orders")
+    out = sums.join(orders, F.col("region").eqNullSafe(F.col("r")) & F.col("country").eqNullSafe(F.col("c")), "left").select(
+        "region", "country", "store_count", "total_revenue", "total_profit", F.coalesce("total_orders", F.lit(0)).alias("total_orders"), "avg_order_value")
     return out.orderBy(_desc("total_revenue"), _asc("region"), _asc("country"))
 
 
@@ -161,9 +175,16 @@ def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         F.count_distinct("order_id").alias("total_orders"),
         exact_avg("discount_pct").alias("avg_discount_pct"),
     )
+    return top_products_of(stats, star, n)
+
+
+def top_products_of(stats: DataFrame, star: Star, n: int, with_orders: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Q6 from one row per product.  ``with_orders`` adds ``total_orders`` to the n best where ``stats`` lacks it."""
     # inner-join semantics of the warehouse query: only products in the dimension
     stats = keep_existing(stats, star.products, "product_sk")
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")]))
+    if with_orders is not None:
+        top = with_orders(top)
     out = star.products.select("product_sk", "product_name", "category", "brand").join(top, "product_sk")
     return out.select(
         "product_sk", "product_name", "category", "brand", "total_quantity", "total_revenue",
@@ -197,6 +218,11 @@ def monthly_revenue_trends(star: Star, year: int | None = None) -> DataFrame:
         exact_avg("net_revenue").alias("avg_order_value"),
         flag_count("return_flag").alias("total_returns"),
     )
+    return trends_of_months(monthly)
+
+
+def trends_of_months(monthly: DataFrame) -> DataFrame:
+    """Q7 from one row per month (its sums, orders and returns)."""
     monthly = monthly.select(
         F.col("year").cast("int").alias("year"),
         F.col("month").cast("int").alias("month"),
@@ -222,9 +248,18 @@ def top_customers(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
         exact_avg("net_revenue").alias("avg_order_value"),
         flag_count("return_flag").alias("total_returns"),
     )
+    return top_customers_of(stats, star, n)
+
+
+def top_customers_of(stats: DataFrame, star: Star, n: int, with_orders: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Q8 from one row per customer; the favourites of the n best come from the fact.  ``with_orders`` adds
+    ``total_orders`` to these where ``stats`` lacks it."""
+    f = star.fact
     stats = keep_existing(stats, star.customers, "customer_sk")
     # n rows, referenced three times below: computed once, lineage cut
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("customer_sk")]))
+    if with_orders is not None:
+        top = pin_small(with_orders(top))
 
     # Favourites only for the n winners: the fact restricted to the n keys and reduced to
     # (customer, product, channel).  Both picks then come out of ONE grouping-sets aggregate and ONE groupBy that
