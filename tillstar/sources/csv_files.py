@@ -5,8 +5,8 @@ Load semantics kept from the warehouse:
   header row is only skipped;
 * comma separated, ``""`` doubled-quote escaping, empty field = NULL,
   quoted empty field = empty string;
-* a quoted field may hold line breaks if ``multi_line`` is set (a file is then one
-  task's work, as Spark can't split it: write many files);
+* a quoted field may hold line breaks if ``multi_line`` is set; the file is then cut into
+  records by ``csv_records``, by as many tasks as it has ranges;
 * booleans ``True/False``, dates ``yyyy-MM-dd``;
 * any value that does not parse fails the load (``FAILFAST``): the error
   surfaces on the first action, so write the loaded tables in one job;
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tillstar.schema import NOW, STAR_TABLES, TableDef
+from tillstar.sources.csv_records import csv_records
 from tillstar.star import Star
 
 # A quoted empty field ("") is an empty string, an unquoted one is NULL, as in
@@ -61,7 +62,12 @@ def with_defaults(df: DataFrame, table: TableDef) -> DataFrame:
 
 def read_table_csv(spark: SparkSession, path: str, table: TableDef | str, multi_line: bool = False) -> DataFrame:
     t = STAR_TABLES[table] if isinstance(table, str) else table
-    raw = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).schema(t.file_struct()).csv(path)
+    if multi_line:
+        options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "enforceSchema")}
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.file_struct().fields)
+        raw = csv_records(spark, path).select(F.from_csv("record", schema, {**options, "multiLine": "true"}).alias("row")).select("row.*")
+    else:
+        raw = spark.read.options(**CSV_OPTIONS).schema(t.file_struct()).csv(path)
     raw = raw.select(*[
         F.when(F.col(f.name) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, StringType) else F.col(f.name)
