@@ -32,12 +32,13 @@ from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
 from tillstar.operators.ranking import sorted_by  # noqa: E402
 from tillstar.plans import keys as K  # noqa: E402
-from tillstar.plans.calendar import hour_keys_of_year, with_holidays  # noqa: E402
+from tillstar.plans.append import AppendWarehouse  # noqa: E402
+from tillstar.plans.calendar import easter_sunday, holiday_name, hour_keys_of_year, with_computed_holidays, with_holidays  # noqa: E402
 from tillstar.plans.load import key_high_water_marks  # noqa: E402
 from tillstar.plans.rollups import RollupStore  # noqa: E402
 from tillstar.schema import STAR_TABLES  # noqa: E402
 from tillstar.session import scratch_path  # noqa: E402
-from tillstar.sources.csv_files import read_table_csv, write_table_csv  # noqa: E402
+from tillstar.sources.csv_files import read_star_csv, read_table_csv, with_defaults, write_star_csv, write_table_csv  # noqa: E402
 from tillstar.star import Star  # noqa: E402
 from tillstar.plans import analytics as A  # noqa: E402
 from tillstar.plans import quality as Q  # noqa: E402
@@ -147,10 +148,23 @@ def _csv_round_trip(star: Star) -> DataFrame:
     return back.select("product_sk", "product_id", "product_name", "category", "sub_category", "brand", "unit_cost", "unit_price", "is_active")
 
 
-def _holiday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star = star_from_dir(spark, sf_dir)
-    days = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 500 = 0").select(F.to_date("o_orderdate").alias("holiday_date"))
-    return with_holidays(star.time, days).select("time_sk", "is_holiday")
+def _holiday_calendar(star: Star) -> DataFrame:
+    days = with_computed_holidays(star.time)
+    return days.select("time_sk", "is_holiday", holiday_name(F.col("full_date")).alias("holiday"))
+
+
+def _easter(star: Star) -> DataFrame:
+    """Easter of each year in the three centuries around those of the calendar."""
+    span = star.time.agg(F.min("year").cast("int").alias("lo"), F.max("year").cast("int").alias("hi"))
+    years = span.select(F.explode(F.sequence(F.col("lo") - 150, F.col("hi") + 150)).alias("year"))
+    return years.select("year", F.date_format(easter_sunday(F.col("year")), "yyyy-MM-dd").alias("easter"))
+
+
+def _listed_holidays(star: Star) -> DataFrame:
+    """Holidays from a list of dates: the days on which no order at all was placed."""
+    open_days = star.fact.select("time_sk").distinct().join(star.time.select("time_sk", "full_date"), "time_sk").select("full_date").distinct()
+    closed = star.time.select("full_date").distinct().join(open_days, "full_date", "left_anti")
+    return with_holidays(star.time, closed, "full_date").select("time_sk", "is_holiday")
 
 
 def _key_summary(df: DataFrame) -> DataFrame:
@@ -167,11 +181,6 @@ def _continued_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_summary(K.continue_keys(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name"), known, "k"))
 
 
-def _high_water_marks(star: Star) -> DataFrame:
-    # the driver tables have no key for sales (sale_sk is unique, not numbered)
-    return key_high_water_marks(star).where("table_name <> 'fact_sales'")
-
-
 def _formatted_products(star: Star) -> DataFrame:
     return A.top_selling_products(star, A.TOP_N_MAX).select(
         "product_sk", T.money("total_revenue").alias("total_revenue"), T.percent("profit_margin").alias("profit_margin"),
@@ -186,8 +195,8 @@ def _formatted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _restricted_deletes(star: Star) -> DataFrame:
-    """A third of the products is to go; those with returned sales have to stay."""
-    plan = star.products.where("product_sk % 3 = 0").select("product_sk")
+    """Every product is to go; those with returned sales have to stay."""
+    plan = star.products.select("product_sk")
     blocked, free = Q.restricted_deletes(star.fact.where("return_flag"), plan, "product_sk")
     return blocked.withColumn("blocked", F.lit(True)).unionByName(free.withColumn("blocked", F.lit(False)))
 
@@ -225,6 +234,79 @@ def _rollup_query(view: Callable[[RollupStore, Star], DataFrame], as_of: str | N
     return run
 
 
+_APPENDED: dict = {}
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> AppendWarehouse:
+    """Three loads: the "history" lines, all lines but the late ones (so history again), then all; dimensions
+    with each.  Made once for a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _APPENDED and len(_APPENDED[key].versions()) == 3:
+        return _APPENDED[key]
+    star = star_from_dir(spark, sf_dir)
+    warehouse = AppendWarehouse(spark, scratch_path(spark, "appended"))
+    for lines in (star.fact.where(_load_of() == "history"), star.fact.where(_load_of() != "late"), star.fact):
+        warehouse.append(Star(lines, star.customers, star.products, star.stores, star.time))
+    _APPENDED[key] = warehouse
+    return warehouse
+
+
+def _append_query(result: Callable[[AppendWarehouse], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: report_types(result(_appended(spark, sf_dir)))
+
+
+def _dense_sales(star: Star) -> DataFrame:
+    return _key_summary(star.fact.select(F.col("sale_sk").alias("k")))
+
+
+def _csv_split_round_trip(star: Star) -> DataFrame:
+    """The round trip with ranges of 64 KB, so that files are cut at many places, inside fields too."""
+    spark, key = star.fact.sparkSession, "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        rows, path = _csv_round_trip(star), scratch_path(spark, "split-csv")
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.parquet(path)
+
+
+def _csv_star(star: Star) -> Star:
+    """All five tables through the CSV sink and the typed load."""
+    path = scratch_path(star.fact.sparkSession, "star-csv")
+    write_star_csv(star, path)
+    return read_star_csv(star.fact.sparkSession, path)
+
+
+def _csv_sales_fact(star: Star) -> DataFrame:
+    # the declared type of an order id is text
+    return _sales_fact(_csv_star(star)).withColumn("order_id", F.col("order_id").cast("long"))
+
+
+def _defaults(star: Star) -> DataFrame:
+    """Customers and stores from files without ``is_active``: the declared DEFAULT; ``phone`` has none."""
+    people = with_defaults(star.customers.drop("is_active", "created_at", "phone"), STAR_TABLES["dim_customers"])
+    shops = with_defaults(star.stores.drop("is_active"), STAR_TABLES["dim_stores"])
+    now = F.col("created_at").isNotNull().alias("has_load_time")
+    return people.select(F.col("customer_id").alias("id"), "is_active", F.col("phone").isNull().alias("no_phone"), now).unionByName(
+        shops.select(F.col("store_id").alias("id"), "is_active", F.col("manager_name").isNull().alias("no_phone"), now))
+
+
+def _millions(star: Star) -> DataFrame:
+    return A.category_performance(star).select("category", T.millions("total_revenue").alias("total_revenue"))
+
+
+def _violating_rows(star: Star) -> DataFrame:
+    """The rows themselves that break each rule on the damaged customers, with the rule."""
+    bad, out = _damaged(star), None
+    for r in Q.all_rules():
+        if r.table == "dim_customers":
+            rows = Q.violating_rows(bad, r).select(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"), "customer_id", "email")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _validated_top_products(star: Star) -> DataFrame:
     return A.top_selling_products(star, A.validate_top_n(A.TOP_N_MIN))
 
@@ -295,16 +377,30 @@ def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sql_channel_performance": _sql_query("SELECT * FROM vw_channel_performance"),
         "sql_region_performance": _sql_query("SELECT * FROM vw_region_performance"),
         "csv_round_trip": _star_query(_csv_round_trip),
-        "holiday_calendar": _holiday_calendar,
+        "holiday_calendar": _star_query(_holiday_calendar),
+        "easter_sundays": _star_query(_easter),
+        "listed_holidays": _star_query(_listed_holidays),
         "dense_keys": _dense_keys,
         "continued_keys": _continued_keys,
-        "key_high_water_marks": _star_query(_high_water_marks),
+        "key_high_water_marks": _star_query(key_high_water_marks),
         "formatted_products": _star_query(_formatted_products),
         "formatted_dates": _formatted_dates,
         "restricted_deletes": _star_query(_restricted_deletes),
         "favourite_channels": _star_query(A.favourite_channels),
         "periods_by_revenue": _star_query(lambda star: sorted_by(A.monthly_series(star), "total_revenue", ascending=False)),
         "validated_top_products": _star_query(_validated_top_products),
+        "append_history": _append_query(lambda w: w.history()),
+        "append_sales_fact": _append_query(lambda w: _sales_fact(w.star())),
+        "append_second_version": _append_query(lambda w: A.channel_performance(w.star(2))),
+        "append_dense_sales": _append_query(lambda w: _dense_sales(w.star())),
+        "dense_sales": _star_query(_dense_sales),
+        "csv_split_round_trip": _star_query(_csv_split_round_trip),
+        "csv_sales_fact": _star_query(_csv_sales_fact),
+        "csv_load_report": _star_query(lambda star: Q.load_report(_csv_star(star))),
+        "csv_defaults": _star_query(_defaults),
+        "sql_null_year": _sql_query("SELECT * FROM get_monthly_revenue_trends(:year)", year=None),
+        "formatted_millions": _star_query(_millions),
+        "violating_rows_damaged": _star_query(_violating_rows),
         "rollup_kpi_overview": _rollup_query(lambda r, star: r.kpi_overview()),
         "rollup_category_performance": _rollup_query(lambda r, star: r.category_performance(star)),
         "rollup_channel_performance": _rollup_query(lambda r, star: r.channel_performance()),

@@ -13,6 +13,7 @@ and a fact computes its key without a lookup.  Everything is built-in:
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,73 @@ def _finish(hours: DataFrame) -> DataFrame:
     return hours.select("time_sk", "ts", *_attributes(F.col("ts")))
 
 
+# --- computed holidays ----------------------------------------------------------
+def fixed_day(month: int, day: int) -> Callable[[Column], Column]:
+    """The same day each year."""
+    return lambda d: (F.month(d) == month) & (F.dayofmonth(d) == day)
+
+
+def nth_weekday(month: int, weekday: int, n: int) -> Callable[[Column], Column]:
+    """The n-th ``weekday`` (1 = Monday .. 7 = Sunday) of a month; the last one for n = -1, and so on."""
+    def rule(d: Column) -> Column:
+        day = F.dayofmonth(d)
+        from_end = F.dayofmonth(F.last_day(d)) - day
+        week = F.ceil(day / 7) if n > 0 else F.floor(from_end / 7) + 1
+        return (F.month(d) == month) & (F.weekday(d) + 1 == weekday) & (week == abs(n))
+
+    return rule
+
+
+def easter_sunday(year: Column) -> Column:
+    """Easter Sunday of a Gregorian year, by the computus (golden number, century corrections, full
+    moon, following Sunday) in whole numbers."""
+    y = year.cast("int")
+
+    def div(a: Column, b: int) -> Column:
+        return F.floor(a / b)
+
+    golden, century, rest = y % 19, div(y, 100), y % 100
+    skipped_leap, moon = div(century, 4), div(century - div(century + 8, 25) + 1, 3)
+    epact = (golden * 19 + century - skipped_leap - moon + 15) % 30
+    sunday = (F.lit(32) + century % 4 * 2 + div(rest, 4) * 2 - epact - rest % 4) % 7
+    late = div(golden + epact * 11 + sunday * 22, 451)
+    days = epact + sunday - late * 7 + 114
+    return F.make_date(y, div(days, 31).cast("int"), (days % 31 + 1).cast("int"))
+
+
+def easter_offset(days: int) -> Callable[[Column], Column]:
+    """So many days after Easter Sunday (before, if negative)."""
+    return lambda d: F.datediff(d, easter_sunday(F.year(d))) == days
+
+
+# The default list, most of it the federal holidays of the United States.
+HOLIDAYS: dict[str, Callable[[Column], Column]] = {
+    "New Year's Day": fixed_day(1, 1),
+    "Martin Luther King Day": nth_weekday(1, 1, 3),
+    "Presidents' Day": nth_weekday(2, 1, 3),
+    "Good Friday": easter_offset(-2),
+    "Easter Monday": easter_offset(1),
+    "Memorial Day": nth_weekday(5, 1, -1),
+    "Independence Day": fixed_day(7, 4),
+    "Labor Day": nth_weekday(9, 1, 1),
+    "Columbus Day": nth_weekday(10, 1, 2),
+    "Veterans Day": fixed_day(11, 11),
+    "Thanksgiving": nth_weekday(11, 4, 4),
+    "Christmas Day": fixed_day(12, 25),
+}
+
+
+def holiday_name(date: Column, rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """Name of the first rule that holds on the day, NULL on other days: plain column arithmetic, for any years."""
+    rules = HOLIDAYS if rules is None else rules
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(rule(date), F.lit(name)) for name, rule in rules.items()])
+
+
+def with_computed_holidays(calendar: DataFrame, rules: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Set ``is_holiday`` from rules."""
+    return calendar.withColumn("is_holiday", holiday_name(F.col("full_date"), rules).isNotNull())
+
+
 def with_holidays(calendar: DataFrame, holidays: DataFrame, date_col: str = "holiday_date") -> DataFrame:
     """Set ``is_holiday`` from a caller-supplied list of dates (left join on
     the date; dates not listed stay FALSE)."""

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from tillstar.plans.calendar import CALENDAR_COLUMNS, calendar_covering, hour_key
+from tillstar.plans.keys import row_keys
 from tillstar.sources.tables import DriverTables
 from tillstar.star import Star
 
@@ -90,10 +91,9 @@ def whole_number(col: str) -> Column:
 
 
 def conform_fact(tables: DriverTables) -> DataFrame:
-    li = tables.lineitem.select(
-        # unique per scan split and stable on recompute (assigned before any shuffle)
-        (F.monotonically_increasing_id() + 1).alias("sale_sk"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    # 1..N in the order of the files, the same on recompute (assigned before any shuffle)
+    li = row_keys(tables.lineitem, "sale_sk").select(
+        "sale_sk", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag",
     )
     # the cost share is computed on the part side, once per part instead of once per line
