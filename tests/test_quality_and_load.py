@@ -57,6 +57,24 @@ def test_one_violation_per_rule(spark):
     assert sorted(r["customer_sk"] for r in Q.violating_rows(star, dup).collect()) == [1, 2]
 
 
+def test_forged_fingerprints_do_not_change_the_report(spark, monkeypatch):
+    """All texts clash in the first pass; the second compares them themselves."""
+    customers = [dict(customer_sk=i, customer_id=f"c{i % 5}", first_name="A", last_name="B", email=f"e{i}@x" if i < 7 else None, age=30) for i in range(1, 9)]
+    star = make_star(spark, [sale(i, customer_sk=i) for i in range(1, 12)], customers=customers)
+    plain = report(star)
+    assert plain["B2_unique", "dim_customers", "customer_id"] == 3 and plain["B5_foreign_key", "fact_sales", "customer_sk"] == 3
+    monkeypatch.setattr(Q, "fingerprint", lambda column: "0L")
+    assert report(star) == plain
+
+
+def test_a_few_rules_only(spark):
+    star = make_star(spark, [sale(1, customer_sk=9), sale(2, customer_sk=9), sale(3, customer_sk=None)])
+    some = [r for r in Q.all_rules() if r.table == "fact_sales" and r.column == "customer_sk"]
+    got = {(r["rule"], r["violations"]) for r in Q.quality_report(star, some).collect()}
+    assert got == {("B1_not_null", 1), ("B5_foreign_key", 2)}
+    assert {r["violations"] for r in Q.quality_report(star, [r for r in some if r.rule == "B1_not_null"]).collect()} == {1}
+
+
 def test_precision_rule(spark):
     from pyspark.sql import functions as F
 
