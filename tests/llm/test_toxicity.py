@@ -40,6 +40,26 @@ def test_automaton_as_edit_distance_to_every_term():
         assert (got and got[1]) == want, w
 
 
+def test_automaton_forgets_in_place(monkeypatch):
+    rnd = random.Random(7)
+    terms = ["abcab", "bacaccabac", "abab", "ccabb", "cabbacabbac", "aacb*"]
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
+    whole = X.LexiconAutomaton(terms)
+    want = [whole.match(w) for w in words]
+    monkeypatch.setattr(X, "MAX_STATES", 9)
+    small = X.LexiconAutomaton(terms)
+    sets = small.sets
+    for w, m in zip(words, want):
+        assert small.match(w) == m and small.sets is sets and len(sets) <= 11
+
+
+def test_whole_words_of_any_length_are_terms(spark):
+    long = "".join("aeioubcd"[k * k % 8] for k in range(300))
+    rows = [(long + "x", 1), (long + "y", 0), ("short " + long + "x", 1)]
+    counts = {r.term: (r.t, r.c) for r in X._term_counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert counts[X.forms(long + "x")[0] + " "] == (2, 0) and counts[X.forms(long + "y")[0] + " "] == (0, 1)
+
+
 def corpus(spark):
     rnd = random.Random(2)
     rows, labels = [], []

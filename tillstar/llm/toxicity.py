@@ -43,6 +43,8 @@ MIN_PREFIX, MAX_PREFIX = 4, 12
 ONE_ERROR, TWO_ERRORS = 5, 10
 WINDOW = 6
 CACHE_WORDS = 1 << 16
+# States an automaton keeps, and characters of the terms a task counts, before it begins anew.
+MAX_STATES, MAX_COUNTED = 200_000, 40 << 20
 # Words that report speech or address someone; fixed values.
 REPORTING = set("said says quote quoted quotes wrote called calls word term phrase dit mot sagte wort dijo palabra".split())
 ADDRESS = set("you your you're du dich euch tu vous eres usted".split())
@@ -96,6 +98,13 @@ class LexiconAutomaton:
         self.stem: list[tuple[int, int] | None] = []   # match whatever follows
         self.start = self._state(self._closed({(0, 0, "")}))
 
+    def _forget(self, states: frozenset) -> int:
+        """Empties the tables in place and makes the start and one more state again."""
+        for made in (self.ids, self.sets, self.steps, self.open, self.stem):
+            made.clear()
+        self.start = self._state(self._closed({(0, 0, "")}))
+        return self._state(states)
+
     def _closed(self, states: set) -> frozenset:
         todo = list(states)
         while todo:
@@ -144,8 +153,9 @@ class LexiconAutomaton:
             steps = self.steps[state]
             nxt = steps.get(c)
             if nxt is None:
-                if len(self.sets) > 200_000:  # keep memory bounded: forget what can be made again
-                    return LexiconAutomaton(self.terms).match(word)
+                if len(self.sets) > MAX_STATES:  # keep memory bounded: forget what can be made again
+                    state = self._forget(self.sets[state])
+                    steps = self.steps[state]
                 nxt = steps[c] = self._step(state, c)
             if nxt < 0:
                 return best
@@ -232,8 +242,10 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
     def task():
         counts: Counter = Counter()
+        size = [0]  # characters of the terms counted, and a part for each
 
         def flush():
+            size[0] = 0
             keys = list(counts)
             out = record_batch(["term", "t", "c"], pa.array([k for k, _ in keys], pa.string()),
                                pa.array([counts[k] if k[1] else 0 for k in keys], pa.int64()),
@@ -247,9 +259,12 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                 for w in {f for raw in set(_words(text)) for f in forms(raw)}:
                     # words shorter than a beginning count whole
                     seen.update(w[:n] for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1))
-                    seen.add(w[:64] + " ")
-                counts.update((s, toxic) for s in seen)
-                if len(counts) > 400_000:
+                    seen.add(w + " ")
+                for s in seen:
+                    if (s, toxic) not in counts:
+                        size[0] += len(s) + 64
+                    counts[s, toxic] += 1
+                if size[0] > MAX_COUNTED:
                     yield flush()
 
         step.end = lambda: iter([flush()]) if counts else iter(())
