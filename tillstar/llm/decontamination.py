@@ -135,9 +135,9 @@ def latent_space(docs: DataFrame, features: dict[bytes, int], idf: np.ndarray, t
     core = _omega(len(features)).astype(float).T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-9 * max(1e-300, values[-1])
-    if good.sum() < min(16, len(features)):  # hardly any text: a random space serves
-        out = _omega(len(features)) * idf[:, None]
-    else:
+    if not good.any() or values[-1] <= 0:  # none of the words is in the corpus: nothing can be found
+        out = np.zeros((len(features), 1))
+    else:  # as many directions as there are, also where the corpus has few
         half = y @ (vectors[:, good] / np.sqrt(values[good]))
         u, s, _ = np.linalg.svd(half, full_matrices=False)
         out = u / np.maximum(s, 1e-3 * s[0]) * idf[:, None]
