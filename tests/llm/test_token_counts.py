@@ -1,8 +1,9 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 
-from tillstar.llm.token_counts import VOCABULARY, PieceCounter, byte_pieces, count_tokens
+from tillstar.llm.token_counts import VOCABULARY, PieceCounter, byte_pieces, count_tokens, worker_counts
 
 
 def greedy(word, pieces):
@@ -41,3 +42,21 @@ def test_real_vocabulary_and_odd_texts(spark):
         assert got[i] == (len(words), sum(greedy(w, known) for w in words))
     assert got[None][0] == 2
     assert count_tokens(df.limit(0), pieces).count() == 0
+
+
+def test_a_worker_keeps_one_automaton_for_each_vocabulary(spark):
+    pieces = [b" a", b"a", b"b", b" b"]
+    kept = worker_counts(pieces)
+    assert worker_counts(list(pieces)) is kept
+    # (a vocabulary that differs in one piece only is another)
+    other = worker_counts([b" ab", b"a", b"b", b" b"])
+    assert other is not kept and other[b"ab"] == 1 and worker_counts(pieces)[b"ab"] == 2
+
+    def made(batches):
+        for batch in batches:
+            first = worker_counts(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array([int(worker_counts(pieces) is first)], pa.int64())], names=["id"])
+
+    from tillstar.llm.common import prepare
+    prepare(spark)
+    assert {r.id for r in spark.range(0, 4, 1, 2).mapInArrow(made, "id long").collect()} == {1}

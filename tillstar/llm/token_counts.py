@@ -17,6 +17,7 @@ NULL and empty texts: 0 words, 0 tokens.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -114,16 +115,24 @@ class _Cache(dict):
 _WORKER: dict = {}
 
 
+def worker_counts(vocabulary: list[bytes]) -> _Cache:
+    """The worker's counts by ``vocabulary``.  (A function of the module, which tasks import: the dictionary
+    here outlives them, where one that a task carries is new in each.)"""
+    digest = hashlib.sha256()
+    for piece in vocabulary:
+        digest.update(len(piece).to_bytes(4, "little") + piece)
+    if _WORKER.get("name") != digest.digest():
+        _WORKER.update(name=digest.digest(), cache=_Cache(PieceCounter(vocabulary)))
+    return _WORKER["cache"]
+
+
 def count_tokens(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words`` and ``n_tokens`` of each row.  ``vocabulary`` (bounded by the
     vocabulary file) is sent to the tasks; each worker builds the automaton once."""
     rows = id_and_text(docs, id_col, text_col)
-    name = hash(tuple(vocabulary[::97])) ^ len(vocabulary)
 
     def task():
-        if _WORKER.get("name") != name:
-            _WORKER.update(name=name, cache=_Cache(PieceCounter(vocabulary)))
-        count = _WORKER["cache"].__getitem__
+        count = worker_counts(vocabulary).__getitem__
 
         def step(batch, texts):
             words = [t.split() for t in texts]
