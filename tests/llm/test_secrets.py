@@ -76,3 +76,24 @@ def test_masked_texts_keep_the_rest(spark):
     assert out.columns == df.columns
     assert [(r.text, r.secrets) for r in sorted(out.collect(), key=lambda r: r.doc_id)] == [("é [secret] z", 3), (None, 4), ("clean", 5)]
     assert S.mask_secrets(df.limit(0)).count() == 0
+
+
+def test_guess_cost_of_very_long_values_in_linear_time():
+    import time
+
+    words = S.dictionary(S._vocabulary_path(None))
+    for value in ("a1~" * 333_333, "ab" * 500_000, "qwertyuiop" * 100_000, "abcdefgh" * 125_000, "x" * 1_000_000):
+        start = time.time()
+        S.log10_guesses(value, words, S.MIN_LOG10_GUESSES)
+        assert time.time() - start < 20
+    # without a bound too: one repeat costs what its unit and count cost
+    assert S.log10_guesses("a1~" * 4000, words) < S.log10_guesses("a1~" * 40, words) + 2.1
+
+
+def test_runs_as_by_hand():
+    r = S._Runs("aaaa12345qwertyab")
+    assert [r.repeat(k, 1) for k in range(4)] == [4] * 4 and r.repeat(0, 2) == 4 and r.repeat(1, 2) == 3
+    assert r.count(4) == 8 and r.count(6) == 8
+    assert r.walk(9)[0] == 15 and r.walk(12) == (15, 2)  # steps of 2 and 5 code points
+    # a letter whose small form is two characters keeps its place
+    assert len(S._Runs("İabc").low) == 4

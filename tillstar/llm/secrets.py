@@ -89,9 +89,57 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def _pieces(value: str, words: dict[str, int], start: int):
+class _Runs:
+    """Ends of the repeats, keyboard walks and runs of code points that begin at the starts of a value, asked
+    for from left to right.  A run is followed to its end once and serves all starts in it."""
+
+    def __init__(self, value: str):
+        self.value, self.low, self.n = value, value.lower(), len(value)
+        if len(self.low) != self.n:  # (a few letters have two small ones)
+            self.low = "".join(c.lower()[:1] or c for c in value)
+        self.period = [(0, 0)] * 9      # for each size: (start, end) of the last run with that period
+        self.walked, self.counted = (0, 0), (0, 0)
+        steps = [0] + [ord(b) - ord(a) for a, b in zip(self.low, self.low[1:])]
+        self.turns = [0] * (self.n + 1)  # changes of direction before a place
+        for k in range(2, self.n):
+            self.turns[k] = self.turns[k - 1] + (steps[k] != steps[k - 1])
+
+    def repeat(self, start: int, size: int) -> int:
+        """End of the whole repeats of the ``size`` characters at ``start``."""
+        first, end = self.period[size]
+        if not first <= start or start + size > end:
+            end = min(self.n, start + size)
+            while end < self.n and self.value[end] == self.value[end - size]:
+                end += 1
+            self.period[size] = (start, end)
+        return start + (end - start) // size * size
+
+    def walk(self, start: int) -> tuple[int, int]:
+        """End and turns of the keyboard walk at ``start``."""
+        first, end = self.walked
+        if not first <= start < end:
+            end = start + 1
+            while end < self.n and self.low[end] in NEAR.get(self.low[end - 1], ()):
+                end += 1
+            self.walked = (start, end)
+        return end, 1 + (self.turns[end - 1] - self.turns[start + 1] if end - start > 2 else 0)
+
+    def count(self, start: int) -> int:
+        """Last character of the run of rising or falling code points at ``start``."""
+        value, (first, end) = self.value, self.counted
+        if not first <= start < end:
+            end = start + 1
+            while end + 1 < self.n and abs(ord(value[end]) - ord(value[end - 1])) == 1 and \
+                    ord(value[end]) - ord(value[end - 1]) == ord(value[end + 1]) - ord(value[end]):
+                end += 1
+            self.counted = (start, end)
+        return end
+
+
+def _pieces(value: str, words: dict[str, int], start: int, runs: _Runs | None = None):
     """(end, log10 guesses) of the pieces that begin at ``start``, brute-force ones last."""
-    n, low = len(value), value.lower()
+    runs = runs or _Runs(value)
+    n, low = runs.n, runs.low
     for end in range(start + 3, min(n, start + MAX_PIECE) + 1):
         raw = low[start:end]
         for word, extra in ((raw, 0.0), (raw.translate(LOOK_ALIKE), 0.6)):
@@ -102,25 +150,15 @@ def _pieces(value: str, words: dict[str, int], start: int):
     if m := DATE.match(value, start):
         yield m.end(), math.log10(365.0 * 60 if m.end() - start > 4 else 120)
     # repeats of 1..8 characters
-    for size in range(1, 9):
-        unit, end = value[start:start + size], start + size
-        if len(unit) < size:
-            break
-        while value.startswith(unit, end):
-            end += size
+    for size in range(1, min(8, n - start) + 1):
+        end = runs.repeat(start, size)
         if end >= start + max(2 * size, 3):
-            yield end, sum(math.log10(_alphabet(c)) for c in unit) + math.log10((end - start) / size)
+            yield end, sum(math.log10(_alphabet(c)) for c in value[start:start + size]) + math.log10((end - start) / size)
     # walks on the keyboard and runs of code points
-    end, turns, last = start + 1, 1, None
-    while end < n and low[end] in NEAR.get(low[end - 1], ()):
-        step = ord(low[end]) - ord(low[end - 1])
-        turns, last, end = turns + (last is not None and step != last), step, end + 1
+    end, turns = runs.walk(start)
     if end - start >= 4:
         yield end, math.log10(47) + turns * math.log10(4.6) + math.log10(end - start)
-    end = start + 1
-    while end + 1 <= n - 1 and ord(value[end]) - ord(value[end - 1]) == ord(value[end + 1]) - ord(value[end]) and \
-            abs(ord(value[end]) - ord(value[end - 1])) == 1:
-        end += 1
+    end = runs.count(start)
     if end - start >= 2:
         yield end + 1, math.log10(_alphabet(value[start]) * 2) + math.log10(end + 1 - start)
     cost = 0.0
@@ -131,17 +169,20 @@ def _pieces(value: str, words: dict[str, int], start: int):
 
 def log10_guesses(value: str, words: dict[str, int], enough: float = math.inf) -> float:
     """Cost of the cheapest cut; each piece adds log10 of 5, the kinds to try.  Stops with a
-    lower bound once every state within reach costs ``enough``."""
-    n = len(value)
+    lower bound once every state within reach costs ``enough``; states that do lead nowhere cheaper."""
+    n, runs = len(value), _Runs(value)
     best = [math.inf] * (n + 1)
     best[0] = 0.0
-    far = 0  # furthest state reached so far
+    cheap = 1  # states from here on that cost less than enough
     for i in range(n):
-        if best[i] + 0.7 >= enough and min(best[i:far + 1]) >= enough:
+        if not cheap:
             return enough
-        for end, cost in _pieces(value, words, i):
-            far = max(far, end)
+        if best[i] >= enough:
+            continue
+        cheap -= 1
+        for end, cost in _pieces(value, words, i, runs):
             if (total := best[i] + cost + math.log10(5)) < best[end]:
+                cheap += total < enough <= best[end]
                 best[end] = total
     return best[n]
 
