@@ -33,6 +33,7 @@ NULL text counts as empty: the end mark alone.
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -69,11 +70,12 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _encoder(ranks: bytes, pattern: str):
-    if _WORKER.get("size") != len(ranks):
+    key = (hashlib.sha256(ranks).digest(), pattern)
+    if _WORKER.get("key") != key:
         import tiktoken
 
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _WORKER.update(size=len(ranks), encoder=tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=known, special_tokens={}))
+        _WORKER.update(key=key, encoder=tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=known, special_tokens={}))
     return _WORKER["encoder"]
 
 

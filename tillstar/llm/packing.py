@@ -23,6 +23,7 @@ NULL text counts as empty: one token, id 0.  Rows of an empty table: none.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def _encoder(ranks: bytes, pattern: str):
-    key = (len(ranks), zlib.crc32(ranks))
+    key = (hashlib.sha256(ranks).digest(), pattern)
     if _WORKER.get("key") != key:
         import tiktoken
 
