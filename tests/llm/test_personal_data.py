@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from tillstar.llm import personal_data as P
 from tillstar.llm.personal_data import digest, find_personal_data, redact
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -70,3 +73,31 @@ def test_redact_keeps_extra_columns_and_empty_table(spark):
     assert redact(df).collect()[0].text == "é [email], [ip]!"
     assert redact(df).columns == df.columns
     assert find_personal_data(df.limit(0)).count() == 0
+
+
+def test_many_spans_in_one_text_in_about_linear_time(spark):
+    import time
+
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), F.expr("repeat('me@ex.co ', 60000)").alias("text"))
+    start = time.time()
+    r = P.digest(P.find_personal_data(df)).collect()[0]
+    assert r.n_email == 60000 and r.spans.endswith("email:539991:539999") and time.time() - start < 90
+
+
+def test_context_over_several_short_pieces(spark):
+    # the word that names the number stands before other matches, within 40 characters
+    texts = ["phone a@b.c 555-123-4567", "phone " + "a@b.c " * 5 + "555-123-4567", "phone " + "a@b.c " * 6 + "x 555-123-4567"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [sum(s.kind == "tel" for s in r.personal_data) for r in P.find_personal_data(df).collect()]
+    assert got == [1, 1, 0]
+
+
+def test_clashing_names(spark):
+    names = ["row", "safe", "found", "__safe", "__found", "personal_data", "body"]
+    df = spark.createDataFrame([tuple(range(6)) + ("mail x@y.org",)], ", ".join(f"`{n}` {'string' if n == 'body' else 'long'}" for n in names))
+    out = P.find_personal_data(df, "body")
+    assert out.columns == names
+    r = out.collect()[0]
+    assert [r[n] for n in names[:5]] == list(range(5)) and r.personal_data[0].kind == "email"
+    red = P.redact(df, "body")
+    assert red.columns == names and list(red.collect()[0]) == [*range(6), "mail [email]"]

@@ -33,6 +33,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct column ``row``, and ``columns``: no name of ``docs`` can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unwrapped(rows: DataFrame, names: list[str], columns: dict[str, Column] | None = None) -> DataFrame:
+    """The columns ``names`` of the rows in ``row``, with ``columns`` in place of those of their names or at the end."""
+    columns = columns or {}
+    return rows.select(*[(columns[n] if n in columns else F.col("row").getField(n)).alias(n) for n in names],
+                       *[c.alias(n) for n, c in columns.items() if n not in names])
+
+
 def fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -25,11 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table
+from .common import id_and_text, table, unwrapped, whole_rows
 
 MARK, OTHER = "\x01", "\x02"
 # Characters on both sides of a span in which context words count.
 CONTEXT_CHARS = 40
+# Elements of an array that is built one by one.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -102,45 +104,74 @@ def _valid(kind: Kind, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(numbers: Column) -> Column:
+    """Sum of the elements before each one.  In blocks: an array that grows by one element is copied each time."""
+    def grown(part: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+        return F.aggregate(part, zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")),
+                         lambda b: grown(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
+    return _bound(blocks, lambda done: _bound(grown(F.transform(done, lambda x: x["sum"]))["before"], lambda base: F.flatten(
+        F.transform(done, lambda x, i: F.transform(x["before"], lambda v: v + F.get(base, i))))))
+
+
 def _spans(kind: Kind, text: Column) -> Column:
-    """array<struct<kind, start, end, score>> of the kind's valid spans, in order."""
-    dtype = "array<struct<kind:string,start:long,end:long,score:double>>"
-    parts = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast(dtype).alias("out"))
-
-    def step(a, piece):
-        end = a["at"] + F.length(piece)
-        around = F.lower(F.concat(F.substring(text, F.greatest(F.lit(1), a["at"].cast("int") + 1 - CONTEXT_CHARS),
-                                              F.least(a["at"], F.lit(CONTEXT_CHARS)).cast("int")), F.lit(" "),
-                                  F.substring(text, end.cast("int") + 1, F.lit(CONTEXT_CHARS))))
-        score = (F.lit(kind.score) + F.when(around.rlike(rf"\b(?:{kind.words})"), 0.2).otherwise(0.0)
-                 - F.when(around.rlike(rf"\b(?:{DOUBT})"), 0.2).otherwise(0.0))
-        one = F.struct(F.lit(kind.name).alias("kind"), a["at"].alias("start"), end.alias("end"), F.round(score, 2).alias("score"))
-        keep = (a["i"] % 2 == 1) & _valid(kind, piece)
-        if not kind.base:
-            keep = keep & (F.round(score, 2) >= kind.least)
-        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"),
-                        F.when(keep, F.concat(a["out"], F.array(one))).otherwise(a["out"]).cast(dtype).alias("out"))
-
-    found = F.aggregate(parts, first, step, lambda a: a["out"])
-    return F.when(text.rlike(kind.gate), found).otherwise(F.array().cast(dtype))
+    """array<struct<kind, start, end, score>> of the kind's valid spans, in order.  Matches are every
+    second piece of the marked text; positions are sums of the pieces' lengths, and a span's
+    context is put together from the pieces round it, so nothing walks the text from its start."""
+    dtype = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
+    # matches have two characters or more, so this many pieces hold the context
+    near, chars = F.lit(CONTEXT_CHARS), CONTEXT_CHARS
+    marked = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
+
+    def spans(parts: Column, starts: Column, heads: Column, tails: Column) -> Column:
+        def one(i: Column) -> Column:
+            before = F.right(F.array_join(F.slice(tails, F.greatest(F.lit(1), i + 1 - chars), F.least(i, near)), ""), near)
+            after = F.left(F.array_join(F.slice(heads, i + 2, near), ""), near)
+
+            def scored(around: Column) -> Column:
+                score = (F.lit(kind.score) + F.when(around.rlike(rf"\b(?:{kind.words})"), 0.2).otherwise(0.0)
+                         - F.when(around.rlike(rf"\b(?:{DOUBT})"), 0.2).otherwise(0.0))
+                start = F.get(starts, i)
+                return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(F.get(parts, i))).alias("end"),
+                                F.round(score, 2).alias("score"))
+
+            return _bound(F.lower(F.concat(before, F.lit(" "), after)), scored)
+
+        valid = F.filter(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: _valid(kind, F.get(parts, i)))
+        found = F.transform(valid, one)
+        return (found if kind.base else F.filter(found, lambda s: s["score"] >= kind.least)).cast(dtype)
+
+    def pieces(parts: Column) -> Column:
+        starts = _bound(F.transform(parts, lambda p: F.length(p).cast("long")), _sums_before)
+        return F.when(F.size(parts) > 2, _bound(starts, lambda at: _bound(F.transform(parts, lambda p: F.left(p, near)), lambda heads: _bound(
+            F.transform(parts, lambda p: F.right(p, near)), lambda tails: spans(parts, at, heads, tails))))).otherwise(F.array().cast(dtype))
+
+    return F.when(text.rlike(kind.gate), _bound(marked, pieces)).otherwise(F.array().cast(dtype))
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "personal_data") -> DataFrame:
     """``docs`` with ``out``: array<struct<kind, start, end, score>>, by kind as listed,
-    then by start; code points, end exclusive."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    then by start; code points, end exclusive.  A column of that name is replaced, others stay as they
+    are, whatever their names."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     safe = F.when(text.contains(MARK), F.translate(text, MARK, OTHER)).otherwise(text)
-    rows = docs.withColumn("__safe", safe)
-    return rows.withColumn(out, F.concat(*[_spans(k, F.col("__safe")) for k in KINDS])).drop("__safe")
+    rows = whole_rows(docs, safe=safe)
+    return unwrapped(rows, docs.columns, {out: F.concat(*[_spans(k, F.col("safe")) for k in KINDS])})
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in square brackets
     (of overlapping spans, the one that starts first)."""
-    rows = find_personal_data(docs, text_col, "__found").withColumn("__found", F.expr(
-        "transform(array_sort(transform(__found, s -> struct(s.start, s.end, s.kind))), s -> s)"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = find_personal_data(whole_rows(docs, text=F.col(f"`{text_col}`")), "text", "found").withColumn("found", F.expr(
+        "array_sort(transform(found, s -> struct(s.start, s.end, s.kind)))"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
 
     def step(a, s):
@@ -149,8 +180,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             s["end"].alias("at"), F.concat(a["text"], gap, F.lit("["), s["kind"], F.lit("]")).alias("text")))
 
     rest = lambda a: F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return rows.withColumn(text_col, F.when(F.size("__found") > 0, F.aggregate("__found", first, step, rest))
-                           .otherwise(F.col(text_col))).drop("__found")
+    return unwrapped(rows, docs.columns, {text_col: F.when(F.size("found") > 0, F.aggregate("found", first, step, rest)).otherwise(F.col("text"))})
 
 
 def digest(rows: DataFrame, found: str = "personal_data") -> DataFrame:
