@@ -102,3 +102,11 @@ def test_query_as_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in J.table(spark, sf, "documents").select("doc_id", "text").collect()]
     assert got(J.query(spark, sf)) == brute(rows)
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    names = ["__key", "__kept", "key", "kept", "words", "row", "doc_id", "body"]
+    rows = [(*[10 * k + i for i in range(6)], k, t) for k, t in enumerate(["one two three", "one two three", None, "other words"])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'body' else 'long'}" for n in names))
+    out = J.keep_one(df, "doc_id", "body")
+    assert out.columns == names and sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2], rows[3]])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, record_batch, stored, table
+from .common import map_texts, record_batch, stored, table, unwrapped, whole_rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -267,12 +267,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and every row without words."""
     rows = _grouped(docs, id_col, text_col)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
-    keep = stored(rows.where("group is not null").groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("__kept")), "kept")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    keep = stored(rows.where("group is not null").groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("kept")), "kept")
     # texts without words have no set; of repeated rows of a group one stays
-    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = keyed.where(words).join(keep, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"])
-    return one.unionByName(keyed.where(~words)).drop("__key")
+    words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = whole_rows(docs, key=row_key(id_col, text_col), words=words)
+    one = keyed.where("words").join(keep, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"])
+    return unwrapped(one.unionByName(keyed.where(~F.col("words"))), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
