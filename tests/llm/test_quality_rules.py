@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from tillstar.llm import quality_rules as Q
 from tillstar.llm.quality_rules import RULES, apply_rules, rule_order, verdict, with_statistics, with_words
 
 SCHEMA = "doc_id long, text string, words string, n_words string"
@@ -48,3 +49,21 @@ def test_filters_on_the_verdict_are_planned(spark):
 
 def test_empty_table(spark):
     assert apply_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["words", "text", "row", "copy", "n_words", "body"]
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, "some words " * 40)], ", ".join(f"`{n}` {'string' if n == 'body' else 'long'}" for n in names))
+    out = Q.apply_rules(df, text_col="body")
+    assert out.columns == names + [c for c in Q.COLUMNS[1:] if c != "n_words"]
+    r = out.collect()[0]
+    assert [r[n] for n in names] == [1, 2, 3, 4, 80, "some words " * 40]
+
+
+def test_order_by_rejections_among_what_is_left(spark):
+    # `same` rejects what `most` does: it is worth nothing after it; `rest` rejects the others
+    rules = (Q.Rule("none", "n_words < 0"), Q.Rule("same", "text like '%even%' and text like '%four%'"), Q.Rule("most", "text like '%even%'"),
+             Q.Rule("rest", "text like '%odd%'"))
+    rows = [(i, ("even " if i % 10 else "odd ") + ("four " if i % 4 == 0 else "") + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(200)]
+    order = [r.name for r in Q.rule_order(spark.createDataFrame(rows, "doc_id long, text string"), rules)]
+    assert order.index("most") < order.index("same") and order.index("rest") < order.index("none")

@@ -23,13 +23,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, least_by_hash, stored, table
+from .common import id_and_text, least_by_hash, stored, table, unwrapped, whole_rows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 # Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 512
+# Copies of the sample over which a rule's time is taken.
+SAMPLE_COPIES = 32
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -89,20 +91,30 @@ def with_statistics(rows: DataFrame) -> DataFrame:
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS,
                text_col: str = "text") -> list[Rule]:
-    """The rules by estimated rejections per second, most first.  The sample is the
-    ``sample_rows`` texts of least hash, the same ones in every run."""
-    sample = least_by_hash(docs.select(F.col(text_col).alias("text")), sample_rows, "text")
+    """The rules by estimated rejections per second, most first, each among the texts that the rules before
+    it leave.  The sample is the ``sample_rows`` texts of least hash, the same ones in every run."""
+    sample = least_by_hash(docs.select(F.col(f"`{text_col}`").alias("text")), sample_rows, "text")
     sample = stored(with_statistics(with_words(sample)).where("not base_failed"), "rule-sample")
-    rates = sample.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in rules]).first()
-    n = max(1, rates["__n"])
+    # how many texts each combination of rules rejects (at most the sample's rows)
+    rejected = [F.coalesce(F.expr(r.rejects), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+    seen = sample.select(*rejected).groupBy(*[f"r{k}" for k in range(len(rules))]).agg(F.count(F.lit(1)).alias("n")).collect()
+    # many copies of the sample in one job, so that a rule's own work shows beside the job's
+    many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES))))
 
-    def seconds(rule: Rule) -> float:
+    def seconds(what: Column) -> float:
         start = time.perf_counter()
-        sample.agg(F.sum(F.expr(rule.rejects).cast("int"))).first()
+        many.agg(F.sum(what)).first()
         return time.perf_counter() - start
 
-    gain = {r.name: ((rates[r.name] or 0) + 0.5) / n / seconds(r) for r in rules}
-    return sorted(rules, key=lambda r: -gain[r.name])
+    idle = min(seconds(F.col("n_words") + F.col("copy")) for _ in range(2))
+    cost = [max(1e-3, seconds(F.expr(r.rejects).cast("int") + F.col("copy")) - idle) for r in rules]
+    order, left = [], [tuple(r) for r in seen]
+    while len(order) < len(rules):
+        n = max(1, sum(r[-1] for r in left))
+        k = max((k for k in range(len(rules)) if k not in order), key=lambda k: (sum(r[-1] for r in left if r[k]) + 0.5) / n / cost[k])
+        order.append(k)
+        left = [r for r in left if not r[k]]
+    return [rules[k] for k in order]
 
 
 def verdict(order: list[Rule]) -> Column:
@@ -115,9 +127,11 @@ def verdict(order: list[Rule]) -> Column:
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS,
                 text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, ``base_failed`` and ``kept``."""
+    """``docs`` with the statistics, ``base_failed`` and ``kept``; columns of these names are replaced, others
+    stay as they are, whatever their names."""
     order = rule_order(docs, rules, sample_rows, text_col)
-    return with_statistics(with_words(docs, text_col)).withColumn("kept", verdict(order)).drop("words")
+    rows = with_statistics(with_words(whole_rows(docs, text=F.col(f"`{text_col}`")))).withColumn("kept", verdict(order))
+    return unwrapped(rows, docs.columns, {c: F.col(c) for c in COLUMNS[1:]})
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
