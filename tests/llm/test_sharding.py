@@ -3,6 +3,7 @@ import hashlib
 
 import pytest
 
+from tillstar.llm import sharding as S
 from tillstar.llm.sharding import assign_shards
 
 SCHEMA = "doc_id long, text string, page string, bytes long"
@@ -47,3 +48,12 @@ def test_repeats_go_to_pages_and_all_shards_fit(spark):
 
 def test_empty_table(spark):
     assert assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__hash", "__part", "__row", "__bytes", "__prefix", "page", "row", "most", "doc_id", "body"]
+    df = spark.createDataFrame([(*range(8), k, "x" * k) for k in range(20)], ", ".join(f"`{n}` {'string' if n == 'body' else 'long'}" for n in names))
+    out = S.assign_shards(df, 40, "doc_id", "body")
+    assert out.columns == [*names, "n_bytes", "depth", "shard", "oversize"]
+    rows = out.collect()
+    assert len(rows) == 20 and all([r[n] for n in names if n not in ("page", "doc_id", "body")] == [0, 1, 2, 3, 4, 6, 7] for r in rows)

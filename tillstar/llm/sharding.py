@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, rank_in_key, stored, table
+from .common import id_and_text, rank_in_key, stored, table, unwrapped, whole_rows
 
 HASH_BITS = 48
 # Query parameter: the byte limit of a shard.
@@ -85,8 +85,15 @@ def directory(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_co
 def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard`` (the bucket's bits as text, then ``/page``), ``depth``, ``page``,
-    ``n_bytes`` and ``oversize``.  Documents meet the directory by an equi-join for
-    each local depth that occurs (at most 49)."""
+    ``n_bytes`` and ``oversize``; columns of these names are replaced, others stay as they are, whatever
+    their names.  Documents meet the directory by an equi-join for each local depth that
+    occurs (at most 49)."""
+    rows = whole_rows(docs, doc_id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`"))
+    made = ("n_bytes", "depth", "page", "shard", "oversize")
+    return unwrapped(_assigned(rows, limit_bytes), docs.columns, {c: F.col(c) for c in made})
+
+
+def _assigned(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     buckets = directory(docs, limit_bytes, id_col, text_col)
     depths = sorted(r[0] for r in buckets.select("bits").distinct().collect())
     if not depths:
