@@ -35,7 +35,6 @@ def test_odd_rows(spark, monkeypatch):
     rows = [(None, "A b"), (1, None), (2, ""), (3, "Éa É \x0b\x1c x"), (3, "same"), (3, "same"), (4, "go " * 20000)]
     rows += [(i, " ".join(rnd.choice(["The", "the", "cat", "sat", "on", "mat", f"w{i}"]) for _ in range(rnd.randrange(150)))) for i in range(10, 60)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, block int, score int")
-    monkeypatch.setattr(L, "EPOCHS", 1)
     got = L.score(df, *vocabulary()).collect()
     compare(rows, got)
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
@@ -54,7 +53,6 @@ def test_input_split_differently_between_the_passes(spark, monkeypatch, tmp_path
         spark.conf.set(key, "700b")
         return model
 
-    monkeypatch.setattr(L, "EPOCHS", 1)
     monkeypatch.setattr(L, "fit", fit_and_lose_executors)
     try:
         got = L.score(spark.read.parquet(path), *vocabulary()).collect()
@@ -65,19 +63,19 @@ def test_input_split_differently_between_the_passes(spark, monkeypatch, tmp_path
 
 def test_every_training_document_has_a_say(spark, monkeypatch):
     """One common word of its own in each document of three partitions: classes and network know them all."""
-    monkeypatch.setattr(L, "EPOCHS", 2)
     rows = [(i, " ".join(["the", f"q{i}"] * 40)) for i in range(2300)]
     blocks = L._blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
     trains = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    classes = L._class_rows(blocks, {}, *vocabulary()).collect()
-    assert len(classes) == len(trains) > 1900 and sum(len(r.classes) for r in classes) == 2 * sum(len(L.tokens(t.encode())) for t in trains)
+    classes = L._class_rows(blocks, {}, *vocabulary(), 3).collect()
+    assert {r.learner for r in classes} == {0, 1, 2} and {r["round"] for r in classes} == set(range(len(L.ROUNDS)))
+    assert len(classes) == len(trains) > 1900 and sum(len(r.classes) for r in classes) == 4 * sum(len(L.tokens(t.encode())) for t in trains)
     blocks = L.stored(blocks, "test-blocks")
     counts = L.stored(L._word_counts(blocks), "test-counts")
     model = L.fit(blocks, counts, *vocabulary())
-    tally = Counter()
+    tally, encoder = Counter(), L._encoder(*vocabulary())
     for t in trains:
         for w in L.tokens(t.encode()):
-            ids = L.subwords(w, L._encoder(*vocabulary()))
+            ids = L.subwords(w, encoder)
             tally.update([ids[0], ids[-1]] if ids else [])
     assert list(model.class_of) == sorted(tally, key=lambda i: (-tally[i], i))[:L.CLASSES - 2]
     assert model.class_count.sum() == sum(len(L.tokens(t.encode())) for t in trains)
@@ -86,43 +84,46 @@ def test_every_training_document_has_a_say(spark, monkeypatch):
 def test_windows_hold_each_token_once_after_the_one_before():
     rnd = np.random.default_rng(3)
     for n in (1, 2, 63, 64, 65, 200):
-        c = rnd.integers(0, L.CLASSES, (2, n)).astype(np.uint8)
+        c = rnd.integers(0, L.CLASSES, (2, n)).astype(np.uint16)
         before, target, weight = L.windows_of(c, L.CLASSES)
         assert weight.sum() == n and (target.reshape(-1)[:n] == c[0]).all()
         flat = before.reshape(2, -1)
         assert (flat[:, 0] == L.CLASSES).all() and (flat[:, 1:n] == c[:, :-1]).all()
 
 
-def test_the_mean_of_the_tasks_counts_every_token(spark, monkeypatch):
-    monkeypatch.setattr(L, "EPOCHS", 1)
+def test_the_mean_of_the_learners_counts_every_token_however_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROUNDS", (16,))
     rnd = np.random.default_rng(4)
-    texts = [rnd.integers(0, L.CLASSES, (2, k)).astype(np.uint8) for k in (5, 700, 64, 3000)]
-    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "classes binary").repartition(3)
-    parts = [[np.frombuffer(bytes(r.classes), np.uint8).reshape(2, -1) for r in p] for p in rows.rdd.glom().collect()]
+    texts = [rnd.integers(0, L.CLASSES, (2, k)).astype("<u2") for k in (5, 700, 64, 3000, 1, 90)]
+    data = [(bytearray(t.tobytes()), 100 - k, k % 2, 0) for k, t in enumerate(texts)]
     want, total = {}, 0
-    for part in filter(None, parts):
+    for who in (0, 1):
+        part = [texts[k] for k in reversed(range(len(texts))) if k % 2 == who]  # by rising hash
         one = L.Learner(L.new_network(L.CLASSES, np.ones(L.CLASSES)), 0)
         one.learn(*(np.concatenate(x, axis=-2) for x in zip(*(L.windows_of(c, L.CLASSES) for c in part))))
         total += one.tokens
         want = {n: want.get(n, 0) + w.astype(float) * one.tokens for n, w in one.net.items()}
     assert total == sum(t.shape[1] for t in texts)
-    got = L.train_network(rows, np.ones(L.CLASSES))
-    assert all(np.allclose(got[n], want[n] / total, atol=1e-5) for n in want)
+    for splits in (1, 5):
+        rows = spark.createDataFrame(data, "classes binary, hash long, learner int, round int").repartition(splits)
+        got = L.train_network(rows, np.ones(L.CLASSES), 2)
+        assert all(np.allclose(got[n], want[n] / total, atol=1e-6) for n in want)
 
 
 def test_gradients_as_differences():
     rnd = np.random.default_rng(1)
-    net = {k: v.astype(np.float64) for k, v in L.new_network(9, np.ones(9)).items()}
-    first, last, target = (rnd.integers(0, 9, (3, 7)) for _ in range(3))
+    classes = 2 * L.MEMBERS
+    net = {k: v.astype(np.float64) for k, v in L.new_network(classes, np.ones(classes)).items()}
+    first, last, target = (rnd.integers(0, classes, (3, 7)) for _ in range(3))
     weight = (rnd.random((3, 7)) < 0.8).astype(float)
 
     def loss():
-        z, kept = L.forward(net, first, last)
-        return -(np.take_along_axis(z, target[..., None], -1)[..., 0] * weight).sum() / weight.sum(), z, kept
+        p, kept = L.forward(net, first, last, target)
+        return -(p * weight).sum() / weight.sum(), kept
 
-    _, z, kept = loss()
-    assert np.allclose(np.exp(z).sum(-1), 1)
-    for name, grad in L.backward(net, first, last, target, weight, z, kept).items():
+    _, kept = loss()
+    assert np.allclose(sum(np.exp(L.forward(net, first, last, np.full_like(target, c))[0]) for c in range(classes)), 1)
+    for name, grad in L.backward(net, first, last, weight, kept).items():
         for _ in range(4):
             at = tuple(rnd.integers(0, n) for n in net[name].shape)
             net[name][at] += 1e-5
@@ -149,8 +150,9 @@ def test_each_token_is_scored_once_with_the_tokens_before_it():
             before = [None if j == 0 else t[j - 1] for j in range(s, k + 1)]
             f = np.array([[L.CLASSES if b is None else first[b] for b in before]])
             la = np.array([[L.CLASSES if b is None else last[b] for b in before]])
-            z, _ = L.forward(model.net, f, la)
-            p = 10 ** (z[0, -1, first[t[k]]] / math.log(10) + inner[t[k]])
+            goal = np.zeros_like(f)
+            goal[0, -1] = first[t[k]]
+            p = 10 ** (L.forward(model.net, f, la, goal)[0][0, -1] / math.log(10) + inner[t[k]])
             if k:
                 near = t[max(0, k - L.COPY_WORDS):k]
                 p = (1 - L.COPY_SHARE) * p + L.COPY_SHARE * np.mean(near == t[k])

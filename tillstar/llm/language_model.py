@@ -5,10 +5,10 @@ U+0009..U+000D) and one end mark.  The model factors a word's probability:
 
     P(word | before) = P(class | before) * (max(count(word) - D, 0) + D * distinct(class) * P(spelling)) / count(class)
 
-The class is the word's first subword id (the most frequent ids of all training tokens
+The class is the word's first subword id (the 1,022 most frequent ids of all training tokens
 have classes of their own, the others share one, the end mark has one).  P(class |
 before) comes from a one-layer causal self-attention network in numpy over the first and
-last subword ids of the words before.  ``count`` are counts of all training tokens of the
+last subword ids of the words before; its output is a choice of 32 groups, then of 32 members.  ``count`` are counts of all training tokens of the
 corpus, less an absolute discount D whose mass goes to spelling.  P(spelling) multiplies
 smoothed transitions between the word's subword ids, up to a stop symbol, counted over
 all training words, so unseen words have probability too.  A small share goes to the
@@ -18,10 +18,12 @@ Texts are scored in windows of ``CONTEXT`` tokens that overlap by ``OVERLAP``: e
 scored once, with at least ``OVERLAP`` tokens (or all) before it, by masked attention over
 batches of windows.
 
-The network learns from every window of every training document, in ``EPOCHS`` passes.  In each
-pass a task starts from the network of the pass before and learns from its partition's
-windows; the tasks' parameters, weighted by their tokens, are summed on Spark and their
-mean is the next network.  Classes, transitions and counts cover the corpus.  Words and their counts never meet in one place:
+The network learns from every window of every training document, once, in rounds over ever larger
+parts of them.  In each round learners start from the network of the round before and learn
+from their part; their parameters, weighted by their tokens, are summed on Spark and
+their mean is the next network.  Documents are dealt to rounds and learners by hash and read in
+its order, and there is a learner for every 4 million tokens, so the network does not depend on
+how the input is split.  Classes, transitions and counts cover the corpus.  Words and their counts never meet in one place:
 each block of documents sends its distinct words to be counted and gets their counts back.
 A block is a piece of an input partition (``BLOCK_BYTES`` of input).  Rows are stored once with
 their block and every later pass reads that table, so ``docs`` may be split differently each
@@ -46,11 +48,14 @@ from pyspark.sql import functions as F
 from .common import fold, map_texts, record_batch, release, stored, table
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, WIDTH, HIDDEN = 128, 16, 32
+CLASSES, MEMBERS, WIDTH, HIDDEN = 1024, 32, 16, 32
 # Subword ids that have transitions of their own, and the discount of word counts.
 SPELL_IDS, DISCOUNT = 4096, 0.75
-CONTEXT, OVERLAP = 64, 16
-EPOCHS = 6
+CONTEXT, OVERLAP = 32, 8
+# Rounds of learning, as ends of their parts (in sixteenths) of the training rows: every window is learned from once.
+ROUNDS = (1, 2, 4, 8, 16)
+# Training tokens of a learner in all rounds, about.
+LEARNER_TOKENS = 4 << 20
 COPY_SHARE, COPY_WORDS = 0.02, 8
 BLOCK_BYTES = 16 << 20
 # Words whose classes a training task keeps.
@@ -58,7 +63,7 @@ CACHE_WORDS = 1 << 16
 # Tokens that a training task shuffles at once (more only if one text has more).
 STEP_TOKENS = 1 << 19
 # Windows of a training step, and windows scored at once.
-TRAIN_BATCH, BATCH = 32, 48
+TRAIN_BATCH, BATCH = 64, 64
 END, STOP, RARE = b"", -1, -2
 OTHER, END_CLASS = 0, 1
 _WORKER: dict = {}
@@ -88,63 +93,119 @@ def subwords(word: bytes, encoder) -> list[int]:
 
 
 def new_network(classes: int, frequency: np.ndarray) -> dict[str, np.ndarray]:
+    """Class c is member c mod ``MEMBERS`` of group c div ``MEMBERS``: the output is a choice of the group, then of
+    the member, given the state times a gate of the group."""
     r = np.random.default_rng(11)
     weight = lambda *shape: (r.standard_normal(shape) * 0.3 / math.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
+    groups = -(-classes // MEMBERS)
+    of_member = np.zeros(groups * MEMBERS)
+    of_member[:classes] = frequency
+    of_member = of_member.reshape(groups, MEMBERS)
+    of_group = of_member.sum(1)
+    start = lambda n, total, k: np.log((n + 1) / (total + k)).astype(np.float32)
     # class `classes` is the start of a text
-    return {"first": weight(classes + 1, WIDTH) * 4, "last": weight(classes + 1, WIDTH) * 4, "place": weight(CONTEXT, WIDTH),
+    return {"first": weight(classes + 1, WIDTH) * math.sqrt(classes + 1) * 0.35, "last": weight(classes + 1, WIDTH) * math.sqrt(classes + 1) * 0.35,
+            "place": weight(CONTEXT, WIDTH),
             "q": weight(WIDTH, WIDTH), "k": weight(WIDTH, WIDTH), "v": weight(WIDTH, WIDTH), "o": weight(WIDTH, WIDTH),
             "w1": weight(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": weight(HIDDEN, WIDTH),
-            "out": weight(WIDTH, classes) * 0.1, "bias": np.log((frequency + 1) / (frequency.sum() + classes)).astype(np.float32)}
+            "group": weight(WIDTH, groups) * np.float32(0.1), "group_bias": start(of_group, of_group.sum(), groups),
+            "gate": np.ones((groups, WIDTH), np.float32), "member": weight(WIDTH, MEMBERS) * np.float32(0.1),
+            "member_bias": start(of_member, of_group[:, None], MEMBERS)}
 
 
-_MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
-def forward(net, first, last):
-    """Class log probabilities (natural) at each position of windows of inputs; and what backward needs."""
+def _attention(net, first, last):
+    """Inputs x, attention weights s and the sums c of what they attend to, at each position of windows.  (Attention
+    scores of normal inputs are small; the bound only keeps their exponentials finite.)"""
     t = first.shape[1]
-    x = net["first"][first] + net["last"][last] + net["place"][:t]
-    q, k, v = x @ net["q"], x @ net["k"], x @ net["v"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK[:t, :t]
-    s -= s.max(axis=-1, keepdims=True)
+    x = net["first"][first]
+    x += net["last"][last]
+    x += net["place"][:t]
+    v = x @ net["v"]
+    q, k = x @ (net["q"] * np.float32(WIDTH**-0.5)), x @ net["k"]
+    s = q @ k.transpose(0, 2, 1)
+    np.minimum(s, 60, out=s)
     np.exp(s, out=s)
+    s *= _SEEN[:t, :t]
     s /= s.sum(axis=-1, keepdims=True)
-    c = s @ v
+    return x, q, k, v, s, s @ v
+
+
+def _chosen(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Log probability of the chosen row in each column of logits; these become probabilities."""
+    z -= z.max(axis=0)
+    at = np.arange(z.shape[1])
+    mine = z[row, at]
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    z /= total
+    return mine - np.log(total)
+
+
+def _outputs(net, g, target):
+    """Log probability of the target classes at states (a column each), and what backward needs."""
+    hi, lo = np.divmod(target, MEMBERS)
+    zg = net["group"].T @ g
+    zg += net["group_bias"][:, None]
+    u = g * np.take(net["gate"].T.copy(), hi, axis=1)
+    zm = net["member"].T @ u
+    zm += np.take(net["member_bias"].T.copy(), hi, axis=1)
+    return _chosen(zg, hi) + _chosen(zm, lo), (u, hi, lo, zg, zm)
+
+
+def forward(net, first, last, target):
+    """Natural log probability of the target class at each position of windows of inputs; and what backward needs."""
+    x, q, k, v, s, c = _attention(net, first, last)
     h = x + c @ net["o"]
-    r = np.maximum(h @ net["w1"] + net["b1"], 0)
-    g = h + r @ net["w2"]
-    z = g @ net["out"] + net["bias"]
-    z -= z.max(axis=-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=-1, keepdims=True))
-    return z, (x, q, k, v, s, c, h, r, g)
+    r = h @ net["w1"]
+    r += net["b1"]
+    np.maximum(r, 0, out=r)
+    g = np.ascontiguousarray((h + r @ net["w2"]).reshape(-1, WIDTH).T)
+    p, kept = _outputs(net, g, target.reshape(-1))
+    return p.reshape(target.shape), (x, q, k, v, s, c, h, r, g, *kept)
 
 
-def backward(net, first, last, target, weight, z, kept):
-    x, q, k, v, s, c, h, r, g = kept
-    d = WIDTH
+def backward(net, first, last, weight, kept):
+    x, q, k, v, s, c, h, r, g, u, hi, lo, pg, pm = kept
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    p = np.exp(z)
-    np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], -1) - 1, -1)
-    p *= (weight / weight.sum())[..., None]
-    out = {"out": flat(g).T @ flat(p), "bias": flat(p).sum(0)}
-    dg = p @ net["out"].T
+    at, share = np.arange(len(hi)), (weight / weight.sum()).reshape(-1)
+    of_group = np.zeros_like(pg)
+    of_group[hi, at] = 1
+    pg, pm = pg - of_group, pm.copy()
+    pm[lo, at] -= 1
+    pg *= share
+    pm *= share
+    out = {"group": g @ pg.T, "group_bias": pg.sum(1), "member": u @ pm.T, "member_bias": of_group @ pm.T}
+    du = net["member"] @ pm
+    out["gate"] = of_group @ (du * g).T
+    dg = net["group"] @ pg
+    dg += du * np.take(net["gate"].T.copy(), hi, axis=1)
+    dg = np.ascontiguousarray(dg.T).reshape(h.shape)
     out["w2"] = flat(r).T @ flat(dg)
-    dr = (dg @ net["w2"].T) * (r > 0)
+    dr = dg @ net["w2"].T
+    dr *= r > 0
     out["w1"], out["b1"] = flat(h).T @ flat(dr), flat(dr).sum(0)
     dh = dg + dr @ net["w1"].T
     out["o"] = flat(c).T @ flat(dh)
     dc = dh @ net["o"].T
     ds, dv = dc @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dc
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(d**-0.5)
+    ds -= (dc * c).sum(-1, keepdims=True)
+    ds *= s
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    # q holds the scale already
+    dq *= np.float32(WIDTH**-0.5)
     for name, dy in (("q", dq), ("k", dk), ("v", dv)):
         out[name] = flat(x).T @ flat(dy)
-    dx = dh + dq @ net["q"].T + dk @ net["k"].T + dv @ net["v"].T
+    dx = dh + dq @ net["q"].T
+    dx += dk @ net["k"].T
+    dx += dv @ net["v"].T
     out["place"] = np.zeros_like(net["place"])
     out["place"][: first.shape[1]] = dx.sum(0)
     for name, ids in (("first", first), ("last", last)):
-        at = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-        out[name] = np.bincount(at, dx.reshape(-1), net[name].size).reshape(net[name].shape).astype(dx.dtype)
+        place = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+        out[name] = np.bincount(place, dx.reshape(-1), net[name].size).reshape(net[name].shape).astype(dx.dtype)
     return out
 
 
@@ -153,37 +214,41 @@ def windows_of(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray,
     given as the first and last classes of its tokens (2 x tokens); windows x CONTEXT arrays."""
     n = classes.shape[1]
     size = -(-n // CONTEXT) * CONTEXT
-    before, target, weight = np.zeros((2, size), np.uint8), np.zeros(size, np.uint8), np.zeros(size, np.float32)
+    before, target, weight = np.zeros((2, size), np.uint16), np.zeros(size, np.uint16), np.zeros(size, np.float32)
     before[:, 0], before[:, 1:n] = start, classes[:, :-1]
     target[:n], weight[:n] = classes[0], 1
     return before.reshape(2, -1, CONTEXT), target.reshape(-1, CONTEXT), weight.reshape(-1, CONTEXT)
 
 
 class Learner:
-    """Adam over shuffled batches of windows, for one task of one pass."""
+    """Adam over shuffled batches of windows, for one learner's part of one round."""
 
     def __init__(self, net: dict[str, np.ndarray], nth: int):
         self.net = {n: w.copy() for n, w in net.items()}
         self.m = {n: np.zeros_like(w) for n, w in net.items()}
         self.v = {n: np.zeros_like(w) for n, w in net.items()}
         self.rnd, self.step, self.tokens = np.random.default_rng(5 + nth), 0, 0
-        # later passes begin with a learned network: fewer careful steps, smaller ones
-        self.careful, self.rate = (10 if nth else 50), 0.01 * (1 - 0.9 * nth / EPOCHS)
+        # later rounds begin with a learned network: fewer careful steps, smaller ones
+        self.careful, self.rate = (10 if nth else 50), 0.01 * (1 - 0.9 * nth / len(ROUNDS))
 
     def learn(self, before, target, weight) -> None:
+        # windows of one length go together
+        lengths = weight.sum(1).astype(np.int64)
         order = self.rnd.permutation(len(target))
-        self.tokens += int(weight.sum(dtype=np.float64))
-        for at in range(0, len(order), TRAIN_BATCH):
-            b = order[at:at + TRAIN_BATCH]
-            t = max(1, int(weight[b].sum(1).max()))  # tokens come first in a window
+        order = order[np.argsort(lengths[order], kind="stable")]
+        self.tokens += int(lengths.sum())
+        batches = [order[at:at + TRAIN_BATCH] for at in range(0, len(order), TRAIN_BATCH)]
+        for k in self.rnd.permutation(len(batches)):
+            b = batches[k]
+            t = max(1, int(lengths[b].max()))  # tokens come first in a window
             first, last, goal = before[0, b, :t].astype(np.int64), before[1, b, :t].astype(np.int64), target[b, :t].astype(np.int64)
-            z, kept = forward(self.net, first, last)
+            _, kept = forward(self.net, first, last, goal)
             self.step += 1
             rate = self.rate * min(1.0, self.step / self.careful)
-            for n, grad in backward(self.net, first, last, goal, weight[b, :t], z, kept).items():
-                self.m[n] += 0.1 * (grad - self.m[n])
-                self.v[n] += 0.01 * (grad * grad - self.v[n])
-                self.net[n] -= (rate * (self.m[n] / (1 - 0.9**self.step)) / (np.sqrt(self.v[n] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            for n, grad in backward(self.net, first, last, weight[b, :t], kept).items():
+                self.m[n] += np.float32(0.1) * (grad - self.m[n])
+                self.v[n] += np.float32(0.01) * (grad * grad - self.v[n])
+                self.net[n] -= np.float32(rate / (1 - 0.9**self.step)) * self.m[n] / (np.sqrt(self.v[n] * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-8))
 
 
 # --- the model ---------------------------------------------------------------
@@ -252,24 +317,16 @@ def entries(model: Model, words: list[bytes], counts: np.ndarray, encoder) -> tu
     return first, last, np.where(first == END_CLASS, 0.0, inner)
 
 
-_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-
-
 def class_scores(net, first, last, own, target) -> np.ndarray:
-    """Natural log probabilities of the targets' classes at the positions ``own`` of windows of
-    inputs: ``forward`` without what only training needs."""
-    t = first.shape[1]
-    x = net["first"][first] + net["last"][last] + net["place"][:t]
-    s = (x @ (net["q"] * np.float32(WIDTH**-0.5))) @ (x @ net["k"]).transpose(0, 2, 1)
-    np.exp(s, out=s)
-    s *= _SEEN[:t, :t]
-    c = (s @ (x @ net["v"])) / s.sum(axis=-1, keepdims=True)
-    h = (x + c @ net["o"])[own]
-    g = h + np.maximum(h @ net["w1"] + net["b1"], 0) @ net["w2"]
-    z = g @ net["out"]
-    z += net["bias"]
-    z -= z[np.arange(len(z)), target][:, None]  # relative to the target: its probability is 1 / sum
-    return -np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=-1))
+    """Natural log probabilities of the targets' classes at the positions ``own`` of windows of inputs."""
+    x, _, _, _, _, c = _attention(net, first, last)
+    h = x[own]
+    h += c[own] @ net["o"]
+    r = h @ net["w1"]
+    r += net["b1"]
+    np.maximum(r, 0, out=r)
+    h += r @ net["w2"]
+    return _outputs(net, np.ascontiguousarray(h.T), target)[0]
 
 
 def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -364,8 +421,10 @@ def _spelled(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return words.select("word", "count").mapInArrow(task, "ids array<int>, count long")
 
 
-def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern: str) -> DataFrame:
-    """classes of each training document: a byte of the first class of each token, then one of the last."""
+def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern: str, learners: int) -> DataFrame:
+    """classes of each training document (the first class of each token, then the last, 16 bits each), and by its
+    hash the learner and the round that it goes to."""
+    dealt = rows.where("trains").select("text", F.xxhash64("doc_id", "text").alias("hash"))
 
     def task():
         enc = _encoder(ranks, pattern)
@@ -381,43 +440,57 @@ def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern
             return c
 
         def step(batch, texts):
-            out = []
-            for t in texts:
-                first, last = zip(*map(classes, tokens(t)))
-                out.append(bytes(first) + bytes(last))
-            yield record_batch(["classes"], pa.array(out, pa.binary()))
+            out = [np.array(list(map(classes, tokens(t))), "<u2").T.tobytes() for t in texts]
+            yield record_batch(["classes", "hash"], pa.array(out, pa.binary()), batch.column("hash"))
 
         return step
 
-    return map_texts(rows.where("trains").select("text"), task, "classes binary")
+    part = F.pmod(F.col("hash"), F.lit(16))
+    nth = F.coalesce(*[F.when(part < end, F.lit(k)) for k, end in enumerate(ROUNDS)])
+    return map_texts(dealt, task, "classes binary, hash long").select(
+        "classes", "hash", F.pmod(F.xxhash64("hash"), F.lit(learners)).cast("int").alias("learner"), nth.alias("round"))
 
 
-def train_network(rows: DataFrame, frequency: np.ndarray) -> dict[str, np.ndarray]:
-    """The network after ``EPOCHS`` passes over all windows of ``_class_rows``; ``frequency`` are the tokens by class."""
+def train_network(rows: DataFrame, frequency: np.ndarray, learners: int) -> dict[str, np.ndarray]:
+    """The network after the ``ROUNDS`` over all windows of ``_class_rows``; ``frequency`` are the tokens by class.  In a
+    round each learner starts from the same network; their number and parts follow from the rows alone."""
     net = new_network(CLASSES, frequency)
 
-    for nth in range(EPOCHS):
+    for nth in range(len(ROUNDS)):
         def task(batches, net=net, nth=nth):
-            learner = Learner(net, nth)
-            for b in batches:
-                some, size = [], 0
-                for c in b.column("classes"):
-                    some.append(windows_of(np.frombuffer(c.as_py(), np.uint8).reshape(2, -1), CLASSES))
-                    size += some[-1][1].size
-                    if size > STEP_TOKENS:
-                        learner.learn(*(np.concatenate(x, axis=-2) for x in zip(*some)))
-                        some, size = [], 0
+            learner, at, some, size = None, None, [], 0
+
+            def learn():
                 if some:
                     learner.learn(*(np.concatenate(x, axis=-2) for x in zip(*some)))
-            if learner.tokens:
+                some.clear()
+
+            def result():
                 flat = np.concatenate([learner.net[n].reshape(-1) for n in net]).astype(np.float64)
-                yield record_batch(["at", "n", "value"], pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), learner.tokens)),
-                                   pa.array(flat * learner.tokens))
+                return record_batch(["at", "n", "value"], pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), learner.tokens)),
+                                    pa.array(flat * learner.tokens))
 
+            for b in batches:
+                for c, who in zip(b.column("classes"), b.column("learner").to_pylist()):
+                    if who != at:
+                        if learner is not None:
+                            learn()
+                            yield result()
+                        learner, at, size = Learner(net, nth), who, 0
+                    some.append(windows_of(np.frombuffer(c.as_py(), "<u2").reshape(2, -1), CLASSES))
+                    size += some[-1][1].size
+                    if size > STEP_TOKENS:
+                        learn()
+                        size = 0
+            if learner is not None:
+                learn()
+                yield result()
+
+        dealt = rows.where(F.col("round") == nth).repartition(learners, "learner").sortWithinPartitions("learner", "hash")
         # as many rows as the network has parameters, whatever the corpus
-        sums = rows.mapInArrow(task, "at long, n long, value double").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("w")).collect()
+        sums = dealt.mapInArrow(task, "at long, n long, value double").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("w")).collect()
         if not sums:
-            break
+            continue
         flat = np.empty(len(sums))
         for r in sums:
             flat[r["at"]] = r["w"]
@@ -466,7 +539,8 @@ def fit(rows: DataFrame, counts: DataFrame, ranks: bytes, pattern: str) -> Model
     for r in sums:
         if r["kind"] in (0, 3):
             (class_words if r["kind"] else class_count)[r["a"]] = r["n"]
-    net = train_network(stored(_class_rows(rows, class_of, ranks, pattern), "word-classes"), class_count)
+    learners = max(1, round(n / LEARNER_TOKENS))
+    net = train_network(stored(_class_rows(rows, class_of, ranks, pattern, learners), "word-classes"), class_count, learners)
     return Model(net, class_of, own, class_count, class_words, {r["b"]: r["n"] for r in sums if r["kind"] == 1},
                  {(r["a"], r["b"]): r["n"] for r in sums if r["kind"] == 2}, n, distinct)
 
