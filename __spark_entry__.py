@@ -30,6 +30,7 @@ from tillstar_oracle import duckdb_oracle  # noqa: E402
 from tillstar.functions import formatting as T  # noqa: E402
 from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
+from tillstar.operators.joins import spread_join  # noqa: E402
 from tillstar.operators.ranking import sorted_by  # noqa: E402
 from tillstar.plans import keys as K  # noqa: E402
 from tillstar.plans.append import AppendWarehouse  # noqa: E402
@@ -297,6 +298,16 @@ def _millions(star: Star) -> DataFrame:
     return A.category_performance(star).select("category", T.millions("total_revenue").alias("total_revenue"))
 
 
+def _spread_sales(star: Star) -> DataFrame:
+    """Sales by tier and country of the customer, all lines kept, by a join whose hot keys are spread."""
+    lines = star.fact.select("customer_sk", "store_sk", "net_revenue", "quantity")
+    people = star.customers.select("customer_sk", "loyalty_tier", F.col("country").alias("customer_country"))
+    shops = star.stores.select("store_sk", "region")
+    joined = spread_join(spread_join(lines, people, "customer_sk", "left"), shops, "store_sk")
+    return joined.groupBy("loyalty_tier", "customer_country", "region").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("net_revenue").alias("revenue"), F.sum("quantity").cast("bigint").alias("units"))
+
+
 def _violating_rows(star: Star) -> DataFrame:
     """The rows themselves that break each rule on the damaged customers, with the rule."""
     bad, out = _damaged(star), None
@@ -400,6 +411,7 @@ def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_defaults": _star_query(_defaults),
         "sql_null_year": _sql_query("SELECT * FROM get_monthly_revenue_trends(:year)", year=None),
         "formatted_millions": _star_query(_millions),
+        "spread_join_sales": _star_query(_spread_sales),
         "violating_rows_damaged": _star_query(_violating_rows),
         "rollup_kpi_overview": _rollup_query(lambda r, star: r.kpi_overview()),
         "rollup_category_performance": _rollup_query(lambda r, star: r.category_performance(star)),

@@ -95,3 +95,42 @@ def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
             session.ensure_checkpoint_dir(Session(spark_master=master))
         assert session.ensure_checkpoint_dir(Session(spark_master=master, spark_checkpoint_dir="hdfs:///x")) == "hdfs:///x"
     assert session.ensure_checkpoint_dir(Session(spark_master="local[2]")).startswith("/")
+
+
+def test_spread_join_as_the_plain_join(spark):
+    from tillstar.operators.joins import spread_join
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 400)).alias("k"),
+        "id", F.lit(1).alias("__salt"))
+    dim = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k5", "c"), ("other", "d"), (None, "e")] + [(f"k{i}", "x") for i in range(100, 200)], "k string, name string")
+    for how in ("inner", "left"):
+        got, want = spread_join(rows, dim, "k", how, tasks=4), rows.join(dim, "k", how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    empty = spread_join(rows.limit(0), dim, "k", "left", tasks=4)
+    assert empty.count() == 0 and spread_join(rows, dim.limit(0), "k", tasks=4).count() == 0
+
+
+def test_hot_key_makes_no_task_without_adaptive_execution(spark):
+    """A third of all rows has one key: no task has over twice the median."""
+    from tillstar.operators.joins import spread_join
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "-1", "6")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).cast("long").alias("k"), "id")
+        dim = spark.range(5000).select(F.col("id").alias("k"), F.lit("d").alias("name"))
+
+        def sizes(df):
+            assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+            return sorted(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+        plain, spread = sizes(rows.join(dim, "k").select("id")), sizes(spread_join(rows, dim, "k").select("id"))
+        assert sum(plain) == sum(spread) == 120_000
+        assert plain[-1] > 2 * plain[len(plain) // 2]
+        assert len(spread) == 6 and spread[-1] <= 2 * spread[3]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -1,8 +1,10 @@
-"""Join helpers: FK-style semi/anti joins, dimension checks above aggregates, pinned results."""
+"""Join helpers: FK-style semi/anti joins, dimension checks above aggregates, pinned results, hot keys
+spread over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pin_small(df: DataFrame) -> DataFrame:
@@ -42,3 +44,38 @@ def keep_existing(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def anti_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key is missing from ``keys`` (SQL ``NOT EXISTS``)."""
     return df.join(keys, on, "left_anti")
+
+
+# A key is spread if it has over this part of a task's even share of the rows; rows of a spread
+# key and salt are about this part of one.
+SPREAD_PART = 0.25
+_SALT, _SALTS = "__spread_salt", "__spread_salts"
+
+
+def hot_keys(rows: DataFrame, on: str, tasks: int) -> DataFrame:
+    """(``on``, number of salts) of the keys that have over ``SPREAD_PART`` of a task's share of the rows.  A
+    frequent-items sketch proposes them (none is missed; it returns a few for each task at
+    most, whatever the rows), and only what it proposes is counted."""
+    share = SPREAD_PART / tasks
+    known = rows.select(on).where(F.col(on).isNotNull())
+    found = known.stat.freqItems([on], max(1e-4, share)).first()[0] or []
+    candidates = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in found], known.schema))
+    counts = known.join(candidates, on, "left_semi").groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    even = rows.count() * share
+    return counts.where(F.col("n") > even).select(on, F.ceil(F.col("n") / even).cast("int").alias(_SALTS))
+
+
+def spread_join(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """``rows`` joined with ``dim`` (``how``: inner or left) by a shuffle in which no key makes a task: rows of a hot key
+    get a salt from their content, and the few dimension rows with that key are repeated for
+    each salt.  Rows with a NULL key, which a left join keeps, are spread too.  Other keys are
+    joined as usual.  This does not depend on adaptive execution or its thresholds."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how!r}")
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # at most a few keys for each task: 1 / SPREAD_PART of them at even shares
+    hot = F.broadcast(pin_small(hot_keys(rows, on, tasks)))
+    many = F.when(F.col(on).isNull(), F.lit(int(tasks / SPREAD_PART))).otherwise(F.coalesce(_SALTS, F.lit(1)))
+    salted = rows.join(hot, on, "left").withColumn(_SALT, F.pmod(F.xxhash64(*rows.columns), many).cast("int")).drop(_SALTS)
+    repeated = dim.join(hot, on, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))).drop(_SALTS)
+    return salted.join(repeated, [on, _SALT], how).drop(_SALT)
