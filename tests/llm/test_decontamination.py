@@ -94,3 +94,47 @@ def test_query_as_direct_comparison(spark):
     for r in D.query(spark, sf).collect():
         assert want[r.doc_id] <= set(r["items"].split(","))
         assert r.contaminated == bool(want[r.doc_id])
+
+
+def edited(words, kind, rnd):
+    """A paraphrase of the words: some replaced, dropped, inserted, or neighbouring stretches exchanged."""
+    w = list(words)
+    n = max(1, len(w) // 8)
+    for _ in range(n):
+        k = rnd.randrange(len(w))
+        if kind == 0:
+            w[k] = f"other{k}"
+        elif kind == 1 and len(w) > 6:
+            del w[k]
+        elif kind == 2:
+            w.insert(k, f"added{k}")
+    if kind == 3:
+        k = rnd.randrange(1, max(2, len(w) - 6))
+        w[k:k + 4] = w[k + 2:k + 4] + w[k:k + 2]
+    return w
+
+
+def test_paraphrases_of_four_kinds_against_every_window(spark):
+    """What the latent search finds, of all that comparing every item with every window finds: 0.9 or more."""
+    rnd = random.Random(8)
+    docs, items, _ = corpus(n=124)
+    items = [(k, t) for k, t in items]
+    for k in range(120):
+        w = edited(items[k % 30][1].split(), k // 30, rnd)
+        host = docs[k].split()
+        at = rnd.randrange(len(host) + 1)
+        docs[k] = " ".join(host[:at] + w + host[at:])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    queries = D.make_queries(df, [D.make_item(*x) for x in items])
+    want = set()
+    for d, t in enumerate(docs):
+        words = D.words_of(t.encode())
+        for item in queries.items:
+            size = len(item.words) + 2 * D.BLOCK
+            if any(D.similarity(item, words[at:at + size], queries.idf) > 0 for at in range(0, max(1, len(words) - len(item.words) // 2), 4)):
+                want.add((d, item.item_id))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, c.item_id) for r in D.find_contamination(df, bench).collect() for c in r.contamination}
+    kinds = [sum((d, d % 30) in got for d in range(30 * k, 30 * k + 30)) for k in range(4)]
+    assert len(want) > 100 and len(got & want) >= 0.9 * len(want), (len(want), len(got & want), kinds)
+    assert sum((d, d % 30) in got for d in range(120)) >= 0.9 * sum((d, d % 30) in want for d in range(120))

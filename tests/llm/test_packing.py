@@ -91,3 +91,23 @@ def test_cuts_cover_the_line():
                 seqs[s] += n
             at += length
         assert all(v == window or v & (v - 1) == 0 for v in seqs.values())
+
+
+def test_the_rank_file_is_the_json_vocabulary():
+    """Every piece has the same id in both files, and merges rank as their results do."""
+    import base64
+    import json
+
+    import public_tokenizers
+
+    ranks, _ = P.vocabulary()
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    pieces = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in letters for c in piece)}
+    assert all(pieces[p] == i for p, i in known.items()) and len(known) >= len(pieces) - 1
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    assert ids == sorted(ids)
