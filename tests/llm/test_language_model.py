@@ -95,7 +95,7 @@ def test_the_mean_of_the_learners_counts_every_token_however_rows_are_split(spar
     monkeypatch.setattr(L, "ROUNDS", (16,))
     rnd = np.random.default_rng(4)
     texts = [rnd.integers(0, L.CLASSES, (2, k)).astype("<u2") for k in (5, 700, 64, 3000, 1, 90)]
-    data = [(bytearray(t.tobytes()), 100 - k, k % 2, 0) for k, t in enumerate(texts)]
+    data = [(bytearray(np.ascontiguousarray(t.T).tobytes()), 100 - k, k % 2, 0) for k, t in enumerate(texts)]
     want, total = {}, 0
     for who in (0, 1):
         part = [texts[k] for k in reversed(range(len(texts))) if k % 2 == who]  # by rising hash

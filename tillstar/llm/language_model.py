@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import fold, map_texts, record_batch, release, stored, table
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, MEMBERS, WIDTH, HIDDEN = 1024, 32, 16, 32
+CLASSES, MEMBERS, WIDTH, HIDDEN = 1024, 32, 16, 16
 # Subword ids that have transitions of their own, and the discount of word counts.
 SPELL_IDS, DISCOUNT = 4096, 0.75
 CONTEXT, OVERLAP = 32, 8
@@ -63,7 +63,7 @@ CACHE_WORDS = 1 << 16
 # Tokens that a training task shuffles at once (more only if one text has more).
 STEP_TOKENS = 1 << 19
 # Windows of a training step, and windows scored at once.
-TRAIN_BATCH, BATCH = 64, 64
+TRAIN_BATCH, BATCH = 128, 64
 END, STOP, RARE = b"", -1, -2
 OTHER, END_CLASS = 0, 1
 _WORKER: dict = {}
@@ -241,7 +241,7 @@ class Learner:
         for k in self.rnd.permutation(len(batches)):
             b = batches[k]
             t = max(1, int(lengths[b].max()))  # tokens come first in a window
-            first, last, goal = before[0, b, :t].astype(np.int64), before[1, b, :t].astype(np.int64), target[b, :t].astype(np.int64)
+            first, last, goal = (x[b, :t].astype(np.int64) for x in (before[0], before[1], target))
             _, kept = forward(self.net, first, last, goal)
             self.step += 1
             rate = self.rate * min(1.0, self.step / self.careful)
@@ -421,26 +421,35 @@ def _spelled(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return words.select("word", "count").mapInArrow(task, "ids array<int>, count long")
 
 
+class _Classes(dict):
+    """Word -> its first class, and its last one in the upper 16 bits."""
+
+    def __init__(self, class_of: dict[int, int], encoder):
+        self.class_of, self.encoder = class_of, encoder
+
+    def __missing__(self, word: bytes) -> int:
+        ids = subwords(word, self.encoder)
+        c = self.class_of.get(ids[0], OTHER) | self.class_of.get(ids[-1], OTHER) << 16 if ids else END_CLASS | END_CLASS << 16
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = c
+        return c
+
+
 def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern: str, learners: int) -> DataFrame:
-    """classes of each training document (the first class of each token, then the last, 16 bits each), and by its
+    """classes of each training document (of each token the first class and the last, 16 bits each), and by its
     hash the learner and the round that it goes to."""
     dealt = rows.where("trains").select("text", F.xxhash64("doc_id", "text").alias("hash"))
 
     def task():
-        enc = _encoder(ranks, pattern)
-        known: dict[bytes, tuple[int, int]] = {}
-
-        def classes(word):
-            if (c := known.get(word)) is None:
-                ids = subwords(word, enc)
-                c = (class_of.get(ids[0], OTHER), class_of.get(ids[-1], OTHER)) if ids else (END_CLASS, END_CLASS)
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                known[word] = c
-            return c
+        known = _Classes(class_of, _encoder(ranks, pattern))
 
         def step(batch, texts):
-            out = [np.array(list(map(classes, tokens(t))), "<u2").T.tobytes() for t in texts]
+            out = []
+            for t in texts:
+                words = tokens(t)
+                out.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)).tobytes())
             yield record_batch(["classes", "hash"], pa.array(out, pa.binary()), batch.column("hash"))
 
         return step
@@ -477,7 +486,7 @@ def train_network(rows: DataFrame, frequency: np.ndarray, learners: int) -> dict
                             learn()
                             yield result()
                         learner, at, size = Learner(net, nth), who, 0
-                    some.append(windows_of(np.frombuffer(c.as_py(), "<u2").reshape(2, -1), CLASSES))
+                    some.append(windows_of(np.frombuffer(c.as_py(), "<u2").reshape(-1, 2).T, CLASSES))
                     size += some[-1][1].size
                     if size > STEP_TOKENS:
                         learn()
