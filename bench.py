@@ -6,7 +6,9 @@
    (median of 3 runs after one warm-up run each);
 3. ``e2e_q1`` .. ``e2e_q8``: the same queries straight from the driver
    tables (conform + query in one plan), one run each;
-4. ``q23_load_report``, ``q24_quality_report`` over the stored star.
+4. ``q23_load_report``, ``q24_quality_report`` over the stored star;
+5. ``rollup_load``: two loads of half of the fact's lines each into stored roll-ups, and
+   ``rollup_q1`` .. ``rollup_q8``: the queries that roll-ups serve (one run after a warm-up).
 
 Prints one JSON line; ``value`` = load_star + q1..q8.
 """
@@ -26,6 +28,7 @@ sys.path.insert(0, HERE)
 from tillstar.plans import analytics as A  # noqa: E402
 from tillstar.plans import quality as Q  # noqa: E402
 from tillstar.plans.conform import star_from_dir  # noqa: E402
+from tillstar.plans.rollups import RollupStore  # noqa: E402
 from tillstar.session import local_session, scratch_path  # noqa: E402
 from tillstar.sources.parquet_store import read_star, write_star  # noqa: E402
 
@@ -41,6 +44,17 @@ QUERIES = {
 }
 
 
+ROLLUP_QUERIES = {
+    "q1": lambda r, s: r.kpi_overview(),
+    "q2": lambda r, s: r.category_performance(s),
+    "q3": lambda r, s: r.channel_performance(),
+    "q4": lambda r, s: r.region_performance(s),
+    "q6": lambda r, s: r.top_selling_products(s, 10),
+    "q7": lambda r, s: r.monthly_revenue_trends(),
+    "q8": lambda r, s: r.top_customers(s, 10),
+}
+
+
 def _timed(fn) -> float:
     t = time.perf_counter()
     fn()
@@ -80,6 +94,13 @@ def main() -> None:
     out["q23_load_report"] = _timed(lambda: Q.load_report(star).collect())
     out["q24_quality_report"] = _timed(lambda: Q.quality_report(star).collect())
 
+    # the same queries from roll-ups of two loads of the fact (informational)
+    rollups = RollupStore(spark, scratch_path(spark, "bench-rollups"))
+    out["rollup_load"] = _timed(lambda: [rollups.add(str(k), star.fact.where(f"sale_sk % 2 = {k}"), star.time) for k in range(2)])
+    for key, fn in ROLLUP_QUERIES.items():
+        fn(rollups, star).collect()
+        out[f"rollup_{key}"] = _timed(lambda: fn(rollups, star).collect())
+
     value = out["load_star"] + sum(out[k] for k in QUERIES)
     print(json.dumps({
         "metric": "star_load_plus_q1_q8",
