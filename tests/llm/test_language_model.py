@@ -169,3 +169,15 @@ def test_query(spark):
     held = [r for r in got if r.held_out and r.n_known == r.n_tokens]
     assert len(held) > 10
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_classes_of_words_in_two_generations(monkeypatch):
+    monkeypatch.setattr(L, "CACHE_WORDS", 5)
+    encoder, rnd = L._encoder(*vocabulary()), random.Random(3)
+    class_of = {L.subwords(w, encoder)[0]: k + 2 for k, w in enumerate((b"the", b"cat", b"on"))}
+    known = L._Classes(class_of, encoder)
+    for _ in range(400):
+        w = rnd.choice([b"", b"the", b"cat", b"on", b"mat", b"unheardofword", b"x" * 70, str(rnd.randrange(40)).encode()])
+        ids = L.subwords(w, encoder)
+        want = (class_of.get(ids[0], L.OTHER), class_of.get(ids[-1], L.OTHER)) if ids else (L.END_CLASS,) * 2
+        assert (known[w] & 0xFFFF, known[w] >> 16) == want and len(known) <= 5 and len(known.older) <= 5

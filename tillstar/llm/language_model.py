@@ -58,8 +58,8 @@ ROUNDS = (1, 2, 4, 8, 16)
 LEARNER_TOKENS = 4 << 20
 COPY_SHARE, COPY_WORDS = 0.02, 8
 BLOCK_BYTES = 16 << 20
-# Words whose classes a training task keeps.
-CACHE_WORDS = 1 << 16
+# Words whose classes a training task keeps, twice.
+CACHE_WORDS = 1 << 17
 # Tokens that a training task shuffles at once (more only if one text has more).
 STEP_TOKENS = 1 << 19
 # Windows of a training step, and windows scored at once.
@@ -422,15 +422,19 @@ def _spelled(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
 
 class _Classes(dict):
-    """Word -> its first class, and its last one in the upper 16 bits."""
+    """Word -> its first class, and its last one in the upper 16 bits.  When it is full it becomes the older of two
+    generations, from which words that occur again come back without being cut again."""
 
     def __init__(self, class_of: dict[int, int], encoder):
-        self.class_of, self.encoder = class_of, encoder
+        self.class_of, self.encoder, self.older = class_of, encoder, {}
 
     def __missing__(self, word: bytes) -> int:
-        ids = subwords(word, self.encoder)
-        c = self.class_of.get(ids[0], OTHER) | self.class_of.get(ids[-1], OTHER) << 16 if ids else END_CLASS | END_CLASS << 16
+        c = self.older.get(word)
+        if c is None:
+            ids = subwords(word, self.encoder)
+            c = self.class_of.get(ids[0], OTHER) | self.class_of.get(ids[-1], OTHER) << 16 if ids else END_CLASS | END_CLASS << 16
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = c
