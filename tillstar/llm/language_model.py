@@ -553,14 +553,14 @@ def fit(rows: DataFrame, counts: DataFrame, ranks: bytes, pattern: str) -> Model
         if r["kind"] in (0, 3):
             (class_words if r["kind"] else class_count)[r["a"]] = r["n"]
     learners = max(1, round(n / LEARNER_TOKENS))
-    net = train_network(stored(_class_rows(rows, class_of, ranks, pattern, learners), "word-classes"), class_count, learners)
+    net = train_network(stored(_class_rows(rows, class_of, ranks, pattern, learners), "word-classes", "zstd"), class_count, learners)
     return Model(net, class_of, own, class_count, class_words, {r["b"]: r["n"] for r in sums if r["kind"] == 1},
                  {(r["a"], r["b"]): r["n"] for r in sums if r["kind"] == 2}, n, distinct)
 
 
 def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score of each row."""
-    rows = stored(_blocks(docs, id_col, text_col), "word-blocks")
+    rows = stored(_blocks(docs, id_col, text_col), "word-blocks", "zstd")
     counts = stored(_word_counts(rows), "word-counts")
     model = fit(rows, counts, ranks, pattern)
     doc_type = rows.schema["doc_id"].dataType.simpleString()
