@@ -134,3 +134,11 @@ def test_hot_key_makes_no_task_without_adaptive_execution(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_spread_join_runs_the_plan_of_its_rows_once(spark):
+    from tillstar.operators.joins import spread_join
+
+    rows = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    out = spread_join(rows, spark.range(3).withColumnRenamed("id", "k"), "k")
+    assert out.count() == 50 and any("/spread-" in f for f in out.inputFiles())

@@ -24,6 +24,16 @@ def pin_small(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to parquet files under the shared checkpoint directory, for rows that
+    are read several times: columns, compressed, where ``checkpoint()`` would write whole rows as they are."""
+    from tillstar.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key exists in ``keys`` (SQL ``EXISTS``)."""
     return df.join(keys, on, "left_semi")
@@ -73,6 +83,7 @@ def spread_join(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner", ta
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(rows, "spread")  # read four times: its joins run once
     # at most a few keys for each task: 1 / SPREAD_PART of them at even shares
     hot = F.broadcast(pin_small(hot_keys(rows, on, tasks)))
     many = F.when(F.col(on).isNull(), F.lit(int(tasks / SPREAD_PART))).otherwise(F.coalesce(_SALTS, F.lit(1)))
