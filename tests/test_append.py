@@ -98,3 +98,21 @@ def test_easter_and_holidays_of_known_years(spark):
     own = C.with_computed_holidays(cal, {"second last Friday": C.nth_weekday(3, 5, -2)}).where("is_holiday")
     assert {r.full_date for r in own.collect()} == {dt.date(2018, 3, 23)} and own.count() == 24
     assert C.with_computed_holidays(cal, {}).where("is_holiday").count() == 0
+
+
+def test_a_load_moves_hashes_and_places_not_rows(spark, star, tmp_path, monkeypatch):
+    """Over several bitmaps of 32,768 rows and several files; rows twice, and some there already."""
+    path, kept = str(tmp_path / "lines"), []
+    one = star.fact.where("sale_sk = 1").drop("order_id")
+    ids = spark.range(80_000).select(F.concat(F.lit("o"), F.col("id") % 79_000).alias("order_id"))
+    ids.crossJoin(one).select(*star.fact.columns).repartition(3).write.parquet(path)
+    lines = spark.read.parquet(path)
+    plain = type(lines).checkpoint
+    monkeypatch.setattr(type(lines), "checkpoint", lambda self, *a, **k: kept.append(self.columns) or plain(self, *a, **k))
+    w = P.AppendWarehouse(spark, str(tmp_path / "w"))
+    for n, some in enumerate((lines.where("order_id LIKE '%7'"), lines.where("order_id LIKE '%7' OR order_id LIKE '%5'"), lines), 1):
+        assert w.append(with_fact(star, some), stored=("fact",)) == n
+        s = w.star().fact.agg(F.count("sale_sk"), F.count_distinct("sale_sk"), F.min("sale_sk"), F.max("sale_sk")).first()
+        assert tuple(s) == (some.count(),) * 2 + (1, some.count())
+    assert lines.select("order_id").exceptAll(w.star().fact.select("order_id")).isEmpty()
+    assert not any("net_revenue" in c for c in kept) and not os.path.exists(str(tmp_path / "w" / "staged" / "fact_sales" / "part"))

@@ -5,7 +5,8 @@
     w.star(); w.star(version=3); w.history()
 
 A load adds one part for each table with the rows that are not there yet, so nothing stored is written
-again.  Rows are compared by a 128-bit hash of their content, as many times as they occur: a second load
+again.  It moves 16 bytes of hash and a place for each row, never the rows: the places of the new rows
+become bitmaps of 32,768 rows, by which the rows are picked, and numbered, where they are read.  Rows are compared by a 128-bit hash of their content, as many times as they occur: a second load
 of the same files adds nothing, and a line that a file has twice stays twice.  The fact's
 content is all but its surrogate key, which continues after the highest one stored; a dimension
 row's content includes its key.
@@ -25,9 +26,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillstar.plans.keys import dense_keys
+from tillstar.operators.joins import pin_small
+from tillstar.plans.keys import row_keys
 from tillstar.schema import NOW, STAR_TABLES
-from tillstar.session import ensure_checkpoint_dir
 from tillstar.star import Star
 
 HASH = "row_hash"
@@ -35,15 +36,19 @@ _MANIFEST = "version int, table_name string, part string, added_in int, row_coun
 _ATTR = {"fact_sales": "fact", "dim_customers": "customers", "dim_products": "products", "dim_stores": "stores", "dim_time": "time"}
 # the fact's key is a number given by the warehouse; other keys come with the rows
 GENERATED_KEYS = {"fact_sales": "sale_sk"}
+# A bitmap has one bit for each row of a load; up to this many rows (256 MB) they are broadcast.
+MAX_MARKED_ROWS = 1 << 31
+_PLACE, _BUCKET, _AT = "_row_place", "_row_bucket", "_row_at"
 
 
 def content_hash(df: DataFrame, table: str) -> Column:
     """16 bytes that name the row's content: every column but a generated key and load times."""
     t = STAR_TABLES[table]
     names = [c.name for c in t.columns if c.name in df.columns and c.default != NOW and c.name != GENERATED_KEYS.get(table)]
-    texts = [F.col(n).cast("string") for n in names]
-    fields = [F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts]
-    return F.unhex(F.md5(F.concat(*fields).cast("binary")))
+    texts = F.array(*[F.col(n).cast("string") for n in names])
+    # (by a lambda: the same text written out for each column is a method too large for the JVM to compile)
+    fields = F.transform(texts, lambda x: F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")))
+    return F.unhex(F.md5(F.array_join(fields, "").cast("binary")))
 
 
 def checksum(hashes: Column) -> Column:
@@ -109,36 +114,62 @@ class AppendWarehouse:
             F.sum("row_count").alias("row_count"), F.max("max_key").alias("max_key"))
 
     # ------------------------------------------------------------------ loads
-    def _new_rows(self, table: str, df: DataFrame, parts: list) -> DataFrame:
-        rows = df.withColumn(HASH, content_hash(df, table))
+    def _new_places(self, table: str, rows: DataFrame, parts: list) -> DataFrame:
+        """The places of the rows that are not there yet: of equal rows those beyond the number stored."""
         if not any(r["row_count"] for r in parts):
-            return rows
-        ensure_checkpoint_dir(self.spark)
-        rows = rows.checkpoint(eager=True)  # used twice: not parsed or joined again
-        there = self._read(parts, table).groupBy(F.col(HASH).alias("h")).agg(F.count(F.lit(1)).alias("there"))
-        here = rows.groupBy(HASH).agg(F.count(F.lit(1)).alias("here"))
-        met = here.join(there, F.col(HASH) == F.col("h")).select("h", "there", (F.col("here") > F.col("there")).alias("more"))
-        marked = rows.join(met, F.col(HASH) == F.col("h"), "left").drop("h")
-        # of equal rows those beyond the number stored are new; only where there are more are they numbered
-        more = marked.where("more").withColumn("nth", F.row_number().over(Window.partitionBy(HASH).orderBy(F.lit(1)))).where("nth > there")
-        return marked.where("there is null").drop("there", "more").unionByName(more.drop("nth", "there", "more"))
-
-    def append(self, star: Star) -> int:
-        """Adds the rows of ``star`` that are not there yet, as a new version; its number."""
+            return rows.select(_PLACE)
+        here = rows.select(content_hash(rows, table).alias(HASH), _PLACE)
+        there = self._read(parts, table).select(HASH, F.lit(None).cast("long").alias(_PLACE))
+        # equal rows in one order, the stored ones first: of n stored ones, row 2n + 1 is the first new one
+        equal = Window.partitionBy(HASH).orderBy(F.col(_PLACE).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = here.unionByName(there).select(
+            _PLACE, F.count(F.lit(1)).over(equal).alias("nth"), (F.count(F.lit(1)).over(equal) - F.count(_PLACE).over(equal)).alias("there"))
+        # (by bucket first: a task here has places of all buckets, whose bitmaps would be nearly empty)
+        return seen.where(F.col(_PLACE).isNotNull() & (F.col("nth") > 2 * F.col("there"))).select(_PLACE).repartition(F.bitmap_bucket_number(_PLACE))
+
+    def _new_rows(self, table: str, df: DataFrame, parts: list, key: str | None, start: int) -> DataFrame:
+        """The rows of ``df``, a scan of stored files, that are not there yet, with their hash; numbered from
+        ``start`` in ``key``, if given."""
+        rows = row_keys(df, _PLACE)
+        at = [F.bitmap_bucket_number(_PLACE).alias(_BUCKET), F.bitmap_bit_position(_PLACE).alias(_AT)]
+        places = self._new_places(table, rows, parts).select(*at)
+        bits = pin_small(places.groupBy(_BUCKET).agg(F.bitmap_construct_agg(_AT).alias("bits")))
+        sizes = bits.select(F.col(_BUCKET).alias("b"), F.bitmap_count("bits").alias("n"))
+        # one row for 32,768 rows
+        before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        marks = bits.join(sizes.select("b", before.alias("before")), F.col(_BUCKET) == F.col("b")).drop("b")
+        last = bits.agg(F.max(_BUCKET)).first()[0] or 0
+        marks = F.broadcast(marks) if last << 15 <= MAX_MARKED_ROWS else marks
+        byte = F.conv(F.hex(F.expr(f"substring(bits, {_AT} div 8 + 1, 1)")), 16, 10).cast("int").alias("byte")
+        found = rows.select("*", *at).join(marks, _BUCKET).select("*", byte).where(F.expr(f"byte & shiftleft(1, cast({_AT} % 8 AS int)) <> 0"))
+        found = found.withColumn(HASH, content_hash(df, table))
+        if key is None:
+            return found.select(*df.columns, HASH)
+        earlier = F.expr(f"bitmap_count(substring(bits, 1, {_AT} div 8)) + bit_count(byte & (shiftleft(1, cast({_AT} % 8 AS int)) - 1))")
+        number = (F.col("before") + earlier + F.lit(start)).cast("long").alias(key)
+        return found.select(number, *[c for c in df.columns if c != key], HASH)
+
+    def append(self, star: Star, stored: tuple[str, ...] = ()) -> int:
+        """Adds the rows of ``star`` that are not there yet, as a new version; its number.  Its tables are read
+        twice: they are written to files first, but for those named in ``stored``, which are scans of
+        parquet files already, filtered or not."""
         parts, rows = self._parts(), self._rows()
         version = max((r["version"] for r in rows), default=0) + 1
 
         def add(table: str) -> dict:
-            new = self._new_rows(table, getattr(star, _ATTR[table]), parts[table])
-            key = STAR_TABLES[table].primary_key
-            if table in GENERATED_KEYS:
-                highest = max((r["max_key"] or 0 for r in parts[table]), default=0)
-                new = dense_keys(new.drop(key), key, start=highest + 1).select(key, *[c for c in new.columns if c != key])
+            df, key = getattr(star, _ATTR[table]), STAR_TABLES[table].primary_key
             part = os.path.join(table, f"v{version}-{uuid.uuid4().hex[:8]}")
-            path = os.path.join(self.base, part)
+            path, staged = os.path.join(self.base, part), os.path.join(self.base, "staged", part)
+            if _ATTR[table] not in stored:
+                (df.hint("rebalance", "order_id") if table == "fact_sales" else df).write.parquet(staged)
+                df = self.spark.read.parquet(staged)
+            highest = max((r["max_key"] or 0 for r in parts[table]), default=0)
+            new = self._new_rows(table, df, parts[table], GENERATED_KEYS.get(table), highest + 1)
             if table == "fact_sales":
-                new = new.hint("rebalance", "order_id").sortWithinPartitions("time_sk")
+                new = new.sortWithinPartitions("time_sk")
             new.write.parquet(path)
+            p, fs = self._fs(staged)
+            fs.delete(p, True)
             written = self.spark.read.parquet(path)
             s = written.agg(F.count(F.lit(1)).alias("n"), F.max(key).cast("long").alias("k"), checksum(F.col(HASH)).alias("c")).first()
             return dict(version=version, table_name=table, part=part, added_in=version, row_count=s["n"], max_key=s["k"], checksum=s["c"], kept_from=1)
