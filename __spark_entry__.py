@@ -30,13 +30,13 @@ from tillstar_oracle import duckdb_oracle  # noqa: E402
 from tillstar.functions import formatting as T  # noqa: E402
 from tillstar.functions import sql as S  # noqa: E402
 from tillstar.functions.metrics import report_types  # noqa: E402
-from tillstar.operators.joins import spread_join  # noqa: E402
+from tillstar.operators.joins import spread_join, stored  # noqa: E402
 from tillstar.operators.ranking import sorted_by  # noqa: E402
 from tillstar.plans import keys as K  # noqa: E402
 from tillstar.plans.append import AppendWarehouse  # noqa: E402
 from tillstar.plans.calendar import easter_sunday, holiday_name, hour_keys_of_year, with_computed_holidays, with_holidays  # noqa: E402
 from tillstar.plans.load import key_high_water_marks  # noqa: E402
-from tillstar.plans.rollups import RollupStore  # noqa: E402
+from tillstar.plans.rollups import FACT_COLUMNS, RollupStore  # noqa: E402
 from tillstar.schema import STAR_TABLES  # noqa: E402
 from tillstar.session import scratch_path  # noqa: E402
 from tillstar.sources.csv_files import read_star_csv, read_table_csv, with_defaults, write_star_csv, write_table_csv  # noqa: E402
@@ -220,8 +220,9 @@ def _rollups(spark: SparkSession, sf_dir: str, star: Star) -> RollupStore:
     if key in _ROLLUPS and len(_ROLLUPS[key].loads()) == len(ROLLUP_LOADS):
         return _ROLLUPS[key]
     store = RollupStore(spark, scratch_path(spark, "rollups"))
+    fact = stored(star.fact.select(*FACT_COLUMNS), "fact")  # joined once for the three loads
     for name in ROLLUP_LOADS:
-        store.add(name, star.fact.where(_load_of() == name), star.time)
+        store.add(name, fact.where(_load_of() == name), star.time)
     _ROLLUPS[key] = store
     return store
 
@@ -245,9 +246,9 @@ def _appended(spark: SparkSession, sf_dir: str) -> AppendWarehouse:
     if key in _APPENDED and len(_APPENDED[key].versions()) == 3:
         return _APPENDED[key]
     star = star_from_dir(spark, sf_dir)
-    warehouse = AppendWarehouse(spark, scratch_path(spark, "appended"))
-    for lines in (star.fact.where(_load_of() == "history"), star.fact.where(_load_of() != "late"), star.fact):
-        warehouse.append(Star(lines, star.customers, star.products, star.stores, star.time))
+    warehouse, fact = AppendWarehouse(spark, scratch_path(spark, "appended")), stored(star.fact, "fact")
+    for lines in (fact.where(_load_of() == "history"), fact.where(_load_of() != "late"), fact):
+        warehouse.append(Star(lines, star.customers, star.products, star.stores, star.time), stored=("fact",))
     _APPENDED[key] = warehouse
     return warehouse
 

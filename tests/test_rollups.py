@@ -118,3 +118,13 @@ def test_buckets_of_many_orders(spark):
     assert {r.k: r.total_orders for r in O.count_orders(sets.unionByName(O.order_sets(lines, ["k"], few_keys=True)), ["k"]).collect()} == want
     assert rows(O.count_orders(sets, [])) == [(100_000,)]
     assert sets.where("size(few) > 256").isEmpty() and not sets.where("bits is not null").isEmpty()
+
+
+def test_a_load_stores_its_lines_by_bucket_and_keeps_no_copy(spark, star, tmp_path, monkeypatch):
+    kept, plain = [], type(star.fact).checkpoint
+    monkeypatch.setattr(type(star.fact), "checkpoint", lambda self, *a, **k: kept.append(self.columns) or plain(self, *a, **k))
+    r = RollupStore(spark, str(tmp_path / "r"))
+    assert r.add("all", star.fact, star.time)
+    assert not any("net_revenue" in c or "few" in c for c in kept)
+    assert not list((tmp_path / "r").glob("load-*/numbered"))
+    assert rows(r.kpi_overview()) == rows(A.kpi_overview(star))

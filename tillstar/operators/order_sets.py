@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillstar.operators.joins import stored
 from tillstar.plans.keys import dense_keys, high_water_mark
-from tillstar.session import ensure_checkpoint_dir
 
 # Positions kept as a list at most: 512 bytes, an eighth of a bitmap.
 FEW = 256
@@ -52,8 +52,8 @@ def order_sets(lines: DataFrame, keys: list[str], few_keys: bool = False) -> Dat
 
     if few_keys:
         return mapped(at)
-    ensure_checkpoint_dir(lines.sparkSession)
-    listed = at.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_set("position")).alias("few")).checkpoint(eager=True)
+    # (distinct first: that is a hash aggregate, a set of each group is sorted for)
+    listed = stored(at.distinct().groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list("position")).alias("few")), "order-lists")
     short = listed.where(F.size("few") <= FEW).select(*_row(keys, F.size("few"), F.col("few"), none))
     long = listed.where(F.size("few") > FEW).select(*keys, "bucket", F.explode("few").alias("position"))
     return short.unionByName(mapped(long))

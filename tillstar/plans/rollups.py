@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from tillstar.functions.metrics import avg_of_sums, money_sum, pct
 from tillstar.operators.order_sets import count_orders, count_orders_by_key, number_orders, order_sets
 from tillstar.plans import analytics as A
-from tillstar.session import ensure_checkpoint_dir
 from tillstar.star import Star
 
 # Kinds of keys.  ``few``: the number of keys does not grow with the lines.
@@ -39,7 +38,7 @@ KINDS = {
 }
 FEW_KEYS = ("channel", "month")
 MEASURES = ("quantity", "net_revenue", "profit", "total_cost", "discount_pct", "unit_price")
-_COLUMNS = ["sales_channel", "store_sk", "product_sk", "customer_sk", "time_sk", "order_id", "return_flag", *MEASURES]
+FACT_COLUMNS = ["sales_channel", "store_sk", "product_sk", "customer_sk", "time_sk", "order_id", "return_flag", *MEASURES]
 
 
 def _of_kind(lines: DataFrame, kind: str) -> DataFrame:
@@ -91,8 +90,12 @@ class RollupStore:
         numbers = self.spark.read.parquet(*([os.path.join(self.base, f, "order_numbers") for _, f in done] + [os.path.join(root, "order_numbers")]))
         # the calendar has one row per hour of its span, however many lines
         months = F.broadcast(time.select("time_sk", "year", "month", "month_name"))
-        ensure_checkpoint_dir(self.spark)
-        numbered = lines.select(*_COLUMNS).join(numbers, "order_id", "left").join(months, "time_sk", "left").checkpoint(eager=True)
+        # by bucket of order numbers, so that each set is built in one place: lines of all buckets in every task
+        # would make a bitmap of each key, bucket and task
+        rows = lines.select(*FACT_COLUMNS).join(numbers, "order_id", "left").join(months, "time_sk", "left").drop("order_id", "time_sk")
+        staged = os.path.join(root, "numbered")
+        rows.withColumn("bucket", F.bitmap_bucket_number("order_no")).hint("rebalance", "bucket").sortWithinPartitions("bucket").write.parquet(staged)
+        numbered = self.spark.read.parquet(staged).drop("bucket")
 
         def write(kind: str) -> None:
             rows, keys = _of_kind(numbered, kind), KINDS[kind]
@@ -102,6 +105,8 @@ class RollupStore:
         with ThreadPoolExecutor(max_workers=len(KINDS)) as pool:
             for f in [pool.submit(write, kind) for kind in KINDS]:
                 f.result()
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         row = self.spark.sql("SELECT cast(:number AS int) AS number, :name AS name, :folder AS folder",
                              args={"number": len(done) + 1, "name": name, "folder": folder})
         row.coalesce(1).write.mode("append").parquet(os.path.join(self.base, "loads"))
