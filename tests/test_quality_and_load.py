@@ -254,3 +254,19 @@ def test_csv_numeric_rounds_and_rejects_overflow(spark):
         fh.write(head + "1,p1,P,C,,B,123456789.5,2,0.5,True,,\n")  # 9 integer digits > NUMERIC(10,2)
     with pytest.raises(Exception):
         read_table_csv(spark, p, "dim_products").collect()
+
+
+def test_restricted_deletes_reduces_the_keys_first(spark):
+    star = make_star(spark, [sale(1, product_sk=1)])
+    for df in Q.restricted_deletes(star.fact, star.products, "product_sk"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Left") == 1 and plan.index("Join Left") < plan.index("Aggregate")
+
+
+def test_row_rules_are_folded(spark):
+    """Written out as one expression they are a method that the JVM does not compile."""
+    star = make_star(spark, [sale(1, product_sk=1, quantity=0)])
+    own = [(Q.ROWS + n, r) for n, r in enumerate(Q.table_rules(Q.STAR_TABLES["fact_sales"])) if r.rule in ("B1_not_null", "B4_range")]
+    df = Q._entries(star.fact, [], own)
+    assert "aggregate(array(" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [bin(r["value"]).count("1") for r in df.collect()] == [sum(r.rule == "B4_range" and r.column == "quantity" for _, r in own)]

@@ -125,8 +125,9 @@ def _entries(df: DataFrame, keys: list[tuple[int, int, str]], row_rules: list[tu
     masks = []
     for at in range(0, len(row_rules), MASK_RULES):
         some = row_rules[at:at + MASK_RULES]
-        bits = " | ".join(f"CASE WHEN {violation_sql(r)} THEN {1 << k}L ELSE 0L END" for k, (_, r) in enumerate(some))
-        masks.append(f"{bits} AS `__mask{len(masks)}`")
+        bits = ", ".join(f"CASE WHEN {violation_sql(r)} THEN {1 << k}L ELSE 0L END" for k, (_, r) in enumerate(some))
+        # (folded by a lambda: as one expression they are a method too large for the JVM to compile)
+        masks.append(f"aggregate(array({bits}), 0L, (a, b) -> a | b) AS `__mask{len(masks)}`")
         # a row without a violation, as nearly all are, adds no mask
         found.append(entry(some[0][0], 0, f"nullif(`__mask{len(masks) - 1}`, 0L)"))
     return df.selectExpr("*", *masks).selectExpr(f"explode(array({', '.join(found)})) AS e").selectExpr("e.*").where("value IS NOT NULL")
@@ -205,8 +206,9 @@ def violating_rows(star: Star, rule: Rule) -> DataFrame:
 def restricted_deletes(fact: DataFrame, to_delete: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``ON DELETE RESTRICT``: split dimension rows planned for deletion into
     (blocked: still referenced by the fact, deletable).  The fact's key column is first
-    reduced to the distinct keys among those to delete."""
-    refs = semi_join(fact.select(key), to_delete.select(key).distinct(), key).distinct()
+    reduced to its distinct keys, where it is read; a semi join with those to delete would be
+    pushed below that and move every line."""
+    refs = fact.select(key).distinct()
     return semi_join(to_delete, refs, key), anti_join(to_delete, refs, key)
 
 
