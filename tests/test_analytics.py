@@ -213,3 +213,25 @@ def test_hot_customer_holding_a_third_of_rows(spark):
     assert k["total_orders"] == 81 and k["total_revenue"] == D("200.00")
     cats = rows(A.category_performance(star))
     assert sum(r["total_revenue"] for r in cats) == D("200.00")
+
+
+def test_best_products_are_found_without_their_orders(spark, monkeypatch):
+    star = make_star(spark, [sale(1, product_sk=1, order_id="a"), sale(2, product_sk=1, order_id="a"), sale(3, product_sk=1, order_id=None), sale(4, product_sk=2, net=5)])
+    ranked = []
+    plain = A.top_n
+    monkeypatch.setattr(A, "top_n", lambda df, n, order: ranked.append(df) or plain(df, n, order))
+    got = A.top_selling_products(star, 2).collect()
+    assert "total_orders" not in ranked[0].columns
+    want = {r.k: r.n for r in star.fact.groupBy(F.col("product_sk").alias("k")).agg(F.count_distinct("order_id").alias("n")).collect()}
+    assert {r.product_sk: r.total_orders for r in got} == {k: want[k] for k in (1, 2)}
+
+
+def test_region_orders_of_many_countries(spark):
+    """Over several words of 64 places; an order with lines in two places, a place without a name."""
+    stores = [dict(store_sk=i, store_id=f"s{i}", store_name="S", country=f"c{i}" if i < 150 else None, region="N") for i in range(1, 151)]
+    lines = [sale(i, store_sk=(i - 1) % 150 + 1, order_id=f"o{i % 77}") for i in range(1, 400)] + [sale(400, store_sk=1, order_id="many") for _ in range(3)]
+    star = make_star(spark, lines, stores=stores)
+    df = A.region_performance(star)
+    joined = star.fact.join(star.stores, "store_sk").groupBy("country").agg(F.count_distinct("order_id").alias("n"))
+    assert {r.country: r.total_orders for r in df.collect()} == {r.country: r.n for r in joined.collect()}
+    assert "bit_or" in df._jdf.queryExecution().optimizedPlan().toString()
