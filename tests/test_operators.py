@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tillstar.operators.joins import keep_existing, pin_small
+from tillstar.operators.joins import gathered, keep_existing, pin_small
 from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 
 
@@ -142,3 +142,18 @@ def test_spread_join_runs_the_plan_of_its_rows_once(spark):
     rows = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     out = spread_join(rows, spark.range(3).withColumnRenamed("id", "k"), "k")
     assert out.count() == 50 and any("/spread-" in f for f in out.inputFiles())
+
+
+def test_gathered_rows_of_a_key_meet_and_a_hot_key_is_split(spark):
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 500).alias("k"), F.col("id").alias("v"))
+    places = gathered(df, "k").select("k", F.spark_partition_id().alias("p")).distinct()
+    assert places.count() == 500 and df.select("k", F.spark_partition_id().alias("p")).distinct().count() == 4000
+    hot = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 4 > 0, 1).when(F.col("id") % 8 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        parts = gathered(hot, "k").select("k", "v", F.spark_partition_id().alias("p")).groupBy("k", "p").agg(F.max("v")).where("k = 1")
+        assert parts.count() > 1
+        sums = lambda rows: sorted(map(tuple, rows.groupBy("k").agg(F.sum("v"), F.count("v")).collect()), key=str)
+        assert sums(gathered(hot, "k")) == sums(hot)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")

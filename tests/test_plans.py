@@ -115,6 +115,21 @@ def test_quality_report_plan(stored, monkeypatch):
     assert "FileScan" not in plan(report)
 
 
+def test_sums_by_product_hold_a_task_s_own_products(stored, spark, monkeypatch):
+    """Lines are shuffled by product below the partial sums, which are merged above (a hot product may be split)."""
+    from tillstar.functions import sql as S
+
+    ranked, plain = [], A.top_n
+    monkeypatch.setattr(A, "top_n", lambda df, n, order: ranked.append(df) or plain(df, n, order))
+    A.top_selling_products(stored, 5)
+    S.install(stored)
+    for df in (ranked[0], A.category_performance(stored), spark.sql("SELECT * FROM get_top_selling_products(5)")):
+        p = plan(df)
+        (at,) = [i for i, line in enumerate(p.splitlines()) if "REBALANCE_PARTITIONS_BY_COL" in line]
+        above = "\n".join(p.splitlines()[:at])
+        assert "partial_sum(net_revenue" in above and "Exchange hashpartitioning(product_sk" in above
+
+
 @pytest.mark.parametrize("query", ["kpi_overview", "channel_performance", "top_customers"])
 def test_hot_order_is_split(spark, query, tmp_path):
     """A third of all lines in one order: AQE splits that partition of the conform join."""

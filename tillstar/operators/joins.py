@@ -1,5 +1,5 @@
 """Join helpers: FK-style semi/anti joins, dimension checks above aggregates, pinned results, hot keys
-spread over tasks."""
+spread over tasks, rows gathered by key."""
 
 from __future__ import annotations
 
@@ -34,6 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_GATHER = "__gather_by"
+
+
+def gathered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` shuffled by ``key`` before an aggregate by it, for keys of which there are very many: a task's
+    partial aggregate then holds its own keys, where over unordered rows each task would hold nearly
+    all.  Shuffled by the key's hash, so the aggregate keeps both of its steps and AQE may split
+    the rows of a hot key over several tasks."""
+    return rows.withColumn(_GATHER, F.xxhash64(key)).hint("rebalance", _GATHER).drop(_GATHER)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key exists in ``keys`` (SQL ``EXISTS``)."""
     return df.join(keys, on, "left_semi")

@@ -30,7 +30,7 @@ from tillstar.functions.metrics import (
     MONEY, avg_of_sums, exact_avg, flag_count, int_sum, money_sum, pct, share_pct, weighted_mean,
     count_pct,
 )
-from tillstar.operators.joins import keep_existing, pin_small, semi_join
+from tillstar.operators.joins import gathered, keep_existing, pin_small, semi_join
 from tillstar.operators.ranking import change_pct_vs_previous, first_per_group, top_n
 from tillstar.plans.calendar import hour_keys_of_year
 from tillstar.star import Star
@@ -75,11 +75,11 @@ def kpi_overview(star: Star) -> DataFrame:
 def category_performance(star: Star) -> DataFrame:
     """Per category over non-returned lines, highest revenue first.
 
-    The fact is first reduced to one row per product (partial aggregation,
-    skew-proof), then joined to the product dimension for the category.
+    The fact is first reduced to one row per product (rows gathered by product, a hot
+    one split), then joined to the product dimension for the category.
     """
-    kept = star.fact.where(~F.col("return_flag"))
-    per_product = kept.groupBy("product_sk").agg(
+    kept = star.fact.where(~F.col("return_flag")).select("product_sk", "quantity", "net_revenue", "profit", "discount_pct")
+    per_product = gathered(kept, "product_sk").groupBy("product_sk").agg(
         F.sum("quantity").alias("qty"),
         F.sum("net_revenue").alias("rev"),
         F.sum("profit").alias("prof"),
@@ -173,7 +173,8 @@ def customers_by_loyalty_tier(star: Star) -> DataFrame:
 def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
     """Top-n products by net revenue over non-returned lines; ties -> smaller key."""
     kept = star.fact.where(~F.col("return_flag"))
-    stats = kept.groupBy("product_sk").agg(
+    sold = kept.select("product_sk", "quantity", "net_revenue", "total_cost", "profit", "unit_price", "discount_pct")
+    stats = gathered(sold, "product_sk").groupBy("product_sk").agg(
         int_sum("quantity").alias("total_quantity"),
         money_sum("net_revenue").alias("total_revenue"),
         money_sum("total_cost").alias("total_cost"),
