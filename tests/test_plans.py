@@ -130,6 +130,22 @@ def test_sums_by_product_hold_a_task_s_own_products(stored, spark, monkeypatch):
         assert "partial_sum(net_revenue" in above and "Exchange hashpartitioning(product_sk" in above
 
 
+def test_lines_are_not_sorted_to_join_their_orders(spark):
+    """The orders of a task make a hash table; a sort would hold the task's lines, however wide, in memory."""
+    from pyspark.sql import functions as F
+
+    star = star_from_dir(spark, SF)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        p = plan(star.fact)
+        assert "ShuffledHashJoin [l_orderkey" in p and "Sort [l_orderkey" not in p
+        assert "Sort [l_orderkey" not in plan(A.region_performance(star))
+    finally:
+        spark.conf.unset(key)
+    assert star.fact.agg(F.count("customer_sk")).first()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
 @pytest.mark.parametrize("query", ["kpi_overview", "channel_performance", "top_customers"])
 def test_hot_order_is_split(spark, query, tmp_path):
     """A third of all lines in one order: AQE splits that partition of the conform join."""

@@ -10,12 +10,13 @@ Every line becomes one fact row.  A line without its part has NULL cost and prof
 without its order has NULL customer and time: the quality report counts them, and the
 analytics' own dimension joins decide about them.
 
-Plan shape: the fact joins part first and orders second, so at scale (two
-sort-merge joins) it comes out hash-partitioned by the order key and
-distinct-order counts need no extra exchange.  Join strategies are left
-to Catalyst/AQE: nation and region broadcast from their file-size
-statistics, part and orders sort-merge at scale (AQE splits skewed join
-partitions) and broadcast at runtime when small.  The fact's ``time_sk``
+Plan shape: the fact joins part first and orders second, so at scale it comes out hash-partitioned by the order key and
+distinct-order counts need no extra exchange.  Orders are joined by a shuffled
+hash join: a task keeps its share of the (narrower) orders in a hash table instead of sorting
+its lines, which took most of a task's memory; AQE splits a hot order's lines here too.  The other
+join strategies are left to Catalyst/AQE: nation and region broadcast from their file-size
+statistics, part sort-merges at scale (AQE splits skewed join
+partitions) and is broadcast at runtime when small.  The fact's ``time_sk``
 is hour arithmetic on the order date (``calendar.hour_key``) instead of a
 join with the calendar.  Every measure is a built-in decimal expression.
 """
@@ -101,7 +102,7 @@ def conform_fact(tables: DriverTables) -> DataFrame:
     orders = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
 
     lines = li.join(part, li.l_partkey == part.p_partkey, "left")
-    lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
+    lines = lines.join(orders.hint("shuffle_hash"), lines.l_orderkey == orders.o_orderkey, "left")
     # the calendar key is arithmetic on the order date: no lookup join, no subquery
     lines = lines.withColumn("time_sk", hour_key(F.col("o_orderdate")))
 
