@@ -115,6 +115,19 @@ def test_quality_report_plan(stored, monkeypatch):
     assert "FileScan" not in plan(report)
 
 
+def test_products_are_ranked_on_their_revenue_alone(stored, monkeypatch):
+    """A task that merges the products keeps the ranked measure of each; the other measures are the n best's."""
+    ranked, plain = [], A.top_n
+    monkeypatch.setattr(A, "top_n", lambda df, n, order: ranked.append(df) or plain(df, n, order))
+    got = A.top_selling_products(stored, 5).collect()
+    assert ranked[0].columns == ["product_sk", "total_revenue"] and "sum(profit" not in plan(ranked[0])
+    lines = [r for r in stored.fact.collect() if not r["return_flag"]]
+    for r in got:
+        mine = [x for x in lines if x["product_sk"] == r["product_sk"]]
+        assert r["total_orders"] == len({x["order_id"] for x in mine}) and r["total_quantity"] == sum(x["quantity"] for x in mine)
+        assert (r["total_revenue"], r["total_cost"], r["total_profit"]) == tuple(sum(x[c] for x in mine) for c in ("net_revenue", "total_cost", "profit"))
+
+
 def test_sums_by_product_hold_a_task_s_own_products(stored, spark, monkeypatch):
     """Lines are shuffled by product below the partial sums, which are merged above (a hot product may be split)."""
     from tillstar.functions import sql as S

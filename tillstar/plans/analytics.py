@@ -171,35 +171,39 @@ def customers_by_loyalty_tier(star: Star) -> DataFrame:
 
 # --------------------------------------------------------------------------- Q6
 def top_selling_products(star: Star, n: int = TOP_N_DEFAULT) -> DataFrame:
-    """Top-n products by net revenue over non-returned lines; ties -> smaller key."""
-    kept = star.fact.where(~F.col("return_flag"))
-    sold = kept.select("product_sk", "quantity", "net_revenue", "total_cost", "profit", "unit_price", "discount_pct")
-    stats = gathered(sold, "product_sk").groupBy("product_sk").agg(
-        int_sum("quantity").alias("total_quantity"),
-        money_sum("net_revenue").alias("total_revenue"),
-        money_sum("total_cost").alias("total_cost"),
-        money_sum("profit").alias("total_profit"),
-        pct(F.sum("profit"), F.sum("net_revenue")).alias("profit_margin"),
-        exact_avg("unit_price").alias("avg_unit_price"),
-        exact_avg("discount_pct").alias("avg_discount_pct"),
-    )
-
-    # orders of the n best only: counted beside the sums, every (product, order) would be a group
-    def with_orders(top: DataFrame) -> DataFrame:
-        mine = semi_join(kept.select("product_sk", "order_id"), top.select("product_sk"), "product_sk")
-        orders = mine.groupBy("product_sk").agg(F.count_distinct("order_id").alias("total_orders"))
-        return top.join(orders, "product_sk", "left").withColumn("total_orders", F.coalesce("total_orders", F.lit(0)))
-
-    return top_products_of(stats, star, n, with_orders)
+    """Top-n products by net revenue over non-returned lines; ties -> smaller key.
 
-
-def top_products_of(stats: DataFrame, star: Star, n: int, with_orders: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Q6 from one row per product.  ``with_orders`` adds ``total_orders`` to the n best where ``stats`` lacks it."""
+    All products are summed by the ranked measure alone; the other measures and the orders are taken
+    from the lines of the n best, so a task keeps two numbers of a product instead of a row of
+    sums, and never a group for each (product, order)."""
+    kept = star.fact.where(~F.col("return_flag"))
+    revenue = gathered(kept.select("product_sk", "net_revenue"), "product_sk").groupBy("product_sk").agg(
+        money_sum("net_revenue").alias("total_revenue"))
+
+    def with_measures(top: DataFrame) -> DataFrame:
+        mine = semi_join(kept.select("product_sk", "order_id", "quantity", "net_revenue", "total_cost", "profit",
+                                     "unit_price", "discount_pct"), top.select("product_sk"), "product_sk")
+        measures = mine.groupBy("product_sk").agg(
+            int_sum("quantity").alias("total_quantity"),
+            money_sum("total_cost").alias("total_cost"),
+            money_sum("profit").alias("total_profit"),
+            pct(F.sum("profit"), F.sum("net_revenue")).alias("profit_margin"),
+            exact_avg("unit_price").alias("avg_unit_price"),
+            exact_avg("discount_pct").alias("avg_discount_pct"),
+            F.count_distinct("order_id").alias("total_orders"),
+        )
+        return top.join(measures, "product_sk")
+
+    return top_products_of(revenue, star, n, with_measures)
+
+
+def top_products_of(stats: DataFrame, star: Star, n: int, complete: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Q6 from one row per product.  ``complete`` adds to the n best the columns that ``stats`` lacks."""
     # inner-join semantics of the warehouse query: only products in the dimension
     stats = keep_existing(stats, star.products, "product_sk")
     top = pin_small(top_n(stats, n, [_desc("total_revenue"), _asc("product_sk")]))
-    if with_orders is not None:
-        top = with_orders(top)
+    if complete is not None:
+        top = complete(top)
     out = star.products.select("product_sk", "product_name", "category", "brand").join(top, "product_sk")
     return out.select(
         "product_sk", "product_name", "category", "brand", "total_quantity", "total_revenue",
