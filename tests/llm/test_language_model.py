@@ -181,3 +181,81 @@ def test_classes_of_words_in_two_generations(monkeypatch):
         ids = L.subwords(w, encoder)
         want = (class_of.get(ids[0], L.OTHER), class_of.get(ids[-1], L.OTHER)) if ids else (L.END_CLASS,) * 2
         assert (known[w] & 0xFFFF, known[w] >> 16) == want and len(known) <= 5 and len(known.older) <= 5
+
+
+ODD_WORDS = [b"", b"the", b"it's", b"x\xc2\xa0", b"\xc2\xa0", b"\xc2\xa0y", "\u3000a\u2028".encode(), "É\u0301a9".encode(), b"\x1c\x1d", b"\xff\xe2\x82", b"...'ll", b"7a", b"x" * 70, b"don't", b"\x00"]
+
+
+def test_words_cut_together_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "CUT_WORDS", 100)
+    ranks, pattern = vocabulary()
+    encoder, rnd = L._encoder(ranks, pattern), random.Random(8)
+    assert encoder.bytes_of is not None  # the usual pattern: words are cut together
+    plain = [bytes(rnd.choice(b"abcdeT'9.,") for _ in range(rnd.randrange(9))) for _ in range(700)]
+    for words in ([], [b""], ODD_WORDS, plain, [*plain, *ODD_WORDS, *plain], [rnd.choice(ODD_WORDS) for _ in range(500)]):
+        want = [L.subwords(w, encoder) for w in words]
+        calls = []
+        monkeypatch.setattr(L, "subwords", lambda w, e, f=L.subwords: calls.append(w) or f(w, e))
+        ids, n = L.cut(pa.array(words, pa.binary()).view(pa.string()), encoder)
+        monkeypatch.undo()
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert words is not plain or not calls
+    try:  # another pattern may reach over blanks: one by one
+        assert L._encoder(ranks, r" ?\\S+ ?|\\s").bytes_of is None
+    finally:
+        L._encoder(ranks, pattern)
+
+
+def test_words_of_texts_and_their_counts(spark):
+    texts = [None, "", " ", "A b", " lead", "trail\n", "a \t\x0b\x0c b\x1cc", "É\u00a0É x", "go " * 300]
+    import pyarrow as pa
+
+    words, n = L.split_words(pa.array(texts, pa.string()))
+    codes, sizes = L.with_ends(np.arange(len(words)), n, -1)
+    flat = [b"" if k < 0 else words[k].as_py().encode() for k in codes.tolist()]
+    want = [L.tokens(None if t is None else t.encode()) for t in texts]
+    assert flat == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    rows = L.stored(L._blocks(spark.createDataFrame(list(enumerate(texts * 5)), "doc_id long, text string").repartition(3), "doc_id", "text"), "test-blocks")
+    tally = Counter(w for i, t in enumerate(want * 5) for w in t if zlib.crc32(str(i).encode()) % 7 != 2)
+    got = L._word_counts(rows).collect()
+    assert {bytes(r.word): r["count"] for r in got} == {w: tally[w] for t in want for w in t}
+
+
+def test_entries_as_defined():
+    import pyarrow as pa
+
+    encoder, rnd = L._encoder(*vocabulary()), random.Random(9)
+    words = list(dict.fromkeys(bytes(rnd.choice(b"abcdeT'9.,") for _ in range(rnd.randrange(9))) for _ in range(300)))
+    train = [L.subwords(w, encoder) for w in words[::2]]
+    firsts = Counter(i[0] for i in train if i)
+    class_of = {i: k + 2 for k, (i, _) in enumerate(firsts.most_common(10))}
+    own = {i for i, _ in Counter(i for w in train for i in w).most_common(20)}
+    pairs = Counter()
+    for w in filter(None, train):
+        pairs.update((a if a in own else L.RARE, b) for a, b in zip(w, [*w[1:], L.STOP]))
+    other = {i: n for i, n in firsts.items() if i not in class_of}
+    class_count, class_words = np.arange(L.CLASSES) % 7 * 5.0 + 5, np.arange(L.CLASSES) % 7 + 1.0
+    model = L.Model({}, class_of, own, class_count, class_words, other, dict(pairs), 10, 5)
+    counts = np.array([k % 4 for k in range(len(words))])
+    first, last, inner = L.entries(model, pa.array(words, pa.binary()).view(pa.string()), counts, encoder)
+    by_id, by_before = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        by_id[b] += n
+        by_before[a] += n
+    for k, w in enumerate(words):
+        ids = L.subwords(w, encoder)
+        if not ids:
+            assert (first[k], last[k], inner[k]) == (L.END_CLASS, L.END_CLASS, 0)
+            continue
+        c = class_of.get(ids[0], L.OTHER)
+        assert (first[k], last[k]) == (c, class_of.get(ids[-1], L.OTHER))
+        p = 1.0 if c != L.OTHER else (other.get(ids[0], 0) + 0.1) / (sum(other.values()) + 5026)
+        for a, b in zip(ids, [*ids[1:], L.STOP]):
+            a = a if a in own else L.RARE
+            least = (by_id[b] + 0.1) / (sum(pairs.values()) + 5026)
+            p *= (pairs[a, b] + 5 * least) / (by_before[a] + 5)
+        seen = class_count[c]
+        want = max(counts[k] - L.DISCOUNT, 0) / seen + L.DISCOUNT * class_words[c] / seen * p
+        assert abs(inner[k] - math.log10(want + 1e-300)) < 1e-9

@@ -37,15 +37,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, record_batch, release, stored, table
+from .common import BATCH_ROWS, fold, map_texts, record_batch, release, slices, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, MEMBERS, WIDTH, HIDDEN = 1024, 32, 16, 16
@@ -60,6 +63,14 @@ COPY_SHARE, COPY_WORDS = 0.02, 8
 BLOCK_BYTES = 16 << 20
 # Words whose classes a training task keeps, twice.
 CACHE_WORDS = 1 << 17
+# Words cut at once, and ids within words that are counted at once.
+CUT_WORDS, COUNT_IDS = 1 << 12, 1 << 22
+# Pieces of this pattern never reach over a blank that stands between two characters other than white space.
+BLANKS_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Words that a task holds of a block before they are counted, and before they are cut into classes.
+HELD_WORDS, CLASS_WORDS = 300_000, 1 << 22
+_NO_WORD = pa.array([""])
+_OTHER_SPACE = re.compile(r"[^\S ]")
 # Tokens that a training task shuffles at once (more only if one text has more).
 STEP_TOKENS = 1 << 19
 # Windows of a training step, and windows scored at once.
@@ -80,7 +91,11 @@ def _encoder(ranks: bytes, pattern: str):
         import tiktoken
 
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _WORKER.update(key=key, encoder=tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=known, special_tokens={}))
+        size = np.zeros(max(known.values()) + 1, np.int64)
+        size[np.fromiter(known.values(), np.int64, len(known))] = [len(b) for b in known]
+        encoder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        encoder.bytes_of = size if pattern == BLANKS_CUT else None
+        _WORKER.update(key=key, encoder=encoder)
     return _WORKER["encoder"]
 
 
@@ -89,6 +104,71 @@ def subwords(word: bytes, encoder) -> list[int]:
     return encoder.encode_ordinary(" " + word.decode("utf-8", "replace")) if word else []
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (strings), one text after the other, and their number by text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an end of a text gives an empty string
+    until = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    n = np.diff(np.append(0, np.cumsum(some))[until])
+    return words if some.all() else words.filter(pa.array(some)), n
+
+
+def with_ends(values: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` of the words of texts, ``n`` by text, with ``end`` after those of each text; and the new numbers."""
+    out = np.full(len(values) + len(n), end, values.dtype)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(n + 1) - 1] = False
+    out[word] = values
+    return out, n + 1
+
+
+def _cut(words: pa.Array, encoder) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of words (strings, none empty), one after the other, and their number by word."""
+    if encoder.bytes_of is not None:
+        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        try:
+            text = " " + pc.binary_join(lists, " ")[0].as_py()
+        except UnicodeDecodeError:
+            text = None
+        # cut as one text: the pattern starts a piece at each blank, so a word's ids end where its bytes do
+        if text is not None and not _OTHER_SPACE.search(text):
+            ids = encoder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            ends = np.searchsorted(np.cumsum(encoder.bytes_of[ids]), np.cumsum(pc.binary_length(words).to_numpy() + 1)) + 1
+            return ids, np.diff(ends, prepend=0)
+        if len(words) > 64:  # few words have other white space or are no UTF-8
+            return _joined([_cut(words[:len(words) // 2], encoder), _cut(words[len(words) // 2:], encoder)])
+    found = [subwords(w, encoder) for w in words.view(pa.binary()).to_pylist()]
+    return np.array(list(chain.from_iterable(found)), np.int64), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _joined(parts):
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def cut(words: pa.Array, encoder) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words (strings): the ids, one word after the other, and their number by word."""
+    some = pc.binary_length(words).to_numpy() > 0
+    full = words if some.all() else words.filter(pa.array(some))
+    ids, n = _joined([_cut(full[k:k + CUT_WORDS], encoder) for k in range(0, len(full), CUT_WORDS)])
+    sizes = np.zeros(len(words), np.int64)
+    sizes[some] = n
+    return ids, sizes
+
+
+def _ends(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last of the ids of each word that has any."""
+    ends = np.cumsum(sizes[sizes > 0])
+    return ids[ends - sizes[sizes > 0]], ids[ends - 1]
+
+
+def _following(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The id that follows each id in its word, or ``STOP``."""
+    after = np.append(ids[1:], STOP)
+    after[np.cumsum(sizes[sizes > 0]) - 1] = STOP
+    return after
+
+
 # --- the network -------------------------------------------------------------
 
 
@@ -120,12 +200,12 @@ def _attention(net, first, last):
     """Inputs x, attention weights s and the sums c of what they attend to, at each position of windows.  (Attention
     scores of normal inputs are small; the bound only keeps their exponentials finite.)"""
     t = first.shape[1]
-    x = net["first"][first]
-    x += net["last"][last]
+    x = net["first"].take(first, axis=0, mode="clip")
+    x += net["last"].take(last, axis=0, mode="clip")
     x += net["place"][:t]
     v = x @ net["v"]
     q, k = x @ (net["q"] * np.float32(WIDTH**-0.5)), x @ net["k"]
-    s = q @ k.transpose(0, 2, 1)
+    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
     np.minimum(s, 60, out=s)
     np.exp(s, out=s)
     s *= _SEEN[:t, :t]
@@ -133,18 +213,19 @@ def _attention(net, first, last):
     return x, q, k, v, s, s @ v
 
 
-def _chosen(z: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Log probability of the chosen row in each column of logits; these become probabilities."""
+def _chosen(z: np.ndarray, row: np.ndarray, all_of_them: bool = True) -> np.ndarray:
+    """Log probability of the chosen row in each column of logits; these become probabilities (with ``all_of_them``)."""
     z -= z.max(axis=0)
     at = np.arange(z.shape[1])
     mine = z[row, at]
     np.exp(z, out=z)
     total = z.sum(axis=0)
-    z /= total
+    if all_of_them:
+        z /= total
     return mine - np.log(total)
 
 
-def _outputs(net, g, target):
+def _outputs(net, g, target, all_of_them=True):
     """Log probability of the target classes at states (a column each), and what backward needs."""
     hi, lo = np.divmod(target, MEMBERS)
     zg = net["group"].T @ g
@@ -152,7 +233,7 @@ def _outputs(net, g, target):
     u = g * np.take(net["gate"].T.copy(), hi, axis=1)
     zm = net["member"].T @ u
     zm += np.take(net["member_bias"].T.copy(), hi, axis=1)
-    return _chosen(zg, hi) + _chosen(zm, lo), (u, hi, lo, zg, zm)
+    return _chosen(zg, hi, all_of_them) + _chosen(zm, lo, all_of_them), (u, hi, lo, zg, zm)
 
 
 def forward(net, first, last, target):
@@ -190,7 +271,7 @@ def backward(net, first, last, weight, kept):
     dh = dg + dr @ net["w1"].T
     out["o"] = flat(c).T @ flat(dh)
     dc = dh @ net["o"].T
-    ds, dv = dc @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dc
+    ds, dv = dc @ np.ascontiguousarray(v.transpose(0, 2, 1)), s.transpose(0, 2, 1) @ dc
     ds -= (dc * c).sum(-1, keepdims=True)
     ds *= s
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -267,49 +348,66 @@ class Model:
     n_distinct: int
 
     def __post_init__(self):
-        self.ids: Counter = Counter()
-        self.before: Counter = Counter()
-        for (k, i), n in self.pairs.items():
-            self.ids[i] += n
-            self.before[k] += n
-        self.n_ids = sum(self.ids.values())
-        self.n_other = sum(self.first_other.values())
-
-    def transition(self, before: int, i: int) -> float:
-        """log10 P(next id or STOP | id before)."""
-        least = (self.ids.get(i, 0) + 0.1) / (self.n_ids + 5026.0)
-        b = before if before in self.own else RARE
-        return math.log10((self.pairs.get((b, i), 0) + 5.0 * least) / (self.before.get(b, 0) + 5.0))
-
-    def first(self, i: int) -> float:
-        """log10 P(first id | its class)."""
-        return 0.0 if i in self.class_of else math.log10((self.first_other.get(i, 0) + 0.1) / (self.n_other + 5026.0))
-
-
-class _Transitions(dict):
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, pair: tuple[int, int]) -> float:
-        p = self[pair] = self.model.transition(*pair)
-        return p
-
-
-def entries(model: Model, words: list[bytes], counts: np.ndarray, encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # arrays by id (transitions: STOP is 0, RARE -1, so an id is one more) and the pairs by rising key
+        found = np.array([(*k, n) for k, n in self.pairs.items()], np.int64).reshape(-1, 3)
+        self.size = 2 + max([0, *self.class_of, *self.own, *self.first_other, *found[:, :2].reshape(-1).tolist()])
+        self.keys = self._key(found[:, 0], found[:, 1])
+        by_key = np.argsort(self.keys)
+        self.keys, self.pair_count = self.keys[by_key], found[by_key, 2]
+        self.id_count = np.bincount(found[:, 1] + 1, found[:, 2], self.size + 1)
+        self.before_count = np.bincount(found[:, 0] - RARE, found[:, 2], self.size + 2)
+        self.has_own = self._flags(self.own)
+        self.n_ids, self.n_other = self.id_count.sum(), sum(self.first_other.values())
+        self.class_table = class_table(self.class_of, self.size)
+        first = np.zeros(self.size)
+        first[list(self.first_other)] = list(self.first_other.values())
+        self.first_logp = np.where(self._flags(self.class_of), 0.0, np.log10((first + 0.1) / (self.n_other + 5026.0)))
+
+    def __getstate__(self):
+        # tasks need the arrays alone
+        return self.__dict__ | {"pairs": {}, "first_other": {}}
+
+    def _flags(self, ids) -> np.ndarray:
+        flags = np.zeros(self.size, bool)
+        flags[list(ids)] = True
+        return flags
+
+    def _key(self, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (before - RARE) * (self.size + 1) + i + 1
+
+    def transitions(self, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """log10 P(next id or STOP | id before), of arrays."""
+        least = (self.id_count[i + 1] + 0.1) / (self.n_ids + 5026.0)
+        b = np.where(self.has_own[before], before, RARE)
+        key = self._key(b, i)
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        n = np.where(self.keys[at] == key, self.pair_count[at], 0) if len(self.keys) else 0
+        return np.log10((n + 5.0 * least) / (self.before_count[b - RARE] + 5.0))
+
+
+def class_table(class_of: dict[int, int], size: int) -> np.ndarray:
+    """The class of each id below ``size``."""
+    table = np.full(size, OTHER)
+    table[list(class_of)] = list(class_of.values())
+    return table
+
+
+def entries(model: Model, words: pa.Array, counts: np.ndarray, encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of vocabulary entries: first class, last class, log10 P(word | class)."""
-    step, class_of, model_first = _Transitions(model), model.class_of, model.first
     first, last = np.full(len(words), END_CLASS), np.full(len(words), END_CLASS)
     spelled = np.zeros(len(words))
-    for n, w in enumerate(words):
-        if not w:
-            continue
-        ids = subwords(w, encoder)
-        before = ids[0]
-        p = model_first(before)
-        for i in ids[1:]:
-            p += step[before, i]
-            before = i
-        first[n], last[n], spelled[n] = class_of.get(ids[0], OTHER), class_of.get(before, OTHER), p + step[before, STOP]
+    ids, sizes = cut(words, encoder)
+    if len(ids):
+        # an id that no training word has is like any other without counts
+        ids = np.minimum(ids, model.size - 1)
+        after = _following(ids, sizes)
+        pairs = pa.array(ids * (model.size + 1) + after + 1).dictionary_encode()
+        before, i = np.divmod(pairs.dictionary.to_numpy(), model.size + 1)
+        step = model.transitions(before, i - 1)[pairs.indices.to_numpy()]
+        some = sizes > 0
+        begin, end = _ends(ids, sizes)
+        first[some], last[some] = model.class_table[begin], model.class_table[end]
+        spelled[some] = model.first_logp[begin] + np.add.reduceat(step, np.cumsum(sizes[some]) - sizes[some])
     seen = model.class_count[first]
     known = np.maximum(counts - DISCOUNT, 0.0) / np.maximum(seen, 1.0)
     share = np.where(seen > 0, DISCOUNT * model.class_words[first] / np.maximum(seen, 1.0), 1.0)
@@ -326,7 +424,7 @@ def class_scores(net, first, last, own, target) -> np.ndarray:
     r += net["b1"]
     np.maximum(r, 0, out=r)
     h += r @ net["w2"]
-    return _outputs(net, np.ascontiguousarray(h.T), target)[0]
+    return _outputs(net, np.ascontiguousarray(h.T), target, False)[0]
 
 
 def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -383,25 +481,29 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """block, word, count (training tokens of the corpus), one (true on one row of each word)."""
 
     def task():
-        counts: dict[int, Counter] = {}
+        held: dict[int, list] = {}
+        size: Counter = Counter()
 
         def flush(block):
-            words = counts.pop(block)
-            return record_batch(["block", "word", "n"], pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.binary()),
-                                pa.array(list(words.values()), pa.int64()))
+            words, n = zip(*held.pop(block))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), np.concatenate(n), len(coded.dictionary)).astype(np.int64)
+            del size[block]
+            return record_batch(["block", "word", "n"], pa.array(np.full(len(n), block)), coded.dictionary.view(pa.binary()), pa.array(n))
 
         def step(batch, texts):
-            for text, trains, block in zip(texts, batch.column("trains").to_pylist(), batch.column("block").to_pylist()):
-                mine = counts.setdefault(block, Counter())
-                if trains:
-                    mine.update(tokens(text))
-                else:
-                    for w in tokens(text):
-                        mine.setdefault(w, 0)
-                if len(mine) > 150_000:  # a block may send a word twice
+            at, trains = batch.column("block").to_numpy(), np.array(batch.column("trains").to_pylist(), bool)
+            for block in np.unique(at).tolist():
+                mine = np.flatnonzero(at == block)
+                words, n = split_words(batch.column("text").take(pa.array(mine)))
+                coded = words.dictionary_encode()
+                counts = np.bincount(coded.indices.to_numpy(), np.repeat(trains[mine], n), len(coded.dictionary))
+                held.setdefault(block, []).append((pa.concat_arrays([coded.dictionary, _NO_WORD]), np.append(counts, trains[mine].sum())))
+                size[block] += len(counts)
+                if size[block] > HELD_WORDS:  # a block may send a word twice
                     yield flush(block)
 
-        step.end = lambda: (flush(b) for b in list(counts))
+        step.end = lambda: (flush(b) for b in list(held))
         return step
 
     words = map_texts(rows, task, "block long, word binary, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
@@ -415,8 +517,9 @@ def _spelled(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def task(batches):
         enc = _encoder(ranks, pattern)
         for b in batches:
-            ids = [subwords(w, enc) for w in b.column("word").to_pylist()]
-            yield record_batch(["ids", "count"], pa.array(ids, pa.list_(pa.int32())), b.column("count"))
+            ids, sizes = cut(b.column("word").view(pa.string()), enc)
+            begins = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            yield record_batch(["ids", "count"], pa.ListArray.from_arrays(begins, pa.array(ids.astype(np.int32))), b.column("count"))
 
     return words.select("word", "count").mapInArrow(task, "ids array<int>, count long")
 
@@ -447,15 +550,42 @@ def _class_rows(rows: DataFrame, class_of: dict[int, int], ranks: bytes, pattern
     dealt = rows.where("trains").select("text", F.xxhash64("doc_id", "text").alias("hash"))
 
     def task():
-        known = _Classes(class_of, _encoder(ranks, pattern))
+        encoder = _encoder(ranks, pattern)
+        known = _Classes(class_of, encoder)
+        # ids above all that have classes are like the last one
+        of_id = class_table(class_of, 2 + max([0, *class_of]))
 
-        def step(batch, texts):
-            out = []
-            for t in texts:
-                words = tokens(t)
-                out.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)).tobytes())
-            yield record_batch(["classes", "hash"], pa.array(out, pa.binary()), batch.column("hash"))
+        def classes(words):
+            if encoder.bytes_of is None:  # one by one, so those cut before are kept
+                return np.array([known[w] for w in words.view(pa.binary()).to_pylist()], np.uint32)
+            first, last = _ends(*cut(words, encoder))
+            return (of_id[np.minimum(first, len(of_id) - 1)] | of_id[np.minimum(last, len(of_id) - 1)] << 16).astype(np.uint32)
+
+        some, size = [], 0
+
+        def flush():
+            # the distinct words of many texts are cut once
+            words, n, hashes = zip(*some)
+            some.clear()
+            coded, n = pa.concat_arrays(words).dictionary_encode(), np.concatenate(n)
+            out, n = with_ends(classes(coded.dictionary)[coded.indices.to_numpy()], n, END_CLASS | END_CLASS << 16)
+            out, rows, bounds = out.astype("<u4"), pa.concat_arrays(hashes), np.append(0, np.cumsum(n))
+            for k in range(0, len(n), BATCH_ROWS):
+                ends = bounds[k:k + BATCH_ROWS + 1]
+                data = pa.py_buffer(out[ends[0]:ends[-1]])
+                ends = pa.py_buffer((4 * (ends - ends[0])).astype(np.int32))
+                yield record_batch(["classes", "hash"], pa.Array.from_buffers(pa.binary(), len(n[k:k + BATCH_ROWS]), [None, ends, data]), rows[k:k + BATCH_ROWS])
 
+        def step(batch, texts):
+            nonlocal size
+            words, n = split_words(batch.column("text"))
+            some.append((words, n, batch.column("hash")))
+            size += len(words)
+            if size > CLASS_WORDS:
+                size = 0
+                yield from flush()
+
+        step.end = lambda: flush() if some else ()
         return step
 
     part = F.pmod(F.col("hash"), F.lit(16))
@@ -525,26 +655,46 @@ def fit(rows: DataFrame, counts: DataFrame, ranks: bytes, pattern: str) -> Model
     class_of = {i: k + 2 for k, i in enumerate(most(tally, CLASSES - 2))}
     own = set(most(inside, SPELL_IDS))
 
+    size = 2 + max([0, *class_of, *own, *(r["i"] for r in inside)])
+    of_class, has_own = class_table(class_of, size), np.zeros(size, bool)
+    has_own[list(own)] = True
+
     def task(batches):
         # kinds: 0 tokens and 3 words of a class, 1 first ids of the shared class, 2 transitions within words,
         # each distinct word once: new words are like rare ones
-        found: Counter = Counter()
+        def counted(kind, a, b):
+            keys = pa.array((a - RARE) * (size + 1) + b + 1).dictionary_encode()
+            a, b = np.divmod(keys.dictionary.to_numpy(), size + 1)
+            return record_batch(["kind", "a", "b", "n"], np.full(len(a), kind), a + RARE, b - 1, np.bincount(keys.indices.to_numpy()))
+
+        def flush():
+            ids, sizes, count = (np.concatenate(x) for x in zip(*some))
+            first = np.full(len(sizes), END_CLASS)
+            if len(ids):
+                begin, _ = _ends(ids, sizes)
+                first[sizes > 0] = of_class[begin]
+                yield counted(2, np.where(has_own[ids], ids, RARE), _following(ids, sizes))
+                other = begin[of_class[begin] == OTHER]
+                if len(other):
+                    yield counted(1, np.zeros(len(other), np.int64), other)
+            tokens_of, words_of = (np.zeros(CLASSES, np.int64) for _ in range(2))
+            np.add.at(tokens_of, first, count)
+            np.add.at(words_of, first, 1)
+            for kind, n in ((0, tokens_of), (3, words_of)):
+                a = np.flatnonzero(words_of)
+                yield record_batch(["kind", "a", "b", "n"], np.full(len(a), kind), a, np.zeros(len(a), np.int64), n[a])
+            some.clear()
+
+        some, held = [], 0
         for b in batches:
-            for s, count in zip(b.column("ids").to_pylist(), b.column("count").to_pylist()):
-                k = class_of.get(s[0], OTHER) if s else END_CLASS
-                found[0, k, 0] += count
-                found[3, k, 0] += 1
-                if not s:
-                    continue
-                if k == OTHER:
-                    found[1, 0, s[0]] += 1
-                before = s[0]
-                for i in [*s[1:], STOP]:
-                    found[2, before if before in own else RARE, i] += 1
-                    before = i
-        if found:
-            keys = list(zip(*found))
-            yield record_batch(["kind", "a", "b", "n"], *(pa.array(c, pa.int64()) for c in keys), pa.array(list(found.values()), pa.int64()))
+            ids = b.column("ids")
+            some.append((ids.flatten().to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy()).astype(np.int64), b.column("count").to_numpy()))
+            held += len(some[-1][0])
+            if held > COUNT_IDS:
+                yield from flush()
+                held = 0
+        if some:
+            yield from flush()
 
     # rows are bounded by the vocabulary file: SPELL_IDS x its ids, whatever the corpus
     sums = spelled.mapInArrow(task, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
@@ -567,37 +717,33 @@ def score(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         encoder = _encoder(ranks, pattern)
-        vocabulary = words.column("word").to_pylist()
-        number = {w: k for k, w in enumerate(vocabulary)}
+        vocabulary = words.column("word").combine_chunks().view(pa.string())
         count = words.column("count").to_numpy()
         first, last, inner = entries(model, vocabulary, count, encoder)
         base = np.log10((count + 1) / (model.n_tokens + model.n_distinct + 1))
+        end = pc.index(vocabulary, "").as_py()
         out: list[list] = [[], [], [], []]
-        some, size = [], 0
-        column = texts.column("text").cast(pa.binary())
-
-        def flush():
-            all_words, lengths = np.concatenate(some), np.array([len(s) for s in some])
-            begins = np.cumsum(lengths) - lengths
-            out[0].extend(lengths.tolist())
-            out[1].extend(np.add.reduceat(count[all_words] > 0, begins, dtype=np.int64).tolist())
-            out[2].extend(np.add.reduceat(base[all_words], begins).tolist())
-            out[3].extend(score_texts(model, some, first, last, inner).tolist())
-
-        for k in range(len(column)):
-            t = tokens(column[k].as_py())
-            some.append(np.fromiter(map(number.__getitem__, t), dtype=np.int64, count=len(t)))
-            size += len(t)
-            if size > 100_000:
-                flush()
-                some, size = [], 0
-        if some:
-            flush()
-        del number, vocabulary, some
+        for batch in texts.combine_chunks().to_batches():
+            for part in slices(batch, "text"):
+                found, n = split_words(part.column("text"))
+                number = pc.index_in(found, value_set=vocabulary)
+                if number.null_count:
+                    raise KeyError("a word without its count")
+                all_words, lengths = with_ends(number.to_numpy().astype(np.int64), n, end)
+                begins = np.cumsum(lengths) - lengths
+                out[0].extend(lengths.tolist())
+                out[1].extend(np.add.reduceat(count[all_words] > 0, begins, dtype=np.int64).tolist())
+                out[2].extend(np.add.reduceat(base[all_words], begins).tolist())
+                # as many texts at once as have 100,000 tokens, or one more
+                nth = np.cumsum(lengths) // 100_000
+                for some in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(nth)) + 1):
+                    own = [all_words[begins[k]:begins[k] + lengths[k]] for k in some]
+                    out[3].extend(score_texts(model, own, first, last, inner).tolist())
+        del vocabulary
         release()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array([not t for t in texts.column("trains").to_pylist()]),
                          "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
-                         "train_tokens": pa.array([model.n_tokens] * len(column), pa.int64()),
+                         "train_tokens": pa.array([model.n_tokens] * len(texts), pa.int64()),
                          "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
 
     return (rows.groupBy("block").cogroup(counts.select("block", "word", "count").groupBy("block"))
