@@ -194,99 +194,132 @@ def new_network(classes: int, frequency: np.ndarray) -> dict[str, np.ndarray]:
 
 
 _SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+# Logits within this bound are exponentiated as they are; their sums stay finite and above zero in 32 bits.
+_SAFE = 60
 
 
-def _attention(net, first, last):
-    """Inputs x, attention weights s and the sums c of what they attend to, at each position of windows.  (Attention
-    scores of normal inputs are small; the bound only keeps their exponentials finite.)"""
-    t = first.shape[1]
-    x = net["first"].take(first, axis=0, mode="clip")
-    x += net["last"].take(last, axis=0, mode="clip")
-    x += net["place"][:t]
-    v = x @ net["v"]
-    q, k = x @ (net["q"] * np.float32(WIDTH**-0.5)), x @ net["k"]
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    s *= _SEEN[:t, :t]
-    s /= s.sum(axis=-1, keepdims=True)
-    return x, q, k, v, s, s @ v
+def _safe(z: np.ndarray) -> bool:
+    return z.max(initial=0) <= _SAFE and z.min(initial=0) >= -_SAFE
 
 
-def _chosen(z: np.ndarray, row: np.ndarray, all_of_them: bool = True) -> np.ndarray:
-    """Log probability of the chosen row in each column of logits; these become probabilities (with ``all_of_them``)."""
-    z -= z.max(axis=0)
-    at = np.arange(z.shape[1])
-    mine = z[row, at]
-    np.exp(z, out=z)
-    total = z.sum(axis=0)
-    if all_of_them:
-        z /= total
-    return mine - np.log(total)
+def _projections(net) -> np.ndarray:
+    return np.concatenate([net["q"] * np.float32(WIDTH**-0.5), net["k"], net["v"]], axis=1)
 
 
-def _outputs(net, g, target, all_of_them=True):
-    """Log probability of the target classes at states (a column each), and what backward needs."""
-    hi, lo = np.divmod(target, MEMBERS)
-    zg = net["group"].T @ g
-    zg += net["group_bias"][:, None]
-    u = g * np.take(net["gate"].T.copy(), hi, axis=1)
-    zm = net["member"].T @ u
-    zm += np.take(net["member_bias"].T.copy(), hi, axis=1)
-    return _chosen(zg, hi, all_of_them) + _chosen(zm, lo, all_of_them), (u, hi, lo, zg, zm)
+def _attention(net, first, last, begin=0):
+    """At each position of windows: inputs x (a row each), and their queries, keys and values; from position ``begin`` on:
+    attention weights s before they are divided by their sums, one over these sums, and the means c of what they attend to.
+    (Attention scores of normal inputs are small; the bound only keeps their exponentials finite.)"""
+    n, t = first.shape
+    x = net["first"].take(first.reshape(-1), axis=0, mode="clip")
+    x += net["last"].take(last.reshape(-1), axis=0, mode="clip")
+    x.reshape(n, t, WIDTH)[:] += net["place"][:t]
+    q, k, v = np.split((x @ _projections(net)).reshape(n, t, 3 * WIDTH), 3, axis=2)
+    s = q[:, begin:] @ k.transpose(0, 2, 1)
+    if not _safe(s):
+        np.clip(s, -_SAFE, _SAFE, out=s)
+    np.exp(s, out=s)
+    s *= _SEEN[begin:t, :t]
+    share = 1 / (s.reshape(-1, t) @ np.ones((t, 1), s.dtype))
+    c = (s @ v).reshape(-1, WIDTH)
+    c *= share
+    return x, q, k, v, s, share, c
+
+
+def _chosen(z: np.ndarray, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of the chosen column in each row of logits, and one over the sum of the exponentials that these become."""
+    if not _safe(z):
+        z -= z.max(axis=1, keepdims=True)
+    mine = z[row, column]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return mine - np.log(total), 1 / total
 
 
-def forward(net, first, last, target):
-    """Natural log probability of the target class at each position of windows of inputs; and what backward needs."""
-    x, q, k, v, s, c = _attention(net, first, last)
+def _outputs(net, g, target):
+    """Log probability of the target classes at states (a row each), and what backward needs."""
+    hi, lo = np.divmod(target, MEMBERS)
+    row = np.arange(len(target))
+    zg = g @ net["group"]
+    zg += net["group_bias"]
+    gate = net["gate"].take(hi, axis=0)
+    u = g * gate
+    zm = u @ net["member"]
+    zm += net["member_bias"].take(hi, axis=0)
+    (p_group, of_group), (p_member, of_member) = _chosen(zg, row, hi), _chosen(zm, row, lo)
+    return p_group + p_member, (gate, u, hi, lo, row, zg, of_group, zm, of_member)
+
+
+def _states(net, x, c):
+    """The states that outputs are chosen by, of inputs x and what they attend to; and what backward needs."""
     h = x + c @ net["o"]
     r = h @ net["w1"]
     r += net["b1"]
     np.maximum(r, 0, out=r)
-    g = np.ascontiguousarray((h + r @ net["w2"]).reshape(-1, WIDTH).T)
+    return h + r @ net["w2"], h, r
+
+
+def forward(net, first, last, target):
+    """Natural log probability of the target class at each position of windows of inputs; and what backward needs."""
+    x, q, k, v, s, share, c = _attention(net, first, last)
+    g, h, r = _states(net, x, c)
     p, kept = _outputs(net, g, target.reshape(-1))
-    return p.reshape(target.shape), (x, q, k, v, s, c, h, r, g, *kept)
+    return p.reshape(target.shape), (x, q, k, v, s, share, c, h, r, g, *kept)
+
+
+def _sums_by_id(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each id below ``size``."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids = ids[order]
+    begins = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[ids[begins]] = np.add.reduceat(rows.take(order, axis=0), begins, axis=0)
+    return out
 
 
 def backward(net, first, last, weight, kept):
-    x, q, k, v, s, c, h, r, g, u, hi, lo, pg, pm = kept
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    at, share = np.arange(len(hi)), (weight / weight.sum()).reshape(-1)
-    of_group = np.zeros_like(pg)
-    of_group[hi, at] = 1
-    pg, pm = pg - of_group, pm.copy()
-    pm[lo, at] -= 1
-    pg *= share
-    pm *= share
-    out = {"group": g @ pg.T, "group_bias": pg.sum(1), "member": u @ pm.T, "member_bias": of_group @ pm.T}
-    du = net["member"] @ pm
-    out["gate"] = of_group @ (du * g).T
-    dg = net["group"] @ pg
-    dg += du * np.take(net["gate"].T.copy(), hi, axis=1)
-    dg = np.ascontiguousarray(dg.T).reshape(h.shape)
-    out["w2"] = flat(r).T @ flat(dg)
+    x, q, k, v, s, share, c, h, r, g, gate, u, hi, lo, row, pg, of_group, pm, of_member = kept
+    n, t = first.shape
+    each = (weight / weight.sum()).reshape(-1)
+    ones = np.ones(n * t, x.dtype)
+    # of the logits: the probability, less one at the target
+    pg, pm = pg * (each * of_group)[:, None], pm * (each * of_member)[:, None]
+    pg[row, hi] -= each
+    pm[row, lo] -= each
+    du = pm @ net["member"].T
+    by_group = _sums_by_id(hi, np.concatenate([pm, du * g], axis=1), len(net["gate"]))
+    out = {"group": g.T @ pg, "group_bias": ones @ pg, "member": u.T @ pm, "member_bias": by_group[:, :MEMBERS], "gate": by_group[:, MEMBERS:]}
+    dg = pg @ net["group"].T
+    du *= gate
+    dg += du
+    out["w2"] = r.T @ dg
     dr = dg @ net["w2"].T
     dr *= r > 0
-    out["w1"], out["b1"] = flat(h).T @ flat(dr), flat(dr).sum(0)
-    dh = dg + dr @ net["w1"].T
-    out["o"] = flat(c).T @ flat(dh)
+    out["w1"], out["b1"] = h.T @ dr, ones @ dr
+    dh = dg
+    dh += dr @ net["w1"].T
+    out["o"] = c.T @ dh
     dc = dh @ net["o"].T
-    ds, dv = dc @ np.ascontiguousarray(v.transpose(0, 2, 1)), s.transpose(0, 2, 1) @ dc
-    ds -= (dc * c).sum(-1, keepdims=True)
+    dc *= share
+    by_window = dc.reshape(n, t, WIDTH)
+    ds = by_window @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dc, c).reshape(n, t, 1)
     ds *= s
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dy = np.empty((n, t, 3 * WIDTH), x.dtype)
+    dq, dk, dv = np.split(dy, 3, axis=2)
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    np.matmul(s.transpose(0, 2, 1), by_window, out=dv)
+    dy = dy.reshape(-1, 3 * WIDTH)
+    out["q"], out["k"], out["v"] = np.split(x.T @ dy, 3, axis=1)
     # q holds the scale already
-    dq *= np.float32(WIDTH**-0.5)
-    for name, dy in (("q", dq), ("k", dk), ("v", dv)):
-        out[name] = flat(x).T @ flat(dy)
-    dx = dh + dq @ net["q"].T
-    dx += dk @ net["k"].T
-    dx += dv @ net["v"].T
+    out["q"] = out["q"] * np.float32(WIDTH**-0.5)
+    dx = dh
+    dx += dy @ _projections(net).T
     out["place"] = np.zeros_like(net["place"])
-    out["place"][: first.shape[1]] = dx.sum(0)
+    out["place"][:t] = dx.reshape(n, t, WIDTH).sum(0)
     for name, ids in (("first", first), ("last", last)):
-        place = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-        out[name] = np.bincount(place, dx.reshape(-1), net[name].size).reshape(net[name].shape).astype(dx.dtype)
+        out[name] = _sums_by_id(ids.reshape(-1), dx, len(net[name]))
     return out
 
 
@@ -415,16 +448,13 @@ def entries(model: Model, words: pa.Array, counts: np.ndarray, encoder) -> tuple
     return first, last, np.where(first == END_CLASS, 0.0, inner)
 
 
-def class_scores(net, first, last, own, target) -> np.ndarray:
-    """Natural log probabilities of the targets' classes at the positions ``own`` of windows of inputs."""
-    x, _, _, _, _, c = _attention(net, first, last)
-    h = x[own]
-    h += c[own] @ net["o"]
-    r = h @ net["w1"]
-    r += net["b1"]
-    np.maximum(r, 0, out=r)
-    h += r @ net["w2"]
-    return _outputs(net, np.ascontiguousarray(h.T), target, False)[0]
+def class_scores(net, first, last, own, target, begin=0) -> np.ndarray:
+    """Natural log probabilities of the targets' classes at the positions ``own`` (from ``begin`` on) of windows of inputs."""
+    x, *_, c = _attention(net, first, last, begin)
+    x, own = x.reshape(*first.shape, WIDTH)[:, begin:].reshape(-1, WIDTH), own.reshape(-1)
+    if not own.all():
+        x, c = x[own], c[own]
+    return _outputs(net, _states(net, x, c)[0], target)[0]
 
 
 def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -446,13 +476,18 @@ def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last:
     end = begins[text_of + 1]
     # log10 P(class) of each token, then of the word, then mixed with copies
     logp = np.empty(len(words))
-    for b in range(0, len(at), BATCH):
-        place = at[b:b + BATCH, None] + np.arange(min(CONTEXT, int((end - at)[b:b + BATCH].max())))
-        fits = place < end[b:b + BATCH, None]
-        inside = np.where(fits, place, 0)
-        own = fits & ((np.arange(place.shape[1]) >= OVERLAP) | (nth[b:b + BATCH, None] == 0))
-        scored = inside[own]
-        logp[scored] = class_scores(model.net, f[inside], l[inside], own, first[words[scored]])
+    width = np.minimum(CONTEXT, end - at)
+    # first windows of texts are scored from their first token, the others from where they stop to overlap; those of one width go together
+    for begin, some in ((0, np.flatnonzero(nth == 0)), (OVERLAP, np.flatnonzero(nth))):
+        some = some[np.argsort(width[some], kind="stable")]
+        for b in range(0, len(some), BATCH):
+            mine = some[b:b + BATCH]
+            place = at[mine, None] + np.arange(width[mine[-1]])
+            own = place < end[mine, None]
+            np.minimum(place, end[mine, None] - 1, out=place)
+            inputs, own = (f.take(place), l.take(place)), own[:, begin:]
+            scored = place[:, begin:][own]
+            logp[scored] = class_scores(model.net, *inputs, own, first.take(words.take(scored)), begin)
     logp = logp / math.log(10) + inner[words]
     offset = np.arange(len(words)) - np.repeat(begins[:-1], lengths)
     copies = np.zeros(len(words))
