@@ -160,6 +160,36 @@ def test_each_token_is_scored_once_with_the_tokens_before_it():
         assert abs(total - g) < 1e-3 * max(1, abs(g))
 
 
+def test_scoring_attends_once_for_each_token(monkeypatch):
+    """The positions that a window shares with the one before are attended to, but don't attend again."""
+    rnd = np.random.default_rng(5)
+    model = L.Model(L.new_network(L.CLASSES, np.ones(L.CLASSES)), {}, set(), np.ones(L.CLASSES), np.ones(L.CLASSES), {}, {}, 10, 5)
+    texts = [rnd.integers(0, 30, k) for k in (L.CONTEXT, L.CONTEXT + 5 * (L.CONTEXT - L.OVERLAP), L.CONTEXT)]
+    attended, attention = [], L._attention
+    monkeypatch.setattr(L, "_attention", lambda *a: attended.append(attention(*a)) or attended[-1])
+    L.score_texts(model, texts, rnd.integers(2, L.CLASSES, 30), rnd.integers(2, L.CLASSES, 30), np.zeros(30))
+    assert sum(a[-1].size // L.WIDTH for a in attended) == sum(map(len, texts))
+
+
+def test_attention_to_very_unlike_inputs():
+    net = {k: v.astype(np.float64) for k, v in L.new_network(L.CLASSES, np.ones(L.CLASSES)).items()}
+    ids = np.random.default_rng(6).integers(0, L.CLASSES, (3, 9))
+    for scale in (1e3, -1e3, 1e6, -1e6):
+        far = {k: v.astype(np.float32) for k, v in (net | {"q": np.eye(L.WIDTH) * scale, "k": np.eye(L.WIDTH)}).items()}
+        p, kept = L.forward(far, ids, ids, ids)
+        grads = L.backward(far, ids, ids, np.ones(ids.shape, np.float32), kept)
+        assert np.isfinite(p).all() and all(np.isfinite(g).all() for g in grads.values())
+
+
+def test_sums_by_id():
+    rnd = np.random.default_rng(7)
+    ids, rows = rnd.integers(0, 9, 200) * 7, rnd.random((200, 3))
+    want = np.zeros((64, 3))
+    for i, r in zip(ids, rows):
+        want[i] += r
+    assert np.allclose(L._sums_by_id(ids, rows, 64), want)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver test data not present")
 def test_query(spark):
     sf = "/root/testdata/sf0.01"

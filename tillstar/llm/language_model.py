@@ -74,7 +74,7 @@ _OTHER_SPACE = re.compile(r"[^\S ]")
 # Tokens that a training task shuffles at once (more only if one text has more).
 STEP_TOKENS = 1 << 19
 # Windows of a training step, and windows scored at once.
-TRAIN_BATCH, BATCH = 128, 64
+TRAIN_BATCH, BATCH = 128, 128
 END, STOP, RARE = b"", -1, -2
 OTHER, END_CLASS = 0, 1
 _WORKER: dict = {}
@@ -490,10 +490,10 @@ def score_texts(model: Model, texts: list[np.ndarray], first: np.ndarray, last:
             logp[scored] = class_scores(model.net, *inputs, own, first.take(words.take(scored)), begin)
     logp = logp / math.log(10) + inner[words]
     offset = np.arange(len(words)) - np.repeat(begins[:-1], lengths)
-    copies = np.zeros(len(words))
+    back, number, copies = np.minimum(offset, COPY_WORDS).astype(np.int8), words.astype(np.int32), np.zeros(len(words), np.int8)
     for lag in range(1, COPY_WORDS + 1):
-        copies[lag:] += (words[lag:] == words[:-lag]) & (offset[lag:] >= lag)
-    copies /= np.maximum(1, np.minimum(offset, COPY_WORDS))
+        copies[lag:] += (number[lag:] == number[:-lag]) & (back[lag:] >= lag)
+    copies = copies / np.maximum(1, back)
     logp += np.where(offset > 0, math.log10(1 - COPY_SHARE), 0.0)
     near = np.flatnonzero(copies)
     logp[near] = np.log10(10.0 ** logp[near] + COPY_SHARE * copies[near])
