@@ -38,7 +38,7 @@ from tillstar.plans.calendar import easter_sunday, holiday_name, hour_keys_of_ye
 from tillstar.plans.load import key_high_water_marks  # noqa: E402
 from tillstar.plans.rollups import FACT_COLUMNS, RollupStore  # noqa: E402
 from tillstar.schema import STAR_TABLES  # noqa: E402
-from tillstar.session import scratch_path  # noqa: E402
+from tillstar.session import scratch_path, shuffles_freed  # noqa: E402
 from tillstar.sources.csv_files import read_star_csv, read_table_csv, with_defaults, write_star_csv, write_table_csv  # noqa: E402
 from tillstar.star import Star  # noqa: E402
 from tillstar.plans import analytics as A  # noqa: E402
@@ -246,9 +246,10 @@ def _appended(spark: SparkSession, sf_dir: str) -> AppendWarehouse:
     if key in _APPENDED and len(_APPENDED[key].versions()) == 3:
         return _APPENDED[key]
     star = star_from_dir(spark, sf_dir)
-    warehouse, fact = AppendWarehouse(spark, scratch_path(spark, "appended")), stored(star.fact, "fact")
-    for lines in (fact.where(_load_of() == "history"), fact.where(_load_of() != "late"), fact):
-        warehouse.append(Star(lines, star.customers, star.products, star.stores, star.time), stored=("fact",))
+    warehouse = AppendWarehouse(spark, scratch_path(spark, "appended"))
+    with shuffles_freed(spark), warehouse.staged(star.fact.drop("sale_sk"), "fact_sales") as fact:  # numbered by the loads
+        for lines in (fact.where(_load_of() == "history"), fact.where(_load_of() != "late"), fact):
+            warehouse.append(Star(lines, star.customers, star.products, star.stores, star.time), stored=("fact",))
     _APPENDED[key] = warehouse
     return warehouse
 

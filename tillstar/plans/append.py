@@ -6,7 +6,8 @@
 
 A load adds one part for each table with the rows that are not there yet, so nothing stored is written
 again.  It moves 16 bytes of hash and a place for each row, never the rows: the places of the new rows
-become bitmaps of 32,768 rows, by which the rows are picked, and numbered, where they are read.  Rows are compared by a 128-bit hash of their content, as many times as they occur: a second load
+become bitmaps of 32,768 rows, by which the rows are picked, and numbered, where they are read.  Each query's
+shuffle files go when it ends, staged rows when their last load does.  Rows are compared by a 128-bit hash of their content, as many times as they occur: a second load
 of the same files adds nothing, and a line that a file has twice stays twice.  The fact's
 content is all but its surrogate key, which continues after the highest one stored; a dimension
 row's content includes its key.
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tillstar.operators.joins import pin_small
 from tillstar.plans.keys import row_keys
 from tillstar.schema import NOW, STAR_TABLES
+from tillstar.session import shuffles_freed
 from tillstar.star import Star
 
 HASH = "row_hash"
@@ -36,8 +40,10 @@ _MANIFEST = "version int, table_name string, part string, added_in int, row_coun
 _ATTR = {"fact_sales": "fact", "dim_customers": "customers", "dim_products": "products", "dim_stores": "stores", "dim_time": "time"}
 # the fact's key is a number given by the warehouse; other keys come with the rows
 GENERATED_KEYS = {"fact_sales": "sale_sk"}
-# A bitmap has one bit for each row of a load; up to this many rows (256 MB) they are broadcast.
-MAX_MARKED_ROWS = 1 << 31
+# A bitmap has one bit for each row of a load, and counts; up to this many rows (256 MB) they are broadcast.
+MAX_MARKED_ROWS = 3 << 29
+# Parts and staged rows are numbers for the most part, which zstd stores in two thirds of snappy's bytes.
+CODEC = "zstd"
 _PLACE, _BUCKET, _AT = "_row_place", "_row_bucket", "_row_at"
 
 
@@ -45,10 +51,15 @@ def content_hash(df: DataFrame, table: str) -> Column:
     """16 bytes that name the row's content: every column but a generated key and load times."""
     t = STAR_TABLES[table]
     names = [c.name for c in t.columns if c.name in df.columns and c.default != NOW and c.name != GENERATED_KEYS.get(table)]
-    texts = F.array(*[F.col(n).cast("string") for n in names])
-    # (by a lambda: the same text written out for each column is a method too large for the JVM to compile)
-    fields = F.transform(texts, lambda x: F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")))
-    return F.unhex(F.md5(F.array_join(fields, "").cast("binary")))
+    texts = [F.col(n).cast("string") for n in names]
+    # (compiled, where a lambda is interpreted field by field)
+    fields = F.array(*[F.concat(F.octet_length(x).cast("string"), F.lit(":"), x) for x in texts])
+    return F.unhex(F.md5(F.array_join(fields, "", "-").cast("binary")))
+
+
+def row_hash(df: DataFrame, table: str) -> Column:
+    """The hash that rows were staged with, or else made from their content."""
+    return F.col(HASH) if HASH in df.columns else content_hash(df, table)
 
 
 def checksum(hashes: Column) -> Column:
@@ -118,7 +129,7 @@ class AppendWarehouse:
         """The places of the rows that are not there yet: of equal rows those beyond the number stored."""
         if not any(r["row_count"] for r in parts):
             return rows.select(_PLACE)
-        here = rows.select(content_hash(rows, table).alias(HASH), _PLACE)
+        here = rows.select(row_hash(rows, table).alias(HASH), _PLACE)
         there = self._read(parts, table).select(HASH, F.lit(None).cast("long").alias(_PLACE))
         # equal rows in one order, the stored ones first: of n stored ones, row 2n + 1 is the first new one
         equal = Window.partitionBy(HASH).orderBy(F.col(_PLACE).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,50 +142,64 @@ class AppendWarehouse:
         """The rows of ``df``, a scan of stored files, that are not there yet, with their hash; numbered from
         ``start`` in ``key``, if given."""
         rows = row_keys(df, _PLACE)
-        at = [F.bitmap_bucket_number(_PLACE).alias(_BUCKET), F.bitmap_bit_position(_PLACE).alias(_AT)]
+        at = [F.bitmap_bucket_number(_PLACE).alias(_BUCKET), F.bitmap_bit_position(_PLACE).cast("int").alias(_AT)]
         places = self._new_places(table, rows, parts).select(*at)
-        bits = pin_small(places.groupBy(_BUCKET).agg(F.bitmap_construct_agg(_AT).alias("bits")))
+        # (with the bytes of each 64 bits reversed, so that read as a number they have the first place lowest)
+        bits = pin_small(places.groupBy(_BUCKET).agg(F.bitmap_construct_agg(F.col(_AT).bitwiseXOR(F.lit(56))).alias("bits")))
         sizes = bits.select(F.col(_BUCKET).alias("b"), F.bitmap_count("bits").alias("n"))
         # one row for 32,768 rows
         before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        marks = bits.join(sizes.select("b", before.alias("before")), F.col(_BUCKET) == F.col("b")).drop("b")
+        # 512 numbers of 64 bits, and how many rows are marked before each: a row looks at one of them
+        each = F.sequence(F.lit(0), F.lit(511))
+        words = F.transform(each, lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+        ranks = F.transform(each, lambda i: F.bitmap_count(F.substring("bits", F.lit(1), i * 8)).cast("smallint"))
+        marks = bits.select(_BUCKET, words.alias("words"), ranks.alias("ranks")).join(sizes.select("b", before.alias("before")), F.col(_BUCKET) == F.col("b")).drop("b")
         last = bits.agg(F.max(_BUCKET)).first()[0] or 0
         marks = F.broadcast(marks) if last << 15 <= MAX_MARKED_ROWS else marks
-        byte = F.conv(F.hex(F.expr(f"substring(bits, {_AT} div 8 + 1, 1)")), 16, 10).cast("int").alias("byte")
-        found = rows.select("*", *at).join(marks, _BUCKET).select("*", byte).where(F.expr(f"byte & shiftleft(1, cast({_AT} % 8 AS int)) <> 0"))
-        found = found.withColumn(HASH, content_hash(df, table))
+        found = rows.select("*", *at).join(marks, _BUCKET).where(F.expr(f"words[{_AT} div 64] & shiftleft(1L, {_AT} % 64) <> 0"))
+        found = found.withColumn(HASH, row_hash(df, table))
+        content = [c for c in df.columns if c != HASH]
         if key is None:
-            return found.select(*df.columns, HASH)
-        earlier = F.expr(f"bitmap_count(substring(bits, 1, {_AT} div 8)) + bit_count(byte & (shiftleft(1, cast({_AT} % 8 AS int)) - 1))")
+            return found.select(*content, HASH)
+        earlier = F.expr(f"ranks[{_AT} div 64] + bit_count(words[{_AT} div 64] & ~shiftleft(-1L, {_AT} % 64))")
         number = (F.col("before") + earlier + F.lit(start)).cast("long").alias(key)
-        return found.select(number, *[c for c in df.columns if c != key], HASH)
+        return found.select(number, *[c for c in content if c != key], HASH)
+
+    @contextmanager
+    def staged(self, df: DataFrame, table: str) -> Iterator[DataFrame]:
+        """The rows of ``df`` written once, each with its hash, as a scan for the loads within; deleted after them."""
+        path = os.path.join(self.base, "staged", table, uuid.uuid4().hex[:12])
+        p, fs = self._fs(path)
+        try:
+            df.drop(HASH).select("*", content_hash(df, table).alias(HASH)).write.option("compression", CODEC).parquet(path)
+            yield self.spark.read.parquet(path)
+        finally:
+            fs.delete(p, True)
 
     def append(self, star: Star, stored: tuple[str, ...] = ()) -> int:
         """Adds the rows of ``star`` that are not there yet, as a new version; its number.  Its tables are read
         twice: they are written to files first, but for those named in ``stored``, which are scans of
-        parquet files already, filtered or not."""
+        parquet files already (``staged`` makes one), filtered or not.  The fact may come without its key."""
         parts, rows = self._parts(), self._rows()
         version = max((r["version"] for r in rows), default=0) + 1
 
         def add(table: str) -> dict:
             df, key = getattr(star, _ATTR[table]), STAR_TABLES[table].primary_key
             part = os.path.join(table, f"v{version}-{uuid.uuid4().hex[:8]}")
-            path, staged = os.path.join(self.base, part), os.path.join(self.base, "staged", part)
-            if _ATTR[table] not in stored:
-                (df.hint("rebalance", "order_id") if table == "fact_sales" else df).write.parquet(staged)
-                df = self.spark.read.parquet(staged)
+            path = os.path.join(self.base, part)
+            if _ATTR[table] not in stored and table == "fact_sales":
+                df = df.hint("rebalance", "order_id")
             highest = max((r["max_key"] or 0 for r in parts[table]), default=0)
-            new = self._new_rows(table, df, parts[table], GENERATED_KEYS.get(table), highest + 1)
-            if table == "fact_sales":
-                new = new.sortWithinPartitions("time_sk")
-            new.write.parquet(path)
-            p, fs = self._fs(staged)
-            fs.delete(p, True)
+            with nullcontext(df) if _ATTR[table] in stored else self.staged(df, table) as scan:
+                new = self._new_rows(table, scan, parts[table], GENERATED_KEYS.get(table), highest + 1)
+                if table == "fact_sales":
+                    new = new.sortWithinPartitions("time_sk")
+                new.write.option("compression", CODEC).parquet(path)
             written = self.spark.read.parquet(path)
             s = written.agg(F.count(F.lit(1)).alias("n"), F.max(key).cast("long").alias("k"), checksum(F.col(HASH)).alias("c")).first()
             return dict(version=version, table_name=table, part=part, added_in=version, row_count=s["n"], max_key=s["k"], checksum=s["c"], kept_from=1)
 
-        with ThreadPoolExecutor(max_workers=len(_ATTR)) as pool:
+        with shuffles_freed(self.spark), ThreadPoolExecutor(max_workers=len(_ATTR)) as pool:
             added = [f.result() for f in [pool.submit(add, t) for t in _ATTR]]
         earlier = [{**r.asDict(), "version": version} for p in parts.values() for r in p]
         self._commit(earlier + added)

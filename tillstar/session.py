@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -73,6 +75,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or current or configured
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What a query within has shuffled is deleted when that query ends (Spark 4.1 and later), not at some
+    time after the driver has collected its garbage: for jobs of several queries, each of which
+    shuffles as much as the tables hold."""
+    old = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if old is None else spark.conf.set(_FREE_SHUFFLES, old)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint directory, for tables
     written to cut lineage or to materialise the star."""
